@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from knotwork.llm.conversations import rebuild_conversations
 from knotwork.llm.leakage import leaked_items
+from knotwork.llm.names import link_names, spelling_pairs
 from knotwork.llm.nearcopies import near_copy_groups, near_copy_pairs
 from knotwork.llm.packing import pack_documents
 from knotwork.llm.splitting import split_texts
@@ -35,6 +36,20 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return long_node_pieces(spark, sf)
 
 
+def written_names(spark: SparkSession, sf: str) -> DataFrame:
+    reports = table(spark, sf, "entity_reports")
+    listed = table(spark, sf, "nodes").select(F.explode("entities").alias("name")).unionAll(reports.select(F.explode("related_persons")))
+    return listed.unionAll(reports.select("name"))
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling_pairs(link_names(written_names(spark, sf)))
+
+
+def p4_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return link_names(written_names(spark, sf))
+
+
 def text_pieces(spark: SparkSession, sf: str) -> DataFrame:
     nodes = table(spark, sf, "nodes")
     return nodes.where(F.col("node_type").isNull() | ~F.col("node_type").isin(NOT_PIECES))
@@ -57,7 +72,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p5_found, p5_groups, p6_containers, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
