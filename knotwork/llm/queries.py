@@ -12,6 +12,7 @@ from knotwork.llm.leakage import leaked_items
 from knotwork.llm.names import link_names, spelling_pairs
 from knotwork.llm.nearcopies import near_copy_groups, near_copy_pairs
 from knotwork.llm.packing import pack_documents
+from knotwork.llm.reading import reading_levels
 from knotwork.llm.splitting import split_texts
 from knotwork.session import table
 
@@ -71,8 +72,23 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), width=12)
 
 
+def english_levels(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    kept = docs.where(F.lower("lang").startswith("en") & (F.col("doc_format").isNull() | (F.col("doc_format") != "table")))
+    return reading_levels(kept, table(spark, sf, "reading_labels"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return english_levels(spark, sf).select("doc_id", "band")
+
+
+def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
+    levels = english_levels(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return levels.groupBy("source", "band").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("level"), 1).alias("mean_level"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p7_found)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p7_found, p8_found, p8_profile)}
 
 
 def oracle_sql() -> dict[str, str]:
