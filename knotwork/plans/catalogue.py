@@ -1,61 +1,6 @@
-"""The registered queries of the core, each a callable of (session, data folder), and their SQL."""
+"""All registered queries of the core and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from knotwork.operators.references import dangling_references, references_by_period
-from knotwork.session import table
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL where there is one."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def edge_tables(spark: SparkSession, sf: str) -> dict[str, tuple[DataFrame, list[str]]]:
-    return {
-        "directed_edges": (table(spark, sf, "directed_edges"), ["from_node", "to_node"]),
-        "undirected_edges": (table(spark, sf, "undirected_edges"), ["node_a", "node_b"]),
-    }
-
-
-P3_SQL = """
-WITH n AS (
-  SELECT graph_id, node_id, min(created_at) AS born,
-    min(CASE WHEN regexp_full_match(metadata['deleted_at'], '[0-9]+') THEN make_timestamp(CAST(metadata['deleted_at'] AS BIGINT) * 1000)
-             ELSE CAST(rtrim(metadata['deleted_at'], 'Z') AS TIMESTAMP) END) AS gone
-  FROM nodes GROUP BY 1, 2),
-e AS (
-  SELECT 'directed_edges' AS edge_table, edge_id, graph_id, created_at, 'from_node' AS end_name, from_node AS k FROM directed_edges
-  UNION ALL SELECT 'directed_edges', edge_id, graph_id, created_at, 'to_node', to_node FROM directed_edges
-  UNION ALL SELECT 'undirected_edges', edge_id, graph_id, created_at, 'node_a', node_a FROM undirected_edges
-  UNION ALL SELECT 'undirected_edges', edge_id, graph_id, created_at, 'node_b', node_b FROM undirected_edges),
-r AS (
-  SELECT e.edge_table, e.edge_id, e.end_name, coalesce(strftime(e.created_at, '%Y-%m'), 'none') AS month_key,
-    CASE WHEN n.node_id IS NULL THEN 'missing' WHEN n.gone <= e.created_at THEN 'deleted' WHEN n.born > e.created_at THEN 'late' END AS reason
-  FROM e LEFT JOIN n ON n.graph_id = e.graph_id AND n.node_id = e.k WHERE e.k IS NOT NULL),
-f AS (SELECT DISTINCT edge_table, edge_id, end_name, reason, month_key FROM r WHERE reason IS NOT NULL)
-"""
-
-
-@query(P3_SQL + "SELECT * FROM f")
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    return dangling_references(table(spark, sf, "nodes"), edge_tables(spark, sf))
-
-
-@query(P3_SQL + "SELECT edge_table, month_key, end_name, reason, count(*) AS n_ends FROM f GROUP BY ALL")
-def p3_by_period(spark: SparkSession, sf: str) -> DataFrame:
-    return references_by_period(table(spark, sf, "nodes"), edge_tables(spark, sf))
+from knotwork.plans import graph_queries, insight_queries, report_queries, text_queries  # noqa: F401
+from knotwork.plans.registry import QUERIES, SQL  # noqa: F401
