@@ -198,7 +198,7 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def dense_cosine(a: Column, b: Column) -> Column:
     """The cosine of two number arrays over their common length; 0 if one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(p * q, F.lit(0.0)).cast("double")), F.lit(0.0), lambda s, v: s + v)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: F.coalesce(p.cast("double") * q, F.lit(0.0))), F.lit(0.0), lambda s, v: s + v)
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
