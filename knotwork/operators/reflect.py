@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.functions.text import domain, edged, jaccard, same_case
+from knotwork.functions.text import domain, edged, jaccard, same_case, six
 from knotwork.operators.graph import content_only
 from knotwork.operators.index import inverse_frequencies, term_counts, term_frequencies, text_weights
 
@@ -126,7 +126,7 @@ def inferred_edges(directed: DataFrame, least: float = 0.15, most: int = 100) ->
     held = directed.where(F.col("edge_type").isin(TRANSITIVE) & F.col("weight").isNotNull()).select("graph_id", "from_node", "to_node", "edge_type", "weight")
     onward = held.select("graph_id", F.col("from_node").alias("mid"), F.col("to_node").alias("end"), "edge_type", F.col("weight").alias("w2"))
     ways = held.withColumnRenamed("to_node", "mid").join(onward, ["graph_id", "mid", "edge_type"]).where("from_node <> end")
-    ways = ways.withColumn("weight", F.round(F.col("weight") * F.col("w2") * 0.5, 6)).where(F.col("weight") >= least)
+    ways = ways.withColumn("weight", six(F.col("weight") * F.col("w2") * 0.5)).where(F.col("weight") >= least)
     best = ways.groupBy("graph_id", "from_node", F.col("end").alias("to_node")).agg(F.max(F.struct("weight", "edge_type")).alias("b"))
     best = best.select("graph_id", "from_node", "to_node", "b.edge_type", "b.weight")
     new = best.join(directed.select("graph_id", "from_node", "to_node").distinct(), ["graph_id", "from_node", "to_node"], "left_anti")

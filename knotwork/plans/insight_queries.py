@@ -61,7 +61,7 @@ def confidence_decay(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {DIRECTED}, h AS (SELECT * FROM d WHERE edge_type IN ('causes', 'depends-on', 'supports') AND weight IS NOT NULL),
-w AS (SELECT a.graph_id, a.from_node, b.to_node, a.edge_type, round(a.weight * b.weight * 0.5, 6) AS weight FROM h a JOIN h b ON b.graph_id = a.graph_id AND b.from_node = a.to_node AND b.edge_type = a.edge_type WHERE a.from_node <> b.to_node),
+w AS (SELECT a.graph_id, a.from_node, b.to_node, a.edge_type, {SIX.format('a.weight * b.weight * 0.5')} AS weight FROM h a JOIN h b ON b.graph_id = a.graph_id AND b.from_node = a.to_node AND b.edge_type = a.edge_type WHERE a.from_node <> b.to_node),
 x AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, from_node, to_node ORDER BY weight DESC, edge_type DESC) AS r FROM w WHERE weight >= 0.15) WHERE r = 1),
 y AS (SELECT * FROM x ANTI JOIN (SELECT graph_id, from_node, to_node FROM d) USING (graph_id, from_node, to_node))
 SELECT graph_id, from_node, to_node, edge_type, weight FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY weight DESC, from_node, to_node) AS k FROM y) WHERE k <= 100"""
