@@ -178,15 +178,18 @@ def resolved(x: np.ndarray, limit: int, least_bits: int) -> Iterator[pd.DataFram
     left = np.repeat(np.append(starts[1:], len(x)), np.diff(np.append(starts, len(x)))) - np.arange(len(x)) - 1
     at, d = np.flatnonzero(left >= 1), 1
     s = x[:, 2:].view(np.uint64)
+    a, b = [], []
     while len(at):
         other = at + d
         same = SKETCH_BITS - (np.bitwise_count(s[at, 0] ^ s[other, 0]).astype(np.int16) + np.bitwise_count(s[at, 1] ^ s[other, 1]))
         ok = same >= least_bits
-        if ok.any():
-            a, b = x[at[ok], 1], x[other[ok], 1]
-            yield pd.DataFrame({"kind": np.zeros(len(a), dtype=np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+        a.append(at[ok])
+        b.append(other[ok])
         d += 1
         at = at[left[at] >= d]
+    if a:
+        a, b = x[np.concatenate(a), 1], x[np.concatenate(b), 1]
+        yield pd.DataFrame({"kind": np.zeros(len(a), dtype=np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def shared_share(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
