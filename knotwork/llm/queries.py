@@ -11,6 +11,7 @@ from knotwork.llm.conversations import rebuild_conversations
 from knotwork.llm.leakage import leaked_items
 from knotwork.llm.names import link_names, spelling_pairs
 from knotwork.llm.nearcopies import near_copy_groups, near_copy_pairs
+from knotwork.llm.oracles import SQL
 from knotwork.llm.packing import pack_documents
 from knotwork.llm.reading import reading_levels
 from knotwork.llm.splitting import split_texts
@@ -92,4 +93,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
