@@ -46,7 +46,8 @@ def export_messages(text: Column) -> Column:
 
 def channel_messages(text: Column) -> Column:
     """The messages of a channel export; those of bots are the assistant's. null if it cannot be read."""
-    rows = F.coalesce(F.from_json(text, CHANNEL), F.from_json(text, f"struct<messages:{CHANNEL}>")["messages"])
+    whole = F.from_json(text, f"struct<messages:{CHANNEL}>")["messages"]
+    rows = F.when(F.ltrim(text).startswith("["), F.from_json(text, CHANNEL)).otherwise(whole)
     kept = F.filter(rows, lambda m: (m["type"] == "message") & (F.coalesce(m["text"], F.lit("")) != ""))
     return F.transform(kept, lambda m: item(F.when(m["bot_id"].isNotNull(), "assistant").otherwise("user"), m["text"]))
 
