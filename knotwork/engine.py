@@ -106,9 +106,8 @@ class Engine:
         content = G.content_only(graph.nodes)
         counts = materialise(I.term_counts(content, ["node_id"], "content"), "terms")
         idf = I.inverse_frequencies(counts, content.agg(F.count_distinct("node_id").alias("n_texts")), [])
-        weights = I.text_weights(I.term_frequencies(counts, ["node_id"]), idf, [], ["node_id"])
         parts = questions.select(key, F.posexplode(R.sub_queries(F.col(text))).alias("part", "asked")).withColumn("k", F.concat_ws("|", F.col(key).cast("string"), "part"))
-        found = I.search(weights, parts, idf, "k", "asked", ["node_id"], top)
+        found = I.search(counts, parts, idf, "k", "asked", ["node_id"], top)
         return R.merged_seeds(found.join(parts.select("k", key), "k"), key=key, node="node_id")
 
     def query(self, graph: Graph, questions: DataFrame, key: str = "q", text: str = "question", options: R.Traversal = R.Traversal()) -> DataFrame:

@@ -34,8 +34,16 @@ def edged(pattern: str) -> str:
 
 def tokens(text: Column) -> Column:
     """The terms of a text: lower-case runs of ASCII letters and digits of two or more, without stop words."""
-    words = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+")
-    return F.filter(words, lambda t: (F.length(t) > 1) & ~t.isin(STOPWORDS))
+    return F.filter(words(text), is_term)
+
+
+def words(text: Column) -> Column:
+    """The lower-case runs of ASCII letters and digits of a text; empty strings may stand at the ends."""
+    return F.split(F.lower(text), "[^a-z0-9]+")
+
+
+def is_term(word: Column) -> Column:
+    return (F.length(word) > 1) & ~word.isin(STOPWORDS)
 
 
 def sentences(text: Column) -> Column:

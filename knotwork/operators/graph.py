@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knotwork.functions.text import STRUCTURAL, content_hash, defined_term, jaccard, links
-from knotwork.operators.index import inverse_frequencies, term_counts, term_frequencies, text_weights
+from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
 from knotwork.session import materialise
 
 
@@ -115,10 +115,8 @@ def similarity_edges(nodes: DataFrame, most_common: int = 500, per_node: int = 1
     counts = materialise(counts, "terms")
     sizes = texts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts"))
     idf = inverse_frequencies(counts, sizes, ["graph_id"])
-    frequencies = term_frequencies(counts, ["graph_id", "node_id", "ord"])
-    weights = materialise(text_weights(frequencies, idf, ["graph_id"], ["graph_id", "node_id", "ord"]), "weights")
+    half = materialise(unit_weights(counts, idf, ["graph_id"], ["graph_id", "node_id", "ord"]), "weights")
     rare = idf.where(F.col("df") < most_common).select("graph_id", "term")
-    half = weights.select("graph_id", "term", "node_id", "ord", (F.col("w") / F.col("norm")).alias("u"))
     left = half.select("graph_id", "term", F.struct("ord", "node_id").alias("x"), F.col("u").alias("ux"))
     right = half.select("graph_id", "term", F.struct("ord", "node_id").alias("y"), F.col("u").alias("uy"))
     kept = left.join(rare, ["graph_id", "term"])

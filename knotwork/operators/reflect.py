@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from knotwork.functions.text import domain, edged, jaccard, same_case, six
 from knotwork.operators.graph import content_only
-from knotwork.operators.index import inverse_frequencies, term_counts, term_frequencies, text_weights
+from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
+from knotwork.session import materialise
 
 #: Names too general to compare claims by. Fixed values.
 GENERIC = """
@@ -69,15 +70,16 @@ def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.1
     pairs = pairs.where((F.length("ta") >= 80) & (F.length("tb") >= 80) & (conflicting(F.col("ta")) | conflicting(F.col("tb"))))
     pairs = pairs.select("graph_id", "a", "b", "n_shared")
 
-    counts = term_counts(nodes, ["graph_id", "node_id"], "content")
+    pairs = materialise(pairs.distinct(), "pairs")
+    ends = pairs.select("graph_id", F.explode(F.array("a", "b")).alias("node_id")).distinct()
+    counts = materialise(term_counts(nodes, ["graph_id", "node_id"], "content"), "terms")
     idf = inverse_frequencies(counts, nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts")), ["graph_id"])
-    weights = text_weights(term_frequencies(counts, ["graph_id", "node_id"]), idf, ["graph_id"], ["graph_id", "node_id"])
-    unit = weights.select("graph_id", "node_id", "term", (F.col("w") / F.col("norm")).alias("u"))
+    unit = unit_weights(counts.join(ends, ["graph_id", "node_id"], "left_semi"), idf, ["graph_id"], ["graph_id", "node_id"])
     x = pairs.join(unit.select("graph_id", F.col("node_id").alias("a"), "term", F.col("u").alias("ua")), ["graph_id", "a"])
     both = x.join(unit.select("graph_id", F.col("node_id").alias("b"), "term", F.col("u").alias("ub")), ["graph_id", "b", "term"])
     alike = both.groupBy("graph_id", "a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")), 6).alias("cosine"))
     found = pairs.join(alike, ["graph_id", "a", "b"], "left").where(F.coalesce("cosine", F.lit(0.0)) < likeness)
-    return found.select("graph_id", F.col("a").alias("node_a"), F.col("b").alias("node_b"), "n_shared").distinct()
+    return found.select("graph_id", F.col("a").alias("node_a"), F.col("b").alias("node_b"), "n_shared")
 
 
 def discoveries(nodes: DataFrame, undirected: DataFrame, per_domain: int = 100, top: int = 20) -> DataFrame:

@@ -9,7 +9,7 @@ from knotwork.functions import text as X
 from knotwork.operators import graph as G
 from knotwork.operators import index as I
 from knotwork.plans.registry import NODES, content_nodes, query
-from knotwork.session import table
+from knotwork.session import materialise, table
 
 STOP_SQL = "(" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")"
 
@@ -64,16 +64,11 @@ def idf_smoothed(spark: SparkSession, sf: str) -> DataFrame:
     return I.inverse_frequencies(counts, sizes, ["graph_id"]).withColumn("idf", F.round("idf", 6))
 
 
-def document_index(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+def question_seeds(spark: SparkSession, sf: str, top: int = 5) -> DataFrame:
     docs = table(spark, sf, "documents")
-    counts = I.term_counts(docs, ["doc_id"], "text")
+    counts = materialise(I.term_counts(docs, ["doc_id"], "text"), "terms")
     idf = I.inverse_frequencies(counts, docs.agg(F.count_distinct("doc_id").alias("n_texts")), [])
-    return I.text_weights(I.term_frequencies(counts, ["doc_id"]), idf, [], ["doc_id"]), idf
-
-
-def question_seeds(spark: SparkSession, sf: str, top: int = 5) -> DataFrame:
-    weights, idf = document_index(spark, sf)
-    return I.search(weights, table(spark, sf, "eval_items").select("item_id", "question"), idf, "item_id", "question", ["doc_id"], top)
+    return I.search(counts, table(spark, sf, "eval_items").select("item_id", "question"), idf, "item_id", "question", ["doc_id"], top)
 
 
 @query(f"WITH {DOC_INDEX} SELECT item_id, doc_id, score, seed_no FROM seeds")
