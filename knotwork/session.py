@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,18 @@ def materialise(df: DataFrame, what: str = "step") -> DataFrame:
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Sends this package to the executors, once for a session, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_knotwork_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="knotwork-")) / "knotwork.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in package.rglob("*.py"):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    context._knotwork_shipped = True
+    return spark

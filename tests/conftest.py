@@ -17,7 +17,9 @@ def spark():
     }
     s = SparkSession.builder.master("local[4]").config(map=conf).getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
-    yield s
+    from knotwork.session import ship
+
+    yield ship(s)
     s.stop()
 
 
