@@ -14,8 +14,10 @@ from knotwork.operators.components import connected_components
 from knotwork.session import materialise
 
 WORD = re.compile(r"[^\W_]+")
-SKETCH_BITS = 128
-ROW = "path long, cls long, s0 long, s1 long"
+SKETCH_WORDS = 3
+SKETCH_BITS = 64 * SKETCH_WORDS
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
+ROW = "path long, cls long, " + ", ".join(f"{c} long" for c in SKETCH)
 
 
 def mix(x: np.ndarray, seed: int | np.ndarray = 0) -> np.ndarray:
@@ -101,16 +103,20 @@ def flat(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(packed), dtype=np.uint32), np.fromiter((len(x) // 4 for x in packed), dtype=np.int64, count=len(packed))
 
 
-def sketches(tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit words for each set: one bit of the least hash under each of 128 hash functions."""
+def sketches(tokens: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    """Some 64-bit words for each set: one bit of the least hash under each of SKETCH_BITS hash functions."""
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     base = mix(tokens)
-    out = [np.zeros(len(sizes), dtype=np.uint64) for _ in range(2)]
+    out = [np.zeros(len(sizes), dtype=np.uint64) for _ in SKETCH]
     for k in range(SKETCH_BITS):
         h = ((base ^ SEEDS[k]) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(24)
         least = np.minimum.reduceat(h, starts)
         out[k // 64] |= (least & np.uint64(1)) << np.uint64(k % 64)
-    return out[0].view(np.int64), out[1].view(np.int64)
+    return [x.view(np.int64) for x in out]
+
+
+def path_rows(cls: np.ndarray, sketch: list[np.ndarray], owner: np.ndarray, path: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"path": path.view(np.int64), "cls": cls[owner], **{c: x[owner] for c, x in zip(SKETCH, sketch)}})
 
 
 def chosen_paths(tokens: np.ndarray, sizes: np.ndarray, owner: np.ndarray, path: np.ndarray, spread: float, frequent: np.ndarray, depth: int) -> list[np.ndarray]:
@@ -142,7 +148,7 @@ def bucket_pairs(batches: Iterator[pd.DataFrame], limit: int, least_bits: int) -
     """Of rows sorted by path: the pairs of small buckets whose sketches agree (kind 0), the rows of large ones (kind 1)."""
     rest = None
     for batch in batches:
-        x = np.column_stack([batch[c].to_numpy(np.int64) for c in ("path", "cls", "s0", "s1")])
+        x = np.column_stack([batch[c].to_numpy(np.int64) for c in ("path", "cls", *SKETCH)])
         x = x if rest is None else np.concatenate([rest, x])
         end = int(np.searchsorted(x[:, 0], x[-1, 0])) if len(x) else 0
         if len(x) - end > limit + 1:  # of a bucket that is large already, all but the first rows can go
@@ -181,8 +187,8 @@ def resolved(x: np.ndarray, limit: int, least_bits: int) -> Iterator[pd.DataFram
     a, b = [], []
     while len(at):
         other = at + d
-        same = SKETCH_BITS - (np.bitwise_count(s[at, 0] ^ s[other, 0]).astype(np.int16) + np.bitwise_count(s[at, 1] ^ s[other, 1]))
-        ok = same >= least_bits
+        unlike = np.bitwise_count(s[at] ^ s[other]).sum(axis=1, dtype=np.int16)
+        ok = SKETCH_BITS - unlike >= least_bits
         a.append(at[ok])
         b.append(other[ok])
         d += 1
@@ -230,7 +236,7 @@ def near_copies(
     whose seeded hash is below 1 / (threshold n), so that two sets at the
     threshold expect one common step or more in every run. Sets on one path are
     a bucket. Steps over frequent tokens are split again at once. Buckets of up
-    to `limit` sets are compared pair by pair by 128-bit sketches; larger ones
+    to `limit` sets are compared pair by pair by 192-bit sketches; larger ones
     take another step, and those that remain after max_levels are compared in
     full, in blocks. Candidates are verified on the whole sets.
 
@@ -257,19 +263,19 @@ def near_copies(
             for lo in range(0, len(new), 4096):
                 part = batch.iloc[new[lo : lo + 4096]]
                 tokens, sizes = flat(list(part["tokens"]))
-                s0, s1 = sketches(tokens, sizes)
+                sketch = sketches(tokens, sizes)
                 owner = np.tile(np.arange(len(part)), runs)
                 start = np.repeat(SEEDS[1000 : 1000 + runs], len(part))
                 owner, path = chosen_paths(tokens, sizes, owner, start, spread, sent.value, max_levels)
-                yield pd.DataFrame({"path": path.view(np.int64), "cls": part["cls"].to_numpy()[owner], "s0": s0[owner], "s1": s1[owner]})
+                yield path_rows(part["cls"].to_numpy(), sketch, owner, path)
 
     def next_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens, sizes = flat(list(batch["tokens"]))
-            s0, s1 = sketches(tokens, sizes)
+            sketch = sketches(tokens, sizes)
             start = batch["path"].to_numpy(np.int64).view(np.uint64)
             owner, path = chosen_paths(tokens, sizes, np.arange(len(batch)), start, spread, np.empty(0, np.uint32), 1)
-            yield pd.DataFrame({"path": path.view(np.int64), "cls": batch["cls"].to_numpy()[owner], "s0": s0[owner], "s1": s1[owner]})
+            yield path_rows(batch["cls"].to_numpy(), sketch, owner, path)
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return bucket_pairs(batches, limit, least_bits)
