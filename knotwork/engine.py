@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,9 @@ from knotwork.functions import text as X
 from knotwork.operators import corrections as C
 from knotwork.operators import graph as G
 from knotwork.operators import index as I
+from knotwork.operators import providers as M
 from knotwork.operators import reflect as S
+from knotwork.operators import render as N
 from knotwork.operators import reports as H
 from knotwork.operators import retrieve as R
 from knotwork.session import materialise
@@ -116,6 +119,20 @@ class Engine:
         scores = R.traverse(seeds, R.neighbours(graph.directed, graph.undirected, options.backward, options.blocked), key, options)
         return R.top_nodes(scores, graph.nodes, key, self.as_of, options.nodes)
 
+    def texts(self, graph: Graph, questions: DataFrame, key: str = "q", text: str = "question", options: R.Traversal = R.Traversal()) -> DataFrame:
+        """(key, text): the subgraph for every question as text, for any number of questions."""
+        best = materialise(self.query(graph, questions, key, text, options), "best")
+        directed = graph.directed.where(~F.col("edge_type").isin(*options.blocked)) if options.blocked else graph.directed
+        one = materialise(R.edges_between(best, directed.select("from_node", "to_node", "edge_type", "weight"), key, ("from_node", "to_node")), "one")
+        two = materialise(R.edges_between(best, graph.undirected.select("node_a", "node_b", "edge_type", "weight"), key, ("node_a", "node_b")), "two")
+        return N.subgraph_texts(best, graph.nodes, one, two, key)
+
+    def answer(self, graph: Graph, questions: DataFrame, model: Callable[[], M.TextModel] = M.FirstSentences, key: str = "q", text: str = "question") -> DataFrame:
+        """(key, answer): a model's answer to every question from its subgraph."""
+        asked = questions.select(key, F.col(text).alias("asked")).join(self.texts(graph, questions, key, text), key)
+        prompts = asked.select(key, F.concat(F.lit("Answer from this subgraph alone.\n\n"), "text", F.lit("\n\nQuestion: "), "asked").alias("prompt"))
+        return M.answered(prompts, key, "prompt", model)
+
     def context(self, graph: Graph, question: str, options: R.Traversal = R.Traversal()) -> str:
         """The subgraph for one question as text; at most options.nodes nodes reach the driver."""
         asked = self.spark.createDataFrame([("q", question)], "q string, question string")

@@ -73,6 +73,23 @@ def entity_relationships(nodes: DataFrame, directed: DataFrame, reports: DataFra
     return out.where(F.col("r") <= most).select("graph_id", "name", "target", "edge_type", "weight")
 
 
+def entity_facts(nodes: DataFrame, reports: DataFrame, most: int = 20) -> DataFrame:
+    """(graph_id, name, fact_no, content, node_type, file): the first `most` content nodes, by ord, of every reported entity."""
+    named = content_only(nodes).select("graph_id", "node_id", "ord", "node_type", F.left("content", F.lit(300)).alias("content"), F.col("source.file").alias("file"), F.explode(F.array_distinct("entities")).alias("name"))
+    rows = named.join(reports.select("graph_id", "name"), ["graph_id", "name"])
+    rows = rows.withColumn("fact_no", F.row_number().over(Window.partitionBy("graph_id", "name").orderBy("ord", "node_id"))).where(F.col("fact_no") <= most)
+    return rows.select("graph_id", "name", "fact_no", "content", "node_type", "file")
+
+
+def related_persons(nodes: DataFrame, directed: DataFrame, reports: DataFrame) -> DataFrame:
+    """(graph_id, name, person): the persons that edges tie to the nodes of a reported entity."""
+    named = content_only(nodes).select("graph_id", "node_id", F.explode(F.array_distinct("entities")).alias("name")).join(reports.select("graph_id", "name"), ["graph_id", "name"])
+    way = lambda a, b: directed.select("graph_id", F.col(a).alias("node_id"), F.col(b).alias("other"))
+    ends = named.join(way("from_node", "to_node").unionAll(way("to_node", "from_node")), ["graph_id", "node_id"]).select("graph_id", "name", "other").distinct()
+    persons = nodes.where("node_type = 'person'").select("graph_id", F.col("node_id").alias("other"), F.col("content").alias("person"))
+    return ends.join(persons, ["graph_id", "other"]).select("graph_id", "name", "person").distinct()
+
+
 def topic_page(nodes: DataFrame, topic: str, top: int = 50) -> DataFrame:
     """(graph_id, node_id, node_type, relevance, year, place): per graph the nodes that matter to a topic.
 

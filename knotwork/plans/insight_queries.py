@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from knotwork.functions import text as X
 from knotwork.operators import identities as P
 from knotwork.operators import reflect as S
+from knotwork.operators import render as N
 from knotwork.operators import retrieve as R
 from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, directed, graph_nodes, query, undirected
 from knotwork.plans.text_queries import CONTENT, counts_sql, question_seeds
-from knotwork.session import table
+from knotwork.session import materialise, table
 
 SIX = "floor(({0}) * 1000000 + 0.5) / 1000000"
 CONFLICT_SQL = """regexp_matches(lower({0}), '\\bnot\\s+(?:a|an|the)\\s|\\bno longer\\b|\\bwas\\s+(?:not|never)\\b|\\breplaced\\s+by\\b|\\bcontrary\\s+to\\b|\\bis\\s+(?:incorrect|wrong|false|inaccurate)\\b|\\bwas\\s+(?:incorrect|wrong|false|inaccurate)\\b|\\breclassified\\b|\\bdisputed\\b|\\bdisproven\\b')"""
@@ -224,6 +225,15 @@ def subgraph_edges(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def subgraph_text(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = materialise(best_nodes(spark, sf), "best")
+    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "content", "source", "metadata")
+    one = R.edges_between(chosen, directed(spark, sf, "from_node", "to_node", "edge_type", "weight"), "q", ("from_node", "to_node"))
+    two = R.edges_between(chosen, undirected(spark, sf, "node_a", "node_b", "edge_type", "weight"), "q", ("node_a", "node_b"))
+    return N.subgraph_texts(chosen, nodes, materialise(one, "one"), materialise(two, "two"), "q")
+
+
 @query(
     f"""{TOP_SQL}, sib AS (SELECT t.q, x.node_id, {SIX.format('max(t.score) * 0.9')} AS score FROM top t JOIN n a ON a.node_id = t.node_id JOIN n x ON x.graph_id = a.graph_id AND x.source.file = a.source.file
   AND regexp_full_match(a.source.section, '(?i)assistant \\(turn [0-9]+\\)') AND regexp_full_match(x.source.section, '(?i)user \\(turn [0-9]+\\)') AND regexp_extract(a.source.section, '([0-9]+)\\)$', 1) = regexp_extract(x.source.section, '([0-9]+)\\)$', 1)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import access as A
 from knotwork.operators import corrections as C
+from knotwork.operators import render as N
 from knotwork.operators import reports as H
 from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, directed, graph_nodes, query, undirected
 from knotwork.plans.text_queries import CONTENT
-from knotwork.session import table
+from knotwork.session import materialise, table
 
 #: What topic queries look for. Fixed value.
 TOPIC = "Archive"
@@ -74,6 +75,20 @@ def entity_relationships(spark: SparkSession, sf: str) -> DataFrame:
     return H.entity_relationships(nodes, directed(spark, sf, *PLAIN_EDGE), H.entity_reports(nodes))
 
 
+@query(
+    f"""WITH {REPORT_SQL} SELECT graph_id, name, fact_no, content, node_type, file FROM (SELECT e.graph_id, e.name, left(content, 300) AS content, node_type, source.file AS file,
+  row_number() OVER (PARTITION BY e.graph_id, e.name ORDER BY ord, node_id) AS fact_no FROM e SEMI JOIN rep ON rep.graph_id = e.graph_id AND rep.name = e.name) WHERE fact_no <= 20"""
+)
+def entity_facts(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf, *REPORTED)
+    return H.entity_facts(nodes, H.entity_reports(nodes))
+
+
+@query()
+def audit_text(spark: SparkSession, sf: str) -> DataFrame:
+    return N.audit_texts(graph_health(spark, sf), entity_report(spark, sf), coverage_gaps(spark, sf))
+
+
 PAGE_SQL = f"""{NODES}, {CONTENT}, g AS (SELECT graph_id, node_id, node_type, content, confidence, coalesce(len(list_filter(entities, lambda q: contains(lower(q), '{TOPIC.lower()}'))) > 0, false) AS named, coalesce(contains(lower(content), '{TOPIC.lower()}'), false) AS said, metadata['synthesis'] IS NOT NULL AS rich FROM t),
 h AS (SELECT graph_id, node_id, node_type, round((CASE WHEN named THEN 0.5 ELSE 0 END + CASE WHEN said THEN 0.3 ELSE 0 END + CASE WHEN said AND node_type = 'person' THEN 0.8 ELSE 0 END + CASE WHEN rich THEN 0.1 ELSE 0 END)::DOUBLE * confidence, 6) AS relevance,
  try_cast(regexp_extract(content, '\\b(1[0-9]{{3}}|20[0-2][0-9])\\b', 1) AS INT) AS year FROM g),
@@ -95,6 +110,13 @@ def topic_relations(spark: SparkSession, sf: str) -> DataFrame:
     return H.topic_relations(H.topic_page(nodes, TOPIC), directed(spark, sf, *PLAIN_EDGE), nodes)
 
 
+@query()
+def topic_page_text(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf, *PAGED, "source")
+    page = materialise(H.topic_page(nodes, TOPIC), "page")
+    return N.topic_pages(page, nodes, H.topic_relations(page, directed(spark, sf, *PLAIN_EDGE), nodes), TOPIC)
+
+
 DEGREE_SQL = f"deg AS (SELECT graph_id, node_id, count(*) AS degree FROM ({ENDS_SQL}) WHERE node_id IS NOT NULL GROUP BY 1, 2)"
 CANDIDATE_SQL = f"""cand AS (SELECT * FROM (SELECT graph_id, node_id, priority, row_number() OVER (PARTITION BY graph_id ORDER BY priority DESC, node_id) AS place FROM (
  SELECT graph_id, node_id, round(confidence * (1 + access_count * 0.1::DOUBLE) * (1 + coalesce(degree, 0) * 0.05::DOUBLE), 6) AS priority FROM t LEFT JOIN deg USING (graph_id, node_id) WHERE metadata['synthesis'] IS NULL AND length(content) >= 30)) WHERE place <= 20)"""

@@ -34,6 +34,10 @@ def test_ingest_query_save_update(spark, tmp_path):
     for question, words in CASES:
         text = e.context(graph, question).lower()
         assert sum(w in text for w in words) >= -(-len(words) // 2), (question, text)
+    asked = spark.createDataFrame([(i, q) for i, (q, _) in enumerate(CASES)], "q int, question string")
+    texts = {r.q: r.text for r in e.texts(graph, asked).collect()}
+    assert set(texts) == set(range(len(CASES))) and "watt" in texts[0].lower() and texts[0].startswith("=== KNOWLEDGE SUBGRAPH")
+    assert e.answer(graph, asked).where("answer is not null").count() == len(CASES)
     e.save(graph, str(tmp_path / "store"))
     again = e.load(str(tmp_path / "store"), "g")
     assert again.nodes.count() == graph.nodes.count() and again.directed.count() == graph.directed.count()
