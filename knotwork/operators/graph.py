@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from knotwork.functions.text import STRUCTURAL, content_hash, defined_term, jaccard, links
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
+from knotwork.operators.spread import next_in_group
 from knotwork.session import materialise
 
 
@@ -34,21 +35,20 @@ def new_edge_id(*parts: Column | str) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)
 
 
+def sections_of(nodes: DataFrame) -> DataFrame:
+    return content_only(nodes).select("graph_id", F.col("source.file").alias("file"), F.col("source.section").alias("section"), "ord", "node_id")
+
+
 def precedes_edges(nodes: DataFrame) -> DataFrame:
-    """(graph_id, from_node, to_node, edge_type, weight): every content node of a section after the one before it."""
-    place = Window.partitionBy("graph_id", "source.file", "source.section").orderBy("ord", "node_id")
-    rows = content_only(nodes).withColumn("before", F.lag("node_id").over(place)).where("before is not null")
-    return rows.select("graph_id", F.col("before").alias("from_node"), F.col("node_id").alias("to_node"), F.lit("precedes").alias("edge_type"), F.lit(0.8).alias("weight"))
+    """(graph_id, from_node, to_node, edge_type, weight): every content node of a section before the next one."""
+    met = next_in_group(sections_of(nodes), ["graph_id", "file", "section"], ["ord", "node_id"], "node_id", 1)
+    return met.select("graph_id", F.col("x").alias("from_node"), F.col("y").alias("to_node"), F.lit("precedes").alias("edge_type"), F.lit(0.8).alias("weight"))
 
 
 def cooccurrence_edges(nodes: DataFrame, window: int = 3) -> DataFrame:
     """(graph_id, node_a, node_b, edge_type, weight): content nodes of a section with up to `window` that follow."""
-    place = Window.partitionBy("graph_id", "source.file", "source.section").orderBy("ord", "node_id")
-    later = F.array(*[F.lead("node_id", i).over(place) for i in range(1, window + 1)])
-    rows = content_only(nodes).select("graph_id", "node_id", later.alias("later")).select("graph_id", "node_id", F.explode("later").alias("other"))
-    return rows.where("other is not null").select(
-        "graph_id", F.least("node_id", "other").alias("node_a"), F.greatest("node_id", "other").alias("node_b"), F.lit("co-occurs").alias("edge_type"), F.lit(0.4).alias("weight")
-    )
+    met = next_in_group(sections_of(nodes), ["graph_id", "file", "section"], ["ord", "node_id"], "node_id", window)
+    return met.select("graph_id", F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b"), F.lit("co-occurs").alias("edge_type"), F.lit(0.4).alias("weight"))
 
 
 def contains_edges(nodes: DataFrame) -> DataFrame:

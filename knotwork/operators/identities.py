@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from knotwork.functions.text import likely_person, one_spaced
 from knotwork.operators.graph import new_edge_id
+from knotwork.operators.spread import next_in_group
 
 #: Roles that may stand near a name. Fixed values.
 ROLES = ["professor", "dr.", "researcher", "scientist", "engineer", "mathematician", "inventor", "pioneer", "founder", "ceo", "cto", "president", "director", "manager", "lead"]
@@ -30,9 +31,7 @@ def persons(found: DataFrame, least: int = 2) -> DataFrame:
 def person_links(found: DataFrame, known: DataFrame, ahead: int = 4) -> DataFrame:
     """(graph_id, node_a, node_b): nodes that mention a person with the next `ahead` that do."""
     rows = found.join(known.select("graph_id", "name"), ["graph_id", "name"])
-    place = Window.partitionBy("graph_id", "name").orderBy("ord", "node_id")
-    later = F.array(*[F.lead("node_id", i).over(place) for i in range(1, ahead + 1)])
-    rows = rows.withColumn("later", later).select("graph_id", F.col("node_id").alias("x"), F.explode("later").alias("y")).where("y is not null")
+    rows = next_in_group(rows, ["graph_id", "name"], ["ord", "node_id"], "node_id", ahead)
     return rows.select("graph_id", F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b")).distinct()
 
 

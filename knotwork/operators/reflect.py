@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from knotwork.functions.text import domain, edged, jaccard, same_case, six
 from knotwork.operators.graph import content_only
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
+from knotwork.operators.spread import hot_keys, next_in_group
 from knotwork.session import materialise
 
 #: Names too general to compare claims by. Fixed values.
@@ -58,11 +59,11 @@ def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.1
     nodes = content_only(nodes).where((F.col("node_type") != "person") & (F.length("content") >= 50))
     each = nodes.select("graph_id", "node_id", "ord", F.explode(F.array_distinct("entities")).alias("name"))
     each = each.where((F.length("name") >= 4) & ~F.col("name").rlike("^[0-9]+$") & ~F.lower("name").isin(GENERIC))
-    sized = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("graph_id", "name"))).where(F.col("n").between(2, most))
-    place = Window.partitionBy("graph_id", "name").orderBy("ord", "node_id")
-    later = F.array(*[F.lead("node_id", i).over(place) for i in range(1, ahead + 1)])
-    met = sized.withColumn("later", later).select("graph_id", F.col("node_id").alias("a"), F.explode("later").alias("b"))
-    met = met.where("b is not null").distinct()
+    each = materialise(each.select("graph_id", "name", "ord", "node_id"), "named")
+    counts = each.groupBy("graph_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    spread = hot_keys(counts, each.count(), floor=most).select("graph_id", "name")
+    few = each.join(F.broadcast(spread), ["graph_id", "name"], "left_anti").join(counts.where(F.col("n").between(2, most)), ["graph_id", "name"], "left_semi")
+    met = next_in_group(few, ["graph_id", "name"], ["ord", "node_id"], "node_id", ahead).select("graph_id", F.col("x").alias("a"), F.col("y").alias("b")).distinct()
     side = lambda c: nodes.select("graph_id", F.col("node_id").alias(c), F.col("content").alias(f"t{c}"), F.col("entities").alias(f"e{c}"))
     pairs = met.join(side("a"), ["graph_id", "a"]).join(side("b"), ["graph_id", "b"])
     long = F.array_intersect(F.filter(same_case(F.col("ea")), lambda e: F.length(e) >= 4), same_case(F.col("eb")))

@@ -49,3 +49,36 @@ def rank_in_slices(df: DataFrame, key: str, order: list, size: int = 50_000, tot
     cut = slice_of(F.col(lead), F.col("low"), F.col("high"), F.col("n"), size)
     sliced = df.join(F.broadcast(hot), key, "left").withColumn("slice", F.when(F.col("n").isNull(), F.lit(0)).otherwise(cut)).drop("n", "low", "high")
     return sliced.withColumn("local_no", F.row_number().over(Window.partitionBy(key, "slice").orderBy(*order)))
+
+
+def next_in_group(df: DataFrame, keys: list[str], order: list[str], item: str, ahead: int, floor: int = 50_000) -> DataFrame:
+    """(keys, x, y, step): every item with the up to `ahead` items that follow it in its group.
+
+    order begins with a long column and ends in a unique one. Groups of ordinary
+    size are read in one window; a group with more than floor rows and more than
+    a thousandth of all is numbered in slices, and its items meet by number, so
+    that no task reads it whole. Null keys form groups as other values do.
+    """
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n").alias("n"), F.sum("n").alias("total")).first()
+    place = Window.partitionBy(*keys).orderBy(*order)
+    later = F.array(*[F.struct(F.lit(i).alias("step"), F.lead(item, i).over(place).alias("y")) for i in range(1, ahead + 1)])
+
+    def windowed(rows: DataFrame) -> DataFrame:
+        met = rows.withColumn("_later", later).select(*keys, F.col(item).alias("x"), F.explode("_later").alias("_l"))
+        return met.select(*keys, "x", "_l.y", "_l.step").where(F.col("y").isNotNull())
+
+    if not most["n"] or most["n"] <= max(floor, most["total"] // 1000):
+        return windowed(df)
+    one = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys])
+    hot = F.broadcast(hot_keys(sizes, most["total"], floor=floor).select(one.alias("_key")))
+    marked = df.withColumn("_key", one)
+    cold = windowed(marked.join(hot, "_key", "left_anti"))
+    ranked = rank_in_slices(marked.join(hot, "_key", "left_semi"), "_key", order, floor)
+    counts = ranked.groupBy("_key", "slice").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("_key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("_key", "slice", before.alias("before"))
+    numbered = ranked.join(counts, ["_key", "slice"]).withColumn("_no", F.col("before") + F.col("local_no"))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(ahead)))
+    y = numbered.select("_key", F.col(item).alias("y"), "_no", steps.alias("step")).select("_key", "y", "step", (F.col("_no") - F.col("step")).alias("_no"))
+    return cold.unionByName(numbered.select("_key", *keys, F.col(item).alias("x"), "_no").join(y, ["_key", "_no"]).select(*keys, "x", "y", "step"))

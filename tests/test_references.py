@@ -5,7 +5,7 @@ from datetime import datetime as D
 from pyspark.sql import functions as F
 
 from knotwork.operators.references import dangling_references, references_by_period, stored_time
-from knotwork.operators.spread import hot_keys, join_spread, rank_in_slices
+from knotwork.operators.spread import hot_keys, join_spread, next_in_group, rank_in_slices
 
 NODE = "graph_id string, node_id string, metadata map<string,string>, created_at timestamp_ntz, key string, parent boolean"
 EDGE = "graph_id string, edge_id string, from_node string, to_node string, created_at timestamp_ntz, key string, at string, reason string, n long"
@@ -65,3 +65,12 @@ def test_hot_keys_join_and_ranks(spark):
     ranked = rank_in_slices(rows, "k", ["v"], size=60)
     hot_rows = ranked.where("k = 'hot'")
     assert hot_rows.select("slice").distinct().count() > 5 and hot_rows.groupBy("slice").count().agg(F.max("count")).first()[0] <= 60
+
+
+def test_next_in_hot_groups(spark):
+    rows = spark.createDataFrame([("hot", None, i * 3, f"h{i:03}") for i in range(300)] + [(None, "s", 1, "a"), (None, "s", 2, "b"), ("k", None, 1, "c")], "k string, s string, ord long, id string")
+    want = {(f"h{i:03}", f"h{i + j:03}", j) for i in range(300) for j in (1, 2) if i + j < 300} | {("a", "b", 1)}
+    for floor in (50_000, 40):
+        got = next_in_group(rows, ["k", "s"], ["ord", "id"], "id", 2, floor=floor)
+        assert {(r.x, r.y, r.step) for r in got.collect()} == want
+    assert next_in_group(rows.limit(0), ["k", "s"], ["ord", "id"], "id", 2).count() == 0
