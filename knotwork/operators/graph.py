@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from knotwork.functions.text import STRUCTURAL, content_hash, defined_term, jaccard, links
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
-from knotwork.operators.spread import next_in_group
+from knotwork.operators.spread import crowded, join_checked, next_in_group
 from knotwork.session import materialise
 
 
@@ -158,7 +158,7 @@ def rewrite_ends(edges: DataFrame, merged: DataFrame, ends: tuple[str, str]) ->
     """edges with duplicate nodes replaced by their canonical ones; edges that become loops leave."""
     for end in ends:
         names = merged.select("graph_id", F.col("node_id").alias(end), F.col("canonical_id").alias("_to"))
-        edges = edges.join(names, ["graph_id", end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        edges = join_checked(edges, names, ["graph_id", end], crowded(edges, ["graph_id", end]), "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
     return edges.where(F.col(ends[0]) != F.col(ends[1]))
 
 
@@ -213,8 +213,9 @@ def label_rounds(edges: DataFrame, rounds: int = 5) -> DataFrame:
     both = pairs.union(pairs.select("graph_id", "node_b", "node_a")).toDF("graph_id", "node_id", "other")
     both = materialise(both, "neighbours")
     labels = both.select("graph_id", "node_id", F.col("node_id").alias("label")).distinct()
+    hot = crowded(both, ["graph_id", "other"])
     for _ in range(rounds):
-        votes = both.join(labels.select("graph_id", F.col("node_id").alias("other"), "label"), ["graph_id", "other"]).groupBy("graph_id", "node_id", "label").agg(F.count(F.lit(1)).alias("n"))
+        votes = join_checked(both, labels.select("graph_id", F.col("node_id").alias("other"), "label"), ["graph_id", "other"], hot).groupBy("graph_id", "node_id", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("graph_id", "node_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
         labels = materialise(best.select("graph_id", "node_id", "b.label"), "labels")
     return labels

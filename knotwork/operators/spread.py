@@ -28,6 +28,20 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFra
     return cold.unionByName(warm)
 
 
+def crowded(df: DataFrame, keys: list[str], floor: int = 50_000) -> DataFrame | None:
+    """The hot keys of df, at most 1,000; None if there are none. Reads df once, with counts combined before the shuffle."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    most = sizes.agg(F.max("n").alias("n"), F.sum("n").alias("total")).first()
+    if not most["n"] or most["n"] <= max(floor, most["total"] // 1000):
+        return None
+    return hot_keys(sizes, most["total"], floor=floor).select(*keys)
+
+
+def join_checked(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """left joined to right (unique on keys): plainly, or apart for the hot keys of left that crowded() found."""
+    return left.join(right, keys, how) if hot is None else join_spread(left, right, keys, hot, how)
+
+
 def slice_of(place: Column, low: Column, high: Column, n: Column, size: int) -> Column:
     """Which of ceil(n / size) equal stretches of [low, high] a place lies in."""
     pieces = F.ceil(n / F.lit(size))
@@ -59,8 +73,7 @@ def next_in_group(df: DataFrame, keys: list[str], order: list[str], item: str, a
     a thousandth of all is numbered in slices, and its items meet by number, so
     that no task reads it whole. Null keys form groups as other values do.
     """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    most = sizes.agg(F.max("n").alias("n"), F.sum("n").alias("total")).first()
+    hot = crowded(df, keys, floor)
     place = Window.partitionBy(*keys).orderBy(*order)
     later = F.array(*[F.struct(F.lit(i).alias("step"), F.lead(item, i).over(place).alias("y")) for i in range(1, ahead + 1)])
 
@@ -68,10 +81,10 @@ def next_in_group(df: DataFrame, keys: list[str], order: list[str], item: str, a
         met = rows.withColumn("_later", later).select(*keys, F.col(item).alias("x"), F.explode("_later").alias("_l"))
         return met.select(*keys, "x", "_l.y", "_l.step").where(F.col("y").isNotNull())
 
-    if not most["n"] or most["n"] <= max(floor, most["total"] // 1000):
+    if hot is None:
         return windowed(df)
     one = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in keys])
-    hot = F.broadcast(hot_keys(sizes, most["total"], floor=floor).select(one.alias("_key")))
+    hot = F.broadcast(hot.select(one.alias("_key")))
     marked = df.withColumn("_key", one)
     cold = windowed(marked.join(hot, "_key", "left_anti"))
     ranked = rank_in_slices(marked.join(hot, "_key", "left_semi"), "_key", order, floor)

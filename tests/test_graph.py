@@ -43,6 +43,9 @@ def test_components_of_random_graphs(spark):
             parent[max(a, b)] = min(a, b)
         got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
         assert got == {x: root(x) for x in parent}
+    star = spark.createDataFrame([(0, i) for i in range(1, 200)] + [(500, 501)], "a long, b long")
+    got = dict(map(tuple, connected_components(star, floor=20).collect()))
+    assert set(got.values()) == {0, 500} and len(got) == 202
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
