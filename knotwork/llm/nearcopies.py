@@ -258,7 +258,7 @@ def near_copies(
         seen: set[int] = set()
         for batch in batches:
             new = [i for i, c in enumerate(batch["cls"]) if c not in seen and not seen.add(c)]
-            if len(seen) > 5_000_000:
+            if len(seen) > 1_000_000:
                 seen.clear()
             for lo in range(0, len(new), 4096):
                 part = batch.iloc[new[lo : lo + 4096]]
