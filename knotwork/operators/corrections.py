@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.functions.text import correction_type, entities
+from knotwork.functions.text import chunks, correction_type, entities
 from knotwork.operators.graph import closure, content_only, new_edge_id
+from knotwork.sources.texts import markdown_sections
 
 
 def stamped(as_of: str) -> Column:
@@ -89,3 +90,10 @@ def cascade(nodes: DataFrame, directed: DataFrame, roots: DataFrame) -> DataFram
     reached = starts.join(below.withColumnRenamed("node_id", "child").withColumnRenamed("root", "node_id"), ["graph_id", "node_id"])
     held = nodes.select("graph_id", "node_id")
     return reached.select("graph_id", "root", F.col("child").alias("node_id")).distinct().join(held, ["graph_id", "node_id"], "left_semi").where("root <> node_id")
+
+
+def changes_from_markdown(df: DataFrame, key: str, text: str, least_chars: int = 20) -> DataFrame:
+    """(node_id, kind, content, reason): one add for every chunk of markdown texts with least_chars characters, each content once."""
+    pieces = markdown_sections(df, key, text).select(key, F.explode(chunks(F.col("content"))).alias("content")).where(F.length("content") >= least_chars)
+    reason = F.concat(F.lit("imported from "), F.min(F.col(key).cast("string")))
+    return pieces.groupBy("content").agg(reason.alias("reason")).select(F.lit(None).cast("string").alias("node_id"), F.lit("add").alias("kind"), "content", "reason")

@@ -28,6 +28,14 @@ def persons(found: DataFrame, least: int = 2) -> DataFrame:
     return rows.withColumns({"person_id": new_edge_id("graph_id", "name"), "confidence": confidence})
 
 
+def person_edges(found: DataFrame, known: DataFrame) -> DataFrame:
+    """(graph_id, from_node, to_node, edge_type, weight, evidence): cites edges from the mentioning nodes to the person's."""
+    rows = found.join(known.select("graph_id", "name", "person_id"), ["graph_id", "name"])
+    return rows.select(
+        "graph_id", F.col("node_id").alias("from_node"), F.col("person_id").alias("to_node"), F.lit("cites").alias("edge_type"), F.lit(0.6).alias("weight"), F.concat(F.lit("Mentions "), "name").alias("evidence")
+    )
+
+
 def person_links(found: DataFrame, known: DataFrame, ahead: int = 4) -> DataFrame:
     """(graph_id, node_a, node_b): nodes that mention a person with the next `ahead` that do."""
     rows = found.join(known.select("graph_id", "name"), ["graph_id", "name"])

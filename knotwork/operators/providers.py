@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from knotwork.functions.text import content_hash
 
@@ -132,8 +133,15 @@ def enriched(nodes: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def session_prompts(messages: DataFrame, session: list[str], text: str, order: str, most_chars: int = 12_000) -> DataFrame:
-    """(session, prompt): one prompt for each session, made of its messages in order; longer sessions keep both ends."""
-    rows = messages.where(F.col(text).isNotNull()).groupBy(*session).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("m"))
+    """(session, prompt): one prompt for each session, made of its messages in order; longer sessions keep both ends.
+
+    Only messages that can stand in the prompt are gathered, so that a session
+    of any length gives a bounded group.
+    """
+    told = messages.where(F.col(text).isNotNull()).select(*session, order, text)
+    ends = [told.withColumn("_k", F.row_number().over(Window.partitionBy(*session).orderBy(o))).where(F.col("_k") <= most_chars // 2).drop("_k") for o in (F.asc(order), F.desc(order))]
+    kept = ends[0].unionByName(ends[1]).dropDuplicates([*session, order])
+    rows = kept.groupBy(*session).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("m"))
     told = F.array_join(F.transform("m", lambda x: x[text]), "\n")
     half = most_chars // 2
     cut = F.when(F.length(told) > most_chars, F.concat(F.left(told, F.lit(half)), F.lit("\n...\n"), F.right(told, F.lit(half)))).otherwise(told)

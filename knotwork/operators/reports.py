@@ -121,6 +121,18 @@ def degrees(directed: DataFrame, undirected: DataFrame) -> DataFrame:
     return ends[0].unionAll(ends[1]).where("node_id is not null").groupBy("graph_id", "node_id").agg(F.count(F.lit(1)).alias("degree"))
 
 
+def export_sample(nodes: DataFrame, degree: DataFrame, first: int = 10) -> DataFrame:
+    """(graph_id, node_id, node_type, label, degree): the first nodes of every graph by ord, to look at an export."""
+    rows = nodes.withColumn("k", F.row_number().over(Window.partitionBy("graph_id").orderBy("ord", "node_id"))).where(F.col("k") <= first).join(degree, ["graph_id", "node_id"], "left")
+    return rows.select("graph_id", "node_id", "node_type", F.left("content", F.lit(60)).alias("label"), F.coalesce("degree", F.lit(0)).alias("degree"))
+
+
+def insights(best: DataFrame, nodes: DataFrame, least: float = 0.1) -> DataFrame:
+    """(q, node_id, score, synthesis, context): the chosen nodes of at least `least` that a model has enriched."""
+    rich = nodes.select("node_id", F.col("metadata")["synthesis"].alias("synthesis"), F.col("metadata")["context"].alias("context")).where("synthesis is not null")
+    return best.where(F.col("score") >= least).join(rich, "node_id").select("q", "node_id", "score", "synthesis", "context")
+
+
 def enrichment_candidates(nodes: DataFrame, degree: DataFrame, least_chars: int = 30, top: int = 20) -> DataFrame:
     """(graph_id, node_id, priority, place): per graph the content nodes without a summary that most deserve one."""
     rows = content_only(nodes).where(F.col("metadata")["synthesis"].isNull() & (F.length("content") >= least_chars)).join(degree, ["graph_id", "node_id"], "left")

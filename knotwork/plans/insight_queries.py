@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.functions import text as X
+from knotwork.operators import evaluate as V
 from knotwork.operators import identities as P
+from knotwork.operators import providers as M
 from knotwork.operators import reflect as S
 from knotwork.operators import render as N
+from knotwork.operators import reports as H
 from knotwork.operators import retrieve as R
 from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, directed, graph_nodes, query, undirected
 from knotwork.plans.text_queries import CONTENT, counts_sql, question_seeds
@@ -121,6 +124,32 @@ def user_preferences(spark: SparkSession, sf: str) -> DataFrame:
     return P.user_preferences(graph_nodes(spark, sf, "graph_id", "node_id", "metadata", "entities"))
 
 
+@query(f"WITH {MENTIONS_SQL} SELECT m.graph_id, node_id AS from_node, 'cites' AS edge_type, 0.6::DOUBLE AS weight, 'Mentions ' || name AS evidence FROM m JOIN p USING (graph_id, name)")
+def person_edges(spark: SparkSession, sf: str) -> DataFrame:
+    found = P.mentions(graph_nodes(spark, sf, *MENTIONED))
+    return P.person_edges(found, P.persons(found)).drop("to_node")
+
+
+@query()
+def session_summaries(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "ord", "content", "source")
+    said = nodes.where("node_type = 'message'").select("graph_id", F.col("source.file").alias("file"), "ord", "content")
+    prompts = M.session_prompts(said, ["graph_id", "file"], "content", "ord").withColumn("k", F.concat_ws("|", "graph_id", "file"))
+    answers = M.answered(prompts, "k", "prompt", M.FirstSentences)
+    return answers.select("k", M.json_in(F.col("answer"), M.ENRICHMENT)["synthesis"].alias("summary"))
+
+
+@query()
+def miss_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    seeds = question_seeds(spark, sf)
+    counts = seeds.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_found"), F.min_by("doc_id", "seed_no").alias("doc_id"))
+    items = table(spark, sf, "eval_items").select("item_id", "question", "question_type", "answer").dropDuplicates(["item_id"])
+    said = items.join(counts, "item_id", "left").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "left")
+    missed = said.where(~F.coalesce(F.contains(F.lower("text"), F.lower("answer")), F.lit(False)))
+    bucket = V.miss_bucket(R.question_type(F.col("question")), F.col("question_type"), F.col("n_found"), F.left("text", F.lit(200)), F.col("answer"))
+    return missed.select("item_id", "question_type", bucket.alias("bucket"))
+
+
 SYNONYMS_SQL = f"""{NODES}, {UNDIRECTED}, e AS (SELECT graph_id, node_id, lower(unnest(entities)) AS e FROM n),
 sy AS (SELECT graph_id, term, related, weight, place FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, term ORDER BY weight DESC, related) AS place FROM (
  SELECT u.graph_id, a.e AS term, b.e AS related, round(sum(weight), 6) AS weight FROM u JOIN e a ON a.graph_id = u.graph_id AND a.node_id = node_a JOIN e b ON b.graph_id = u.graph_id AND b.node_id = node_b
@@ -234,6 +263,11 @@ def subgraph_text(spark: SparkSession, sf: str) -> DataFrame:
     return N.subgraph_texts(chosen, nodes, materialise(one, "one"), materialise(two, "two"), "q")
 
 
+@query(f"{TOP_SQL} SELECT q, node_id, score, metadata['synthesis'] AS synthesis, metadata['context'] AS context FROM top JOIN n USING (node_id) WHERE score >= 0.1 AND metadata['synthesis'] IS NOT NULL")
+def enriched_insights(spark: SparkSession, sf: str) -> DataFrame:
+    return H.insights(best_nodes(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "metadata"))
+
+
 @query(
     f"""{TOP_SQL}, sib AS (SELECT t.q, x.node_id, {SIX.format('max(t.score) * 0.9')} AS score FROM top t JOIN n a ON a.node_id = t.node_id JOIN n x ON x.graph_id = a.graph_id AND x.source.file = a.source.file
   AND regexp_full_match(a.source.section, '(?i)assistant \\(turn [0-9]+\\)') AND regexp_full_match(x.source.section, '(?i)user \\(turn [0-9]+\\)') AND regexp_extract(a.source.section, '([0-9]+)\\)$', 1) = regexp_extract(x.source.section, '([0-9]+)\\)$', 1)

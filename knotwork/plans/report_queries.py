@@ -127,6 +127,14 @@ def node_degrees(spark: SparkSession, sf: str) -> DataFrame:
     return H.degrees(directed(spark, sf, *PLAIN_EDGE), undirected(spark, sf, *PAIR_EDGE))
 
 
+@query(
+    f"""WITH {NODES}, {DIRECTED}, {UNDIRECTED}, {DEGREE_SQL} SELECT graph_id, node_id, node_type, left(content, 60) AS label, coalesce(degree, 0) AS degree
+FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY ord, node_id) AS k FROM n) LEFT JOIN deg USING (graph_id, node_id) WHERE k <= 10"""
+)
+def export_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return H.export_sample(graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "ord", "content"), node_degrees(spark, sf))
+
+
 def candidates(spark: SparkSession, sf: str) -> DataFrame:
     return H.enrichment_candidates(graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "content", "metadata", "confidence", "access_count"), node_degrees(spark, sf))
 
@@ -190,6 +198,13 @@ def correct_additions(spark: SparkSession, sf: str) -> DataFrame:
     return C.added_nodes(nodes, change_rows(nodes)).select("graph_id", "replaces", "content", "node_type")
 
 
+@query()
+def correct_import(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").where((F.col("doc_format") == "markdown") & F.col("text").isNotNull()).select("doc_id", "text")
+    changes = C.changes_from_markdown(docs, "doc_id", "text")
+    return C.added_nodes(graph_nodes(spark, sf, "graph_id", "node_id"), changes).select("node_id", "content", "node_type", "confidence")
+
+
 FORGET_SQL = f"SELECT graph_id, node_id, TIMESTAMP '{AS_OF}' AS valid_until, 0.1::DOUBLE AS confidence FROM t WHERE (valid_until IS NULL OR valid_until >= TIMESTAMP '{AS_OF}')"
 
 

@@ -76,3 +76,23 @@ def test_results_and_binary_files(spark, tmp_path):
     (tmp_path / "b" / "y.bin").write_bytes(b"\xff")
     got = {r.file.rsplit("/", 1)[1]: r.text for r in L.binary_texts(spark, str(tmp_path / "b"), lambda b: b.decode()).collect()}
     assert got == {"x.bin": "ok", "y.bin": None}
+
+
+def test_image_and_film_headers(spark, tmp_path):
+    import struct
+
+    from knotwork.sources.media import film_text, jpeg_text
+
+    make = b"Acme\0"
+    tiff = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 1) + struct.pack("<HHII", 271, 2, len(make), 26) + struct.pack("<I", 0) + make
+    app = b"Exif\0\0" + tiff
+    frame = struct.pack(">BHHB", 8, 30, 40, 0)
+    jpeg = b"\xff\xd8" + b"\xff\xe1" + struct.pack(">H", len(app) + 2) + app + b"\xff\xc0" + struct.pack(">H", len(frame) + 2) + frame + b"\xff\xda"
+    assert jpeg_text(jpeg) == "Image is 40x30 pixels.\nCamera make: Acme."
+    mvhd = struct.pack(">I4sIIIII", 28, b"mvhd", 0, 0, 0, 1000, 2500)
+    film = struct.pack(">I4s4sI", 16, b"ftyp", b"isom", 0) + struct.pack(">I4s", 8 + len(mvhd), b"moov") + mvhd
+    assert film_text(film) == "Container is isom.\nFilm lasts 2.5 seconds."
+    (tmp_path / "a.jpg").write_bytes(jpeg)
+    (tmp_path / "b.jpg").write_bytes(b"no")
+    got = {r.file.rsplit("/", 1)[1]: r.text for r in L.binary_texts(spark, str(tmp_path), jpeg_text, "*.jpg").collect()}
+    assert got["a.jpg"].startswith("Image") and got["b.jpg"] is None
