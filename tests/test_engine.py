@@ -67,6 +67,18 @@ def test_access_stream_equals_batch(spark, small, tmp_path):
     assert {tuple(r) for r in spark.table("access_now").collect()} == {tuple(r) for r in access_stats(events, "user_id", "ts").collect()}
 
 
+def test_windows_and_distinct_texts_on_a_stream(spark, tmp_path):
+    rows = [("2024-01-01 00:10:00", "view", "a"), ("2024-01-01 00:50:00", "view", "a"), ("2024-01-01 01:10:00", "buy", "b"), ("2024-01-03 00:00:00", "view", "c")]
+    src = str(tmp_path / "src")
+    spark.createDataFrame(rows, "t string, kind string, text string").select(F.col("t").cast("timestamp").alias("ts"), "kind", "text").coalesce(1).write.parquet(src)
+    stream = U.file_stream(spark, src, spark.read.parquet(src).schema)
+    run = lambda df, name: df.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    run(U.windowed_accesses(stream, "ts", "kind", "1 hour", "1 hour"), "by_hour")
+    assert {(str(r.start), r.kind, r.n) for r in spark.table("by_hour").collect()} == {("2024-01-01 00:00:00", "view", 2), ("2024-01-01 01:00:00", "buy", 1)}
+    run(U.distinct_texts(stream, "text", "ts", "10 days"), "once")
+    assert sorted(r.text for r in spark.table("once").collect()) == ["a", "b", "c"]
+
+
 def test_queries_and_sql_have_the_same_columns(spark, small):
     import duckdb
 
