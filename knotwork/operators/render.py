@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knotwork.functions.text import STRUCTURAL
+from knotwork.operators.reports import DIRECTED_MARKS, HEADING, PARTS, UNDIRECTED_MARKS
 
 
 def shown(x: Column, digits: int) -> Column:
@@ -34,7 +35,8 @@ def subgraph_texts(best: DataFrame, nodes: DataFrame, directed: DataFrame, undir
     for i, df in enumerate((directed, undirected)):
         counts = counts.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(f"e{i}")), key, "left")
     edges = F.coalesce("e0", F.lit(0)) + F.coalesce("e1", F.lit(0))
-    head = F.concat(F.lit("=== KNOWLEDGE SUBGRAPH ("), F.col("n").cast("string"), F.lit(" nodes, "), edges.cast("string"), F.lit(" edges) ===\n"))
+    a, b, c = HEADING.split("{}")
+    head = F.concat(F.lit(a), F.col("n").cast("string"), F.lit(b), edges.cast("string"), F.lit(c))
     held = best.join(nodes.select("node_id", "node_type", "content", F.col("source.section").alias("section"), "metadata"), "node_id")
     meta = F.col("metadata")
     tag = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"|{name}:"), c)).otherwise("")
@@ -46,11 +48,17 @@ def subgraph_texts(best: DataFrame, nodes: DataFrame, directed: DataFrame, undir
     fact = F.concat(label(F.coalesce("node_type", F.lit("fact"))), tag("src", F.col("section")), tag("date", meta["session_date"]), F.lit("] "), F.coalesce("content", F.lit("")))
     sums = held.where("node_type = 'session-summary'")
     facts = held.where(F.col("node_type").isNull() | ~F.col("node_type").isin(*STRUCTURAL, "session-summary"))
-    rows = part(counts, [key], 0, F.lit(""), head).unionByName(part(sums, [key], 1, order, summary)).unionByName(part(facts, [key], 2, order, fact))
-    for number, df, ends, marks in ((3, directed, ("from_node", "to_node"), ("-[", "]->")), (4, undirected, ("node_a", "node_b"), ("~[", "]~"))):
+    rows = part(counts, [key], 0, F.lit(""), head)
+
+    def titled(df: DataFrame, number: int, place: Column, line: Column) -> DataFrame:
+        title = part(df.select(key).distinct(), [key], number, F.lit(""), F.lit(f"\n{PARTS[number - 1]}"))
+        return title.unionByName(part(df, [key], number, place, line))
+
+    rows = rows.unionByName(titled(sums, 1, order, summary)).unionByName(titled(facts, 2, order, fact))
+    for number, df, ends, marks in ((3, directed, ("from_node", "to_node"), DIRECTED_MARKS), (4, undirected, ("node_a", "node_b"), UNDIRECTED_MARKS)):
         x = df.join(names.select(key, F.col("node_id").alias(ends[0]), F.col("name").alias("x")), [key, ends[0]]).join(names.select(key, F.col("node_id").alias(ends[1]), F.col("name").alias("y")), [key, ends[1]])
         line = F.concat("x", F.lit(f" {marks[0]}"), "edge_type", F.lit(":"), F.coalesce(shown(F.col("weight"), 1), F.lit("?")), F.lit(f"{marks[1]} "), "y")
-        rows = rows.unionByName(part(x, [key], number, F.concat_ws("|", *ends, "edge_type"), line))
+        rows = rows.unionByName(titled(x, number, F.concat_ws("|", *ends, "edge_type"), line))
     return lines(rows, [key])
 
 

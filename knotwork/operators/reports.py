@@ -12,6 +12,11 @@ from knotwork.functions.text import confidence_trend, first_year, same_case
 from knotwork.operators.corrections import on_topic, stamped
 from knotwork.operators.graph import content_only, linked_ids
 
+#: Headings of the subgraph text and the marks around an edge. Fixed values.
+HEADING = "=== KNOWLEDGE SUBGRAPH ({} nodes, {} edges) ==="
+PARTS = ("--- SESSION SUMMARIES ---", "--- NODES ---", "--- DIRECTED ---", "--- UNDIRECTED ---")
+DIRECTED_MARKS, UNDIRECTED_MARKS = ("-[", "]->"), ("~[", "]~")
+
 
 def graph_stats(nodes: DataFrame, directed: DataFrame, undirected: DataFrame) -> DataFrame:
     """(graph_id, kind, type, n): nodes and edges of every graph by type."""
@@ -182,21 +187,21 @@ def subgraph_text(nodes: list[dict], directed: list[dict], undirected: list[dict
     """A chosen subgraph as compact text: nodes by score under short names, then edges. For a bounded choice only."""
     ranked = sorted(nodes, key=lambda n: (-n["score"], n["node_id"]))
     name = {n["node_id"]: f"n{i}" for i, n in enumerate(ranked, 1)}
-    out = [f"=== KNOWLEDGE SUBGRAPH ({len(nodes)} nodes, {len(directed) + len(undirected)} edges) ===", ""]
+    out = [HEADING.format(len(nodes), len(directed) + len(undirected)), ""]
     tags = lambda n, *parts: "".join(f"|{k}:{v}" for k, v in parts if v)
     summaries = [n for n in ranked if n["node_type"] == "session-summary"]
     if summaries:
-        out.append("--- SESSION SUMMARIES ---")
+        out.append(PARTS[0])
         for n in summaries:
             out.append(f"[{name[n['node_id']]}|summary|{fixed(n['score'], 2)}{tags(n, ('session', n.get('session_id')), ('date', n.get('session_date')))}] {n['content']}")
             claims = [c.strip() for c in (n.get("claims") or "").split(" || ") if c.strip()][:10]
             out += [f"  claims: {' | '.join(claims)}"] * bool(claims)
         out.append("")
-    out.append("--- NODES ---")
+    out.append(PARTS[1])
     for n in ranked:
         if n["node_type"] not in ("session-summary", "document", "section"):
             out.append(f"[{name[n['node_id']]}|{n['node_type']}|{fixed(n['score'], 2)}{tags(n, ('src', n.get('section')), ('date', n.get('session_date')))}] {n['content']}")
-    for title, edges, a, b, mark in (("DIRECTED", directed, "from_node", "to_node", ("-[", "]->")), ("UNDIRECTED", undirected, "node_a", "node_b", ("~[", "]~"))):
+    for title, edges, a, b, mark in ((PARTS[2], directed, "from_node", "to_node", DIRECTED_MARKS), (PARTS[3], undirected, "node_a", "node_b", UNDIRECTED_MARKS)):
         lines = [f"{name[e[a]]} {mark[0]}{e['edge_type']}:{fixed(e['weight'], 1)}{mark[1]} {name[e[b]]}" for e in edges if e[a] in name and e[b] in name]
-        out += ["", f"--- {title} ---", *lines] if edges else []
+        out += ["", title, *lines] if edges else []
     return "\n".join(out)
