@@ -108,13 +108,30 @@ def expand_query(question: str, synonyms: dict[str, list[str]], most: int = 5) -
     return list(dict.fromkeys(variants))[:most]
 
 
+def bare_words(text: Column) -> Column:
+    """The words of a text in lower case, in order, without punctuation."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+
 def expanded(questions: DataFrame, synonyms: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
-    """(key, variant): every question with the variants that related names give it, in an equi-join on its words."""
-    words = questions.select(key, text, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("term"))
+    """(key, variant): every question with the variants that related names give it.
+
+    Questions and names meet in an equi-join on runs of words without
+    punctuation, as long as the names are, by hash; the name itself is then looked
+    for in the question, as whole words. Names without a letter or digit match nothing.
+    """
     best = synonyms.groupBy("term", "related").agg(F.max("weight").alias("weight"))
-    swapped = words.join(best, "term").select(key, text, "term", "related", "weight")
-    whole = F.concat(F.lit(r"(?i)(?<![A-Za-z0-9_])\Q"), F.col("term"), F.lit(r"\E(?![A-Za-z0-9_])"))
-    swapped = swapped.withColumn("variant", F.regexp_replace(F.col(text), whole, F.concat(F.lit(""), F.regexp_replace("related", r"([\\$])", r"\\\\$1")))).where(F.col("variant") != F.col(text))
+    best = materialise(best.withColumn("parts", bare_words(F.col("term"))).where(F.size("parts") > 0), "synonyms")
+    lengths = F.array(*[F.lit(r[0]) for r in best.select(F.size("parts")).distinct().collect()]).cast("array<int>")
+    words = F.col("words")
+    fit = lambda i: F.filter(lengths, lambda n: i + n <= F.size(words) + 1)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(fit(i), lambda n: F.array_join(F.slice(words, i, n), " "))))
+    asked = questions.select(key, bare_words(F.col(text)).alias("words")).where(F.size("words") > 0).select(key, F.explode(F.array_distinct(runs)).alias("run"))
+    asked = asked.select(key, F.xxhash64("run").alias("run"))
+    met = asked.join(best.select(F.xxhash64(F.array_join("parts", " ")).alias("run"), "term", "related", "weight"), "run").drop("run")
+    swapped = met.join(questions.select(key, text), key)
+    whole = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])\Q"), F.replace("term", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    swapped = swapped.withColumn("variant", F.regexp_replace(F.col(text), whole, F.regexp_replace("related", r"([\\$])", r"\\$1"))).where(F.col("variant") != F.col(text))
     place = Window.partitionBy(key).orderBy(F.desc("weight"), "variant")
     more = swapped.groupBy(key, "variant").agg(F.max("weight").alias("weight")).withColumn("n", F.row_number().over(place)).where(F.col("n") < most)
     return questions.select(key, F.col(text).alias("variant")).unionByName(more.select(key, "variant"))
