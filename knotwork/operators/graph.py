@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -188,18 +190,23 @@ def unseen(incoming: DataFrame, existing: DataFrame, text: str) -> DataFrame:
     return fresh.groupBy("_hash").agg(F.min(F.struct(*rest)).alias("r")).select("r.*")
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """(graph_id, root, node_id): everything that a root reaches over directed edges, roots included; safe on cycles."""
+def closure(edges: DataFrame, roots: DataFrame, cut_after: int = 16) -> DataFrame:
+    """(graph_id, root, node_id): everything that a root reaches over directed edges, roots included; safe on cycles.
+
+    The rounds end when nothing new is reached, however long the chains are;
+    every cut_after rounds the lineage is cut.
+    """
     hops = materialise(edges.select("graph_id", F.col("from_node").alias("node_id"), "to_node").where("node_id is not null and to_node is not null").distinct(), "hops")
     reached = materialise(roots.select("graph_id", F.col("node_id").alias("root"), "node_id").distinct(), "reached")
     frontier = reached
-    for _ in range(max_rounds):
+    for n in count(1):
         step = frontier.join(hops, ["graph_id", "node_id"]).select("graph_id", "root", F.col("to_node").alias("node_id")).distinct()
         frontier = materialise(step.join(reached, ["graph_id", "root", "node_id"], "left_anti"), "frontier")
         if frontier.isEmpty():
-            break
+            return reached
         reached = reached.unionByName(frontier)
-    return reached
+        if n % cut_after == 0:
+            reached = materialise(reached, "reached")
 
 
 def label_rounds(edges: DataFrame, rounds: int = 5) -> DataFrame:

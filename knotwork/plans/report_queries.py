@@ -9,7 +9,7 @@ from knotwork.operators import access as A
 from knotwork.operators import corrections as C
 from knotwork.operators import render as N
 from knotwork.operators import reports as H
-from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, directed, graph_nodes, query, undirected
+from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, SQL, directed, graph_nodes, query, undirected
 from knotwork.plans.text_queries import CONTENT
 from knotwork.session import materialise, table
 
@@ -230,6 +230,12 @@ def cascade_closure(spark: SparkSession, sf: str) -> DataFrame:
     return C.cascade(nodes, directed(spark, sf, *PLAIN_EDGE), roots)
 
 
+@query(SQL["cascade_closure"].replace(" AND node_type = 'definition'", ""))
+def cascade_closure_all(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "source", "metadata")
+    return C.cascade(nodes, directed(spark, sf, *PLAIN_EDGE), nodes.where(F.col("metadata")["deleted_at"].isNotNull()))
+
+
 @query("SELECT user_id, max(ts) AS last_accessed_at, count(*) AS access_count FROM events WHERE user_id IS NOT NULL GROUP BY 1")
 def access_stats(spark: SparkSession, sf: str) -> DataFrame:
     return A.access_stats(table(spark, sf, "events"), "user_id", "ts")
