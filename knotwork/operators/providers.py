@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -133,16 +134,29 @@ def enriched(nodes: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def session_prompts(messages: DataFrame, session: list[str], text: str, order: str, most_chars: int = 12_000) -> DataFrame:
-    """(session, prompt): one prompt for each session, made of its messages in order; longer sessions keep both ends.
+    """(session, part_no, prompt): the prompts for each session, which hold all its messages in order; longer sessions have several parts.
 
-    Only messages that can stand in the prompt are gathered, so that a session
-    of any length gives a bounded group.
+    No prompt holds more than most_chars of a session, so that a session of any
+    length gives bounded groups. Messages stay whole unless they are longer than
+    half of that.
     """
-    told = messages.where(F.col(text).isNotNull()).select(*session, order, text)
-    ends = [told.withColumn("_k", F.row_number().over(Window.partitionBy(*session).orderBy(o))).where(F.col("_k") <= most_chars // 2).drop("_k") for o in (F.asc(order), F.desc(order))]
-    kept = ends[0].unionByName(ends[1]).dropDuplicates([*session, order])
-    rows = kept.groupBy(*session).agg(F.array_sort(F.collect_list(F.struct(order, text))).alias("m"))
-    told = F.array_join(F.transform("m", lambda x: x[text]), "\n")
     half = most_chars // 2
-    cut = F.when(F.length(told) > most_chars, F.concat(F.left(told, F.lit(half)), F.lit("\n...\n"), F.right(told, F.lit(half)))).otherwise(told)
-    return rows.select(*session, F.concat(F.lit("Sum up this conversation and list its countable claims as one JSON object.\n\n"), cut).alias("prompt"))
+    told = messages.where(F.col(text).isNotNull()).select(*session, order, text).distinct()
+    sizes = told.groupBy(*session).agg((F.sum(F.length(text) + 1) - 1).alias("_chars"))
+    cuts = F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(half)), lambda i: F.substring(F.col(text), i + 1, F.lit(half))))
+    pieces = told.select(*session, order, F.xxhash64(text).alias("_hash"), cuts.alias("_piece", "_text"))
+    place = Window.partitionBy(*session).orderBy(order, "_hash", "_piece")
+    pieces = pieces.withColumn("_end", F.sum(F.length("_text") + 1).over(place.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.row_number().over(place))
+    same = [F.col(f"_p.{c}").eqNullSafe(F.col(f"_s.{c}")) for c in session]
+    placed = pieces.alias("_p").join(sizes.alias("_s"), reduce(lambda a, b: a & b, same)).select("_p.*", "_chars")
+    start = F.col("_end") - F.length("_text") - 1
+    part = F.when(F.col("_chars") <= most_chars, F.lit(0)).otherwise(F.floor(start / half)).cast("int")
+    rows = placed.groupBy(*session, part.alias("part_no")).agg(F.array_sort(F.collect_list(F.struct("_n", "_piece", "_text"))).alias("m"))
+    joined = F.aggregate("m", F.lit(""), lambda s, x: F.concat(s, F.when((s == "") | (x["_piece"] > 0), "").otherwise("\n"), x["_text"]))
+    return rows.select(*session, "part_no", F.concat(F.lit("Sum up this conversation and list its countable claims as one JSON object.\n\n"), joined).alias("prompt"))
+
+
+def session_answers(parts: DataFrame, session: list[str], part: str, answer: str) -> DataFrame:
+    """(session, answer): the answers to a session's parts, joined in order; null if one of them is missing, so that no part passes for the whole."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(part, answer))), lambda x: x[answer]), " ")
+    return parts.groupBy(*session).agg(F.when(F.count(answer) == F.count(F.lit(1)), whole).alias(answer))

@@ -134,9 +134,10 @@ def person_edges(spark: SparkSession, sf: str) -> DataFrame:
 def session_summaries(spark: SparkSession, sf: str) -> DataFrame:
     nodes = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "ord", "content", "source")
     said = nodes.where("node_type = 'message'").select("graph_id", F.col("source.file").alias("file"), "ord", "content")
-    prompts = M.session_prompts(said, ["graph_id", "file"], "content", "ord").withColumn("k", F.concat_ws("|", "graph_id", "file"))
-    answers = M.answered(prompts, "k", "prompt", M.FirstSentences)
-    return answers.select("k", M.json_in(F.col("answer"), M.ENRICHMENT)["synthesis"].alias("summary"))
+    prompts = M.session_prompts(said, ["graph_id", "file"], "content", "ord").withColumn("k", F.struct(F.concat_ws("|", "graph_id", "file").alias("k"), "part_no"))
+    answers = M.answered(prompts.withColumn("k", F.to_json("k")), "k", "prompt", M.FirstSentences)
+    parts = answers.select(F.from_json("k", "k string, part_no int").alias("k"), M.json_in(F.col("answer"), M.ENRICHMENT)["synthesis"].alias("summary"))
+    return M.session_answers(parts.select("k.k", "k.part_no", "summary"), ["k"], "part_no", "summary")
 
 
 @query()
@@ -146,7 +147,7 @@ def miss_buckets(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "eval_items").select("item_id", "question", "question_type", "answer").dropDuplicates(["item_id"])
     said = items.join(counts, "item_id", "left").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "left")
     missed = said.where(~F.coalesce(F.contains(F.lower("text"), F.lower("answer")), F.lit(False)))
-    bucket = V.miss_bucket(R.question_type(F.col("question")), F.col("question_type"), F.col("n_found"), F.left("text", F.lit(200)), F.col("answer"))
+    bucket = V.miss_bucket(R.question_type(F.col("question")), F.col("question_type"), F.col("n_found"), F.col("text"), F.col("answer"))
     return missed.select("item_id", "question_type", bucket.alias("bucket"))
 
 
