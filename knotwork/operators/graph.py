@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.functions.text import STRUCTURAL, content_hash, defined_term, jaccard, links
+from knotwork.functions.text import STRUCTURAL, content_hash, defined_term, jaccard, links, same_case
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
-from knotwork.operators.spread import crowded, join_checked, next_in_group
+from knotwork.operators.spread import crowded, join_checked, met_in_blocks, next_in_group
 from knotwork.session import materialise
 
 
@@ -104,12 +104,14 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
 def similarity_edges(nodes: DataFrame, most_common: int = 500, per_node: int = 10, similar: float = 0.3, shared: float = 0.2) -> DataFrame:
     """(graph_id, node_a, node_b, edge_type, weight): content nodes of a graph that are alike.
 
-    Candidates share a term that fewer than most_common texts of their graph
-    have. A pair is similar-to if the cosine of its term weights reaches
+    Candidates share a term. Those that share one that fewer than most_common
+    texts of their graph have meet over it. The others meet in blocks: over the
+    more common terms that a text needs to reach `similar` without the still
+    more common ones, or over the names that it needs to reach `shared`; so none
+    is lost. A pair is similar-to if the cosine of its term weights reaches
     `similar`, else shares-entity if the Jaccard share of its names reaches
     `shared`. A pair stays if it is among the per_node best of both its ends, by
-    weight, then ord; weights are rounded to 6 digits first. Every term has
-    less than most_common texts on either side of the join, so that no term
+    weight, then ord; weights are rounded to 6 digits first. No term or name
     makes an unbounded group.
     """
     texts = content_only(nodes).select("graph_id", "node_id", "ord", "content", "entities")
@@ -122,14 +124,22 @@ def similarity_edges(nodes: DataFrame, most_common: int = 500, per_node: int = 1
     left = half.select("graph_id", "term", F.struct("ord", "node_id").alias("x"), F.col("u").alias("ux"))
     right = half.select("graph_id", "term", F.struct("ord", "node_id").alias("y"), F.col("u").alias("uy"))
     kept = left.join(rare, ["graph_id", "term"])
-    met = kept.join(right, ["graph_id", "term"]).where("x < y")
-    near = met.groupBy("graph_id", "x", "y").agg(F.sum(F.col("ux") * F.col("uy")).alias("part"))
-    common = idf.where(F.col("df") >= most_common).select("graph_id", "term")
-    often = half.join(common, ["graph_id", "term"]).groupBy("graph_id", "node_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m"))
+    met = kept.join(right, ["graph_id", "term"]).where("x < y").select("graph_id", "x", "y", (F.col("ux") * F.col("uy")).alias("part"))
+    common = idf.where(F.col("df") >= most_common).select("graph_id", "term", "df")
+    heavy = materialise(half.join(common, ["graph_id", "term"]), "common")
+    after = Window.partitionBy("graph_id", "node_id", "ord").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    needed = heavy.withColumn("left", F.sum(F.col("u") * F.col("u")).over(after)).where(F.col("left") >= (similar - 1e-6) ** 2)
+    over_terms = met_in_blocks(needed.select("graph_id", "term", F.struct("ord", "node_id").alias("item")), ["graph_id", "term"])
+    holders = heavy.select("graph_id", "node_id").distinct()
+    over_names = needed_names(texts.join(holders, ["graph_id", "node_id"], "left_semi"), shared - 1e-6)
+    over_names = met_in_blocks(over_names.select("graph_id", "name", F.struct("ord", "node_id").alias("item")), ["graph_id", "name"])
+    met = met.unionByName(over_terms.drop("term").unionByName(over_names.drop("name")).withColumn("part", F.lit(0.0)))
+    near = met.groupBy("graph_id", "x", "y").agg(F.sum("part").alias("part"))
+    often = heavy.groupBy("graph_id", "node_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m"))
     side = lambda c, m: often.select("graph_id", F.struct("ord", "node_id").alias(c), F.col("m").alias(m))
     near = near.join(side("x", "mx"), ["graph_id", "x"], "left").join(side("y", "my"), ["graph_id", "y"], "left")
     rest = F.aggregate(F.map_entries("mx"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("my")[e["key"]], F.lit(0.0)))
-    near = near.select("graph_id", "x", "y", F.round(F.col("part") + F.coalesce(rest, F.lit(0.0)), 6).alias("cosine"))
+    near = near.select("graph_id", "x", "y", (F.col("part") + F.coalesce(rest, F.lit(0.0))).alias("cosine")).where("cosine > 0").withColumn("cosine", F.round("cosine", 6))
     names = texts.select("graph_id", F.struct("ord", "node_id").alias("k"), "entities")
     named = names.where(F.size("entities") > 0)
     share = near.where(F.col("cosine") < similar).join(named.select("graph_id", F.col("k").alias("x"), F.col("entities").alias("ex")), ["graph_id", "x"])
@@ -139,6 +149,18 @@ def similarity_edges(nodes: DataFrame, most_common: int = 500, per_node: int = 1
     return mutual_best(alike.unionByName(share), per_node)
 
 
+def needed_names(nodes: DataFrame, least: float) -> DataFrame:
+    """(graph_id, ord, node_id, names, name, n): of every node's names, in one case and the rarest of its graph first, those of which two nodes share one if `least` of all their names are the same.
+
+    n is how many nodes of the graph bear the name.
+    """
+    named = nodes.where(F.size("entities") > 0).select("graph_id", "ord", "node_id", same_case(F.col("entities")).alias("names"))
+    each = named.select("*", F.explode("names").alias("name"))
+    each = each.join(each.groupBy("graph_id", "name").agg(F.count(F.lit(1)).alias("n")), ["graph_id", "name"])
+    rarest = Window.partitionBy("graph_id", "ord", "node_id").orderBy("n", "name")
+    return each.withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= F.size("names") - F.ceil(F.size("names") * least - 1e-9) + 1).drop("_k")
+
+
 def mutual_best(pairs: DataFrame, per_node: int) -> DataFrame:
     """The pairs (graph_id, x, y, edge_type, weight) that are among the best of both ends."""
     pairs = materialise(pairs, "pairs")

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knotwork.functions.text import domain, edged, jaccard, same_case, six
-from knotwork.operators.graph import content_only
+from knotwork.operators.graph import content_only, needed_names
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
-from knotwork.operators.spread import hot_keys, next_in_group
+from knotwork.operators.spread import hot_keys, met_in_blocks, next_in_group
 from knotwork.session import materialise
 
 #: Names too general to compare claims by. Fixed values.
@@ -35,14 +35,15 @@ def conflicting(text: Column) -> Column:
     return reduce(lambda a, b: a | b, [low.rlike(p) for p in CONFLICTS])
 
 
-def sharing_pairs(nodes: DataFrame, least: float, most_common: int = 500) -> DataFrame:
-    """(node_a, node_b, jaccard): content nodes of a graph that share a name borne by fewer than most_common of its nodes, and at least `least` of all their names."""
-    named = nodes.where(F.size("entities") > 0).withColumn("names", same_case(F.col("entities")))
-    each = named.select("graph_id", F.struct("ord", "node_id").alias("x"), "names", F.explode("names").alias("name"))
-    rare = each.groupBy("graph_id", "name").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") < most_common)).select("graph_id", "name")
-    each = each.join(rare, ["graph_id", "name"])
-    other = each.select("graph_id", "name", F.col("x").alias("y"), F.col("names").alias("names_y"))
-    pairs = each.join(other, ["graph_id", "name"]).where("x < y").groupBy("graph_id", "x", "y").agg(F.first("names").alias("names"), F.first("names_y").alias("names_y"))
+def sharing_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """(node_a, node_b, jaccard): content nodes of a graph that have at least `least` of all their names in common.
+
+    They meet, in blocks, over the rarest names that a node needs for that.
+    """
+    needed = needed_names(nodes, least)
+    met = met_in_blocks(needed.select("graph_id", "name", F.struct("ord", "node_id").alias("item")), ["graph_id", "name"]).select("graph_id", "x", "y").distinct()
+    side = lambda c, n: nodes.select("graph_id", F.struct("ord", "node_id").alias(c), same_case(F.col("entities")).alias(n))
+    pairs = met.join(side("x", "names"), ["graph_id", "x"]).join(side("y", "names_y"), ["graph_id", "y"])
     share = F.size(F.array_intersect("names", "names_y")) / F.size(F.array_union("names", "names_y"))
     return pairs.where(share >= least).select(F.col("x.node_id").alias("node_a"), F.col("y.node_id").alias("node_b"), F.round(share, 6).alias("jaccard"))
 

@@ -95,3 +95,14 @@ def next_in_group(df: DataFrame, keys: list[str], order: list[str], item: str, a
     steps = F.explode(F.sequence(F.lit(1), F.lit(ahead)))
     y = numbered.select("_key", F.col(item).alias("y"), "_no", steps.alias("step")).select("_key", "y", "step", (F.col("_no") - F.col("step")).alias("_no"))
     return cold.unionByName(numbered.select("_key", *keys, F.col(item).alias("x"), "_no").join(y, ["_key", "_no"]).select(*keys, "x", "y", "step"))
+
+
+def met_in_blocks(df: DataFrame, keys: list[str], block: int = 500) -> DataFrame:
+    """(keys, x, y): every two items x < y of a key in a table (keys, item), met in one of the key's pairs of blocks of about `block` items."""
+    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
+    placed = df.join(counts, keys).withColumn("_i", F.pmod(F.xxhash64("item"), "_blocks"))
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    met = placed.withColumn("_j", others).select(*keys, F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", "item")
+    x, y = met.select(*keys, "_lo", "_hi", "_i", F.col("item").alias("x")), met.select(*keys, "_lo", "_hi", F.col("_i").alias("_k"), F.col("item").alias("y"))
+    once = (F.col("_i") != F.col("_k")) | (F.col("_lo") == F.col("_hi"))
+    return x.join(y, [*keys, "_lo", "_hi"]).where((F.col("x") < F.col("y")) & once).select(*keys, "x", "y")
