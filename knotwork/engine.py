@@ -10,15 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knotwork.functions import text as X
+from knotwork.operators import ask as A
 from knotwork.operators import corrections as C
 from knotwork.operators import graph as G
-from knotwork.operators import index as I
 from knotwork.operators import providers as M
 from knotwork.operators import reflect as S
 from knotwork.operators import render as N
 from knotwork.operators import reports as H
 from knotwork.operators import retrieve as R
-from knotwork.session import materialise
+from knotwork.session import materialise, ship
 from knotwork.sources import files as L
 
 NODE = (
@@ -39,25 +39,30 @@ class Graph:
 def nodes_of(sections: DataFrame, titles: DataFrame, as_of: str, least_chars: int = 20) -> DataFrame:
     """Nodes of parsed files: a document node for each file, a section node for each section, and its chunks of least_chars and more.
 
-    sections (graph_id, file, sec_no, title, content), titles (graph_id, file,
-    title). ord numbers the nodes of a file from its document on.
+    sections (graph_id, file, sec_no, depth, title, content), titles (graph_id,
+    file, title, metadata). The file's metadata go to all its nodes, with the
+    title, the section's depth or the section's title. ord numbers the nodes of a
+    file from its document on; ids are made of the graph, the file, the place in
+    it and the content.
     """
-    files = titles.select("graph_id", "file", F.lit(-1).alias("sec_no"), F.lit(0).alias("pos"), F.col("title").alias("content"), F.lit("document").alias("node_type"), F.lit(None).cast("string").alias("section"))
-    heads = sections.select("graph_id", "file", F.col("sec_no").cast("int").alias("sec_no"), F.lit(0).alias("pos"), F.col("title").alias("content"), F.lit("section").alias("node_type"), F.col("title").alias("section"))
-    each = sections.select("graph_id", "file", F.col("sec_no").cast("int").alias("sec_no"), "title", F.posexplode(X.chunks(F.col("content"))).alias("pos", "content")).where(F.length("content") >= least_chars)
-    pieces = each.select("graph_id", "file", "sec_no", (F.col("pos") + 1).alias("pos"), "content", X.chunk_type(F.col("content")).alias("node_type"), F.col("title").alias("section"))
+    sections = sections.join(titles.select("graph_id", "file", "metadata"), ["graph_id", "file"], "left")
+    at = lambda pos: [F.col("graph_id"), F.col("file"), F.col("sec_no").cast("int").alias("sec_no"), pos]
+    more = lambda k, v: F.map_concat(F.map_filter(F.coalesce("metadata", F.create_map().cast("map<string,string>")), lambda x, _: x != k), F.create_map(F.lit(k), v)).alias("metadata")
+    first = F.lit(0).alias("pos")
+    files = titles.withColumn("sec_no", F.lit(-1)).select(*at(first), F.col("title").alias("content"), F.lit("document").alias("node_type"), F.lit(None).cast("string").alias("section"), more("title", F.col("title")))
+    heads = sections.select(*at(first), F.col("title").alias("content"), F.lit("section").alias("node_type"), F.col("title").alias("section"), more("depth", F.col("depth").cast("string")))
+    each = sections.select("graph_id", "file", "sec_no", "title", "metadata", F.posexplode(X.chunks(F.col("content"))).alias("_p", "content")).where(F.length("content") >= least_chars)
+    pieces = each.select(*at((F.col("_p") + 1).alias("pos")), "content", X.chunk_type(F.col("content")).alias("node_type"), F.col("title").alias("section"), more("sectionTitle", F.col("title")))
     rows = files.unionByName(heads).unionByName(pieces)
     place = Window.partitionBy("graph_id", "file").orderBy("sec_no", "pos")
     now = C.stamped(as_of)
     none = F.lit(None)
-    made = rows.withColumn("ord", F.row_number().over(place).cast("long")).select(
-        "graph_id", G.new_edge_id("graph_id", "file", F.col("sec_no").cast("string"), F.col("pos").cast("string")).alias("node_id"), "ord", "content",
-        X.content_hash(F.col("content")).alias("content_hash"), "node_type",
+    return rows.withColumns({"ord": F.row_number().over(place).cast("long"), "content_hash": X.content_hash(F.col("content"))}).select(
+        "graph_id", G.new_edge_id("graph_id", "file", F.col("sec_no").cast("string"), F.col("pos").cast("string"), "content_hash").alias("node_id"), "ord", "content", "content_hash", "node_type",
         F.struct(F.col("file"), F.lit(0).cast("long").alias("char_offset"), none.cast("int").alias("line"), F.col("section")).alias("source"),
-        X.entities(F.col("content")).alias("entities"), F.create_map().cast("map<string,string>").alias("metadata"), F.lit(0).alias("node_level"), F.lit(0.9).alias("confidence"),
+        X.entities(F.col("content")).alias("entities"), "metadata", F.lit(0).alias("node_level"), F.lit(0.9).alias("confidence"),
         now.alias("created_at"), now.alias("last_accessed_at"), F.lit(0).cast("long").alias("access_count"), none.cast("timestamp_ntz").alias("valid_until"),
     )
-    return made
 
 
 def edges_of(nodes: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:
@@ -77,13 +82,14 @@ class Engine:
     """Builds graphs and answers over them; every method returns DataFrames or bounded text."""
 
     def __init__(self, spark: SparkSession, as_of: str) -> None:
-        self.spark, self.as_of = spark, as_of
+        self.spark, self.as_of = ship(spark), as_of
 
-    def ingest(self, path: str, graph_id: str, least_nodes: int = 50) -> tuple[Graph, DataFrame]:
-        """(graph, skipped): the graph of the text files under a path; weak edges and orphans leave graphs of more than least_nodes."""
-        files = L.read_texts(self.spark, path).withColumn("file", F.regexp_extract("file", r"([^/]+)$", 1))
-        sections, skipped = L.parse_files(files)
-        titles = sections.select("file").distinct().withColumn("title", F.regexp_replace("file", r"\.[A-Za-z0-9]+$", ""))
+    def ingest(self, path: str, graph_id: str, least_nodes: int = 50, readers: dict[str, Callable[[bytes], str]] | None = None) -> tuple[Graph, DataFrame]:
+        """(graph, skipped): the graph of the files under a path; weak edges and orphans leave graphs of more than least_nodes.
+
+        readers makes text of files that hold none, by their ending: {"pdf": ...}.
+        """
+        sections, titles, skipped = L.parse_files(L.read_texts(self.spark, path, readers))
         mark = lambda df: df.withColumn("graph_id", F.lit(graph_id))
         nodes = materialise(nodes_of(mark(sections), mark(titles), self.as_of), "nodes")
         directed, undirected = (materialise(e, "edges") for e in edges_of(nodes, self.as_of))
@@ -99,32 +105,34 @@ class Engine:
         L.save_graph({"nodes": graph.nodes, "directed_edges": graph.directed, "undirected_edges": graph.undirected}, path)
 
     def update(self, graph: Graph, nodes: DataFrame) -> Graph:
-        """The graph with new nodes whose content it does not hold, and the edges among them."""
-        new = materialise(G.unseen(nodes.drop("metadata"), graph.nodes, "content").withColumn("metadata", F.create_map().cast("map<string,string>")), "new")
+        """The graph with new nodes whose content their graph does not hold, and the edges among them."""
+        new = materialise(G.unseen(nodes.select(*graph.nodes.columns), graph.nodes, "content", ("graph_id",)), "new")
         directed, undirected = edges_of(new, self.as_of)
         return Graph(graph.nodes.unionByName(new), graph.directed.unionByName(directed, True), graph.undirected.unionByName(undirected, True))
 
-    def seeds(self, graph: Graph, questions: DataFrame, key: str = "q", text: str = "question", top: int = 24) -> DataFrame:
-        """(key, node_id, score) of the content nodes that best match the questions and their parts."""
-        content = G.content_only(graph.nodes)
-        counts = materialise(I.term_counts(content, ["node_id"], "content"), "terms")
-        idf = I.inverse_frequencies(counts, content.agg(F.count_distinct("node_id").alias("n_texts")), [])
-        parts = questions.select(key, F.posexplode(R.sub_queries(F.col(text))).alias("part", "asked")).withColumn("k", F.concat_ws("|", F.col(key).cast("string"), "part"))
-        found = I.search(counts, parts, idf, "k", "asked", ["node_id"], top)
-        return R.merged_seeds(found.join(parts.select("k", key), "k"), key=key, node="node_id")
-
-    def query(self, graph: Graph, questions: DataFrame, key: str = "q", text: str = "question", options: R.Traversal = R.Traversal()) -> DataFrame:
-        """(key, node_id, score, place): the best nodes for every question after traversal and temporal re-scoring."""
-        seeds = self.seeds(graph, questions, key, text)
-        scores = R.traverse(seeds, R.neighbours(graph.directed, graph.undirected, options.backward, options.blocked), key, options)
-        return R.top_nodes(scores, graph.nodes, key, self.as_of, options.nodes)
-
-    def texts(self, graph: Graph, questions: DataFrame, key: str = "q", text: str = "question", options: R.Traversal = R.Traversal()) -> DataFrame:
+    def index(self, graph: Graph) -> tuple[DataFrame, DataFrame]:
+        """The term index of a graph, to be kept for many questions."""
+        return A.term_index(graph.nodes)
+
+    def query(
+        self, graph: Graph, questions: DataFrame, key: str = "q", text: str = "question", options: A.Asking = A.Asking(), index: tuple[DataFrame, DataFrame] | None = None,
+        model: Callable[[], M.VectorModel] = M.HashedWords,
+    ) -> DataFrame:
+        """(key, graph_id, node_id, score, place): the best nodes for every question; in the modes vectors and hybrid by the vectors of a model too."""
+        synonyms = R.synonym_map(graph.nodes, graph.undirected)
+        likeness = None
+        if options.mode != "terms":
+            content = G.content_only(graph.nodes).withColumn("_id", F.to_json(F.struct(*A.NODE)))
+            told = M.embedded(content, "_id", "content", model).select(F.from_json("_id", "graph_id string, node_id string").alias("i"), "embedding").select("i.*", "embedding")
+            likeness = R.likeness(told, "embedding", M.embedded(questions, key, text, model).toDF("q", "query")).withColumnRenamed("q", key)
+            likeness = materialise(likeness.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= options.least_cosine), "likeness")
+        return A.ask(graph.nodes, graph.directed, graph.undirected, questions, self.as_of, key, text, options, index, synonyms, likeness)
+
+    def texts(self, graph: Graph, questions: DataFrame, key: str = "q", text: str = "question", options: A.Asking = A.Asking()) -> DataFrame:
         """(key, text): the subgraph for every question as text, for any number of questions."""
         best = materialise(self.query(graph, questions, key, text, options), "best")
-        directed = graph.directed.where(~F.col("edge_type").isin(*options.blocked)) if options.blocked else graph.directed
-        one = materialise(R.edges_between(best, directed.select("from_node", "to_node", "edge_type", "weight"), key, ("from_node", "to_node")), "one")
-        two = materialise(R.edges_between(best, graph.undirected.select("node_a", "node_b", "edge_type", "weight"), key, ("node_a", "node_b")), "two")
+        one = materialise(R.edges_between(best, graph.directed.select("graph_id", "from_node", "to_node", "edge_type", "weight"), key, ("from_node", "to_node")), "one")
+        two = materialise(R.edges_between(best, graph.undirected.select("graph_id", "node_a", "node_b", "edge_type", "weight"), key, ("node_a", "node_b")), "two")
         return N.subgraph_texts(best, graph.nodes, one, two, key)
 
     def answer(self, graph: Graph, questions: DataFrame, model: Callable[[], M.TextModel] = M.FirstSentences, key: str = "q", text: str = "question") -> DataFrame:
@@ -133,15 +141,15 @@ class Engine:
         prompts = asked.select(key, F.concat(F.lit("Answer from this subgraph alone.\n\n"), "text", F.lit("\n\nQuestion: "), "asked").alias("prompt"))
         return M.answered(prompts, key, "prompt", model)
 
-    def context(self, graph: Graph, question: str, options: R.Traversal = R.Traversal()) -> str:
-        """The subgraph for one question as text; at most options.nodes nodes reach the driver."""
-        asked = self.spark.createDataFrame([("q", question)], "q string, question string")
-        best = materialise(self.query(graph, asked, options=options), "best")
-        held = graph.nodes.join(best, "node_id").select("node_id", "node_type", "content", "score", F.col("source.section").alias("section"), F.col("metadata")["session_date"].alias("session_date"), F.col("metadata")["session_id"].alias("session_id"), F.col("metadata")["claims"].alias("claims"))
-        one = R.edges_between(best, graph.directed.where(~F.col("edge_type").isin(*options.blocked)) if options.blocked else graph.directed, "q", ("from_node", "to_node"))
-        two = R.edges_between(best, graph.undirected, "q", ("node_a", "node_b"))
-        rows = lambda df, *c: [r.asDict() for r in df.select(*c).orderBy(*c).collect()]
-        return H.subgraph_text([r.asDict() for r in held.collect()], rows(one, "from_node", "to_node", "edge_type", "weight"), rows(two, "node_a", "node_b", "edge_type", "weight"))
+    def context(self, graph: Graph, question: str, options: A.Asking = A.Asking()) -> str:
+        """The subgraph for one question as text; empty if it has no seeds."""
+        rows = self.texts(graph, self.spark.createDataFrame([("q", question)], "q string, question string"), options=options).collect()
+        return rows[0]["text"] if rows else ""
+
+    def summarised(self, graph: Graph, model: Callable[[], M.TextModel] = M.FirstSentences) -> Graph:
+        """The graph with a summary node for every session of messages and its summarizes edges."""
+        nodes, edges = M.session_nodes(graph.nodes, self.as_of, model)
+        return Graph(graph.nodes.unionByName(nodes.select(*graph.nodes.columns)), graph.directed.unionByName(edges, True), graph.undirected)
 
     def correct(self, graph: Graph, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(changed nodes, added nodes, added edges) for change rows."""

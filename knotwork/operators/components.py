@@ -9,12 +9,12 @@ from knotwork.operators.spread import crowded, join_checked
 from knotwork.session import materialise
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, floor: int = 50_000) -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", floor: int = 50_000) -> DataFrame:
     """(id, component) of every end of links; the component is the smallest id that it holds.
 
     Alternates large-star and small-star steps: each round ties the neighbours
     of a node to the smallest one, by grouping and joining, until the edges no
-    longer change. The number of rounds grows with the logarithm of the length
+    longer change, however many rounds that takes. The number of rounds grows with the logarithm of the length
     of the chains. A node with very many neighbours, as the centre of a star
     becomes, is joined apart from the others. Null ends and self-links add nothing but the node itself.
     """
@@ -22,7 +22,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     nodes = links.select(F.col("u").alias("id")).union(links.select(F.col("v").alias("id"))).distinct()
     edges = materialise(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = join_checked(both, low, ["u"], crowded(both, ["u"], floor)).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

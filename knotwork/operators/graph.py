@@ -54,17 +54,24 @@ def cooccurrence_edges(nodes: DataFrame, window: int = 3) -> DataFrame:
 
 
 def contains_edges(nodes: DataFrame) -> DataFrame:
-    """(graph_id, from_node, to_node, edge_type, weight): document to section and section to content, by file and section title.
+    """(graph_id, from_node, to_node, edge_type, weight): document to section, section to section below it, and section to content, by file and section title.
 
-    Of several sections with one title in a file the first by ord counts.
+    A section lies below the nearest one before it in its file (by ord) whose
+    metadata give a smaller depth, if there is one, else below the document. Of
+    several sections with one title in a file the first by ord holds the content.
     """
-    file, section = F.col("source.file").alias("file"), F.col("source.section").alias("section")
-    rows = nodes.select("graph_id", "node_id", "node_type", "ord", "content", file, section)
-    first = lambda t, *by: rows.where(F.col("node_type") == t).groupBy("graph_id", "file", *by).agg(F.min_by("node_id", F.struct("ord", "node_id")).alias("from_node"))
-    documents, sections = first("document"), first("section", "section")
-    below = rows.where(F.col("node_type") == "section").join(documents, ["graph_id", "file"])
-    inside = content_only(rows).join(sections, ["graph_id", "file", "section"])
-    both = below.select("graph_id", "from_node", "node_id").unionByName(inside.select("graph_id", "from_node", "node_id"))
+    file, section, depth = F.col("source.file").alias("file"), F.col("source.section").alias("section"), F.try_element_at("metadata", F.lit("depth")).try_cast("int").alias("depth")
+    rows = nodes.select("graph_id", "node_id", "node_type", "ord", "content", file, section, depth)
+    heads = rows.where("node_type = 'section'")
+    documents = rows.where("node_type = 'document'").groupBy("graph_id", "file").agg(F.min_by("node_id", F.struct("ord", "node_id")).alias("from_node"))
+    titled = heads.groupBy("graph_id", "file", "section").agg(F.min_by("node_id", F.struct("ord", "node_id")).alias("from_node"))
+    before = Window.partitionBy("graph_id", "file").orderBy("ord", "node_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.when(F.col("depth") > d, F.max(F.when(F.col("depth") == d, F.struct("ord", "node_id"))).over(before)) for d in range(1, 6)]
+    heads = heads.withColumn("above", F.greatest(*last)["node_id"])
+    nested = heads.where("above is not null").select("graph_id", F.col("above").alias("from_node"), "node_id")
+    below = heads.where("above is null").join(documents, ["graph_id", "file"])
+    inside = content_only(rows).join(titled, ["graph_id", "file", "section"])
+    both = nested.unionByName(below.select("graph_id", "from_node", "node_id")).unionByName(inside.select("graph_id", "from_node", "node_id"))
     return both.select("graph_id", "from_node", F.col("node_id").alias("to_node"), F.lit("contains").alias("edge_type"), F.lit(1.0).alias("weight"))
 
 
@@ -101,64 +108,55 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
     return met.where(uses).select("graph_id", "from_node", F.col("node_id").alias("to_node"), F.lit("defines").alias("edge_type"), F.lit(0.6).alias("weight"))
 
 
-def similarity_edges(nodes: DataFrame, most_common: int = 500, per_node: int = 10, similar: float = 0.3, shared: float = 0.2) -> DataFrame:
+def similarity_edges(nodes: DataFrame, per_node: int = 10, similar: float = 0.3, shared: float = 0.2, early: float = 0.15) -> DataFrame:
     """(graph_id, node_a, node_b, edge_type, weight): content nodes of a graph that are alike.
 
-    Candidates share a term. Those that share one that fewer than most_common
-    texts of their graph have meet over it. The others meet in blocks: over the
-    more common terms that a text needs to reach `similar` without the still
-    more common ones, or over the names that it needs to reach `shared`; so none
-    is lost. A pair is similar-to if the cosine of its term weights reaches
-    `similar`, else shares-entity if the Jaccard share of its names reaches
-    `shared`. A pair stays if it is among the per_node best of both its ends, by
-    weight, then ord; weights are rounded to 6 digits first. No term or name
-    makes an unbounded group.
+    A pair is similar-to if the cosine of its term weights reaches `similar`,
+    else shares-entity if the Jaccard share of its names reaches `shared` and it
+    has a term in common. A pair stays if it is among the per_node best of both
+    its ends, by weight, then ord; weights are rounded to 6 digits first.
+
+    Terms stand from the rarest to the most common of their graph. What a text
+    weighs from a term on bounds all that the term and those after it can add,
+    so that texts meet only over terms where the product of these bounds reaches
+    `early`; pairs whose sum over them is below similar - early cannot reach
+    `similar`, the others are computed in full. Names meet in the same way (see
+    needed_names). Groups of many texts meet in blocks; nothing is capped.
     """
     texts = content_only(nodes).select("graph_id", "node_id", "ord", "content", "entities")
-    counts = term_counts(texts, ["graph_id", "node_id", "ord"], "content")
-    counts = materialise(counts, "terms")
-    sizes = texts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts"))
-    idf = inverse_frequencies(counts, sizes, ["graph_id"])
-    half = materialise(unit_weights(counts, idf, ["graph_id"], ["graph_id", "node_id", "ord"]), "weights")
-    rare = idf.where(F.col("df") < most_common).select("graph_id", "term")
-    left = half.select("graph_id", "term", F.struct("ord", "node_id").alias("x"), F.col("u").alias("ux"))
-    right = half.select("graph_id", "term", F.struct("ord", "node_id").alias("y"), F.col("u").alias("uy"))
-    kept = left.join(rare, ["graph_id", "term"])
-    met = kept.join(right, ["graph_id", "term"]).where("x < y").select("graph_id", "x", "y", (F.col("ux") * F.col("uy")).alias("part"))
-    common = idf.where(F.col("df") >= most_common).select("graph_id", "term", "df")
-    heavy = materialise(half.join(common, ["graph_id", "term"]), "common")
-    after = Window.partitionBy("graph_id", "node_id", "ord").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    needed = heavy.withColumn("left", F.sum(F.col("u") * F.col("u")).over(after)).where(F.col("left") >= (similar - 1e-6) ** 2)
-    over_terms = met_in_blocks(needed.select("graph_id", "term", F.struct("ord", "node_id").alias("item")), ["graph_id", "term"])
-    holders = heavy.select("graph_id", "node_id").distinct()
-    over_names = needed_names(texts.join(holders, ["graph_id", "node_id"], "left_semi"), shared - 1e-6)
-    over_names = met_in_blocks(over_names.select("graph_id", "name", F.struct("ord", "node_id").alias("item")), ["graph_id", "name"])
-    met = met.unionByName(over_terms.drop("term").unionByName(over_names.drop("name")).withColumn("part", F.lit(0.0)))
-    near = met.groupBy("graph_id", "x", "y").agg(F.sum("part").alias("part"))
-    often = heavy.groupBy("graph_id", "node_id", "ord").agg(F.map_from_entries(F.collect_list(F.struct("term", "u"))).alias("m"))
-    side = lambda c, m: often.select("graph_id", F.struct("ord", "node_id").alias(c), F.col("m").alias(m))
-    near = near.join(side("x", "mx"), ["graph_id", "x"], "left").join(side("y", "my"), ["graph_id", "y"], "left")
-    rest = F.aggregate(F.map_entries("mx"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.col("my")[e["key"]], F.lit(0.0)))
-    near = near.select("graph_id", "x", "y", (F.col("part") + F.coalesce(rest, F.lit(0.0))).alias("cosine")).where("cosine > 0").withColumn("cosine", F.round("cosine", 6))
-    names = texts.select("graph_id", F.struct("ord", "node_id").alias("k"), "entities")
-    named = names.where(F.size("entities") > 0)
-    share = near.where(F.col("cosine") < similar).join(named.select("graph_id", F.col("k").alias("x"), F.col("entities").alias("ex")), ["graph_id", "x"])
-    share = share.join(named.select("graph_id", F.col("k").alias("y"), F.col("entities").alias("ey")), ["graph_id", "y"])
-    share = share.select("graph_id", "x", "y", F.lit("shares-entity").alias("edge_type"), F.round(jaccard(F.col("ex"), F.col("ey")), 6).alias("weight")).where(F.col("weight") >= shared)
-    alike = near.where(F.col("cosine") >= similar).select("graph_id", "x", "y", F.lit("similar-to").alias("edge_type"), F.col("cosine").alias("weight"))
+    counts = materialise(term_counts(texts, ["graph_id", "node_id", "ord"], "content"), "terms")
+    idf = materialise(inverse_frequencies(counts, texts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts")), ["graph_id"]), "idf")
+    half = unit_weights(counts, idf, ["graph_id"], ["graph_id", "node_id", "ord"]).join(idf.select("graph_id", "term", "df"), ["graph_id", "term"])
+    onward = Window.partitionBy("graph_id", "node_id", "ord").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    half = materialise(half.withColumn("r", F.sqrt(F.sum(F.col("u") * F.col("u")).over(onward))), "weights")
+    lead = half.where(F.col("r") >= early - 1e-9).select("graph_id", "term", "df", F.struct("ord", "node_id", "u", "r").alias("item"))
+    met = met_in_blocks(lead, ["graph_id", "term"], n="df").where(F.col("x.r") * F.col("y.r") >= early - 1e-9)
+    side = lambda c: F.struct(F.col(f"{c}.ord").alias("ord"), F.col(f"{c}.node_id").alias("node_id")).alias(c)
+    near = met.groupBy("graph_id", side("x"), side("y")).agg(F.sum(F.col("x.u") * F.col("y.u")).alias("part")).where(F.col("part") >= similar - early - 2e-6)
+    end = lambda c: half.select("graph_id", F.struct("ord", "node_id").alias(c), "term", F.col("u").alias(f"u{c}"))
+    full = near.drop("part").join(end("x"), ["graph_id", "x"]).join(end("y"), ["graph_id", "y", "term"])
+    full = full.groupBy("graph_id", "x", "y").agg(F.round(F.sum(F.col("ux") * F.col("uy")), 6).alias("weight"))
+    alike = materialise(full.where(F.col("weight") >= similar).select("graph_id", "x", "y", F.lit("similar-to").alias("edge_type"), "weight"), "alike")
+    over_names = needed_names(texts, shared - 1e-6).select("graph_id", "name", "n", F.struct("ord", "node_id", "names").alias("item"))
+    share = met_in_blocks(over_names, ["graph_id", "name"], n="n").select("graph_id", side("x"), side("y"), F.round(jaccard(F.col("x.names"), F.col("y.names")), 6).alias("weight"))
+    share = share.where(F.col("weight") >= shared).distinct().join(alike.select("graph_id", "x", "y"), ["graph_id", "x", "y"], "left_anti")
+    said = counts.groupBy("graph_id", F.struct("ord", "node_id").alias("k")).agg(F.collect_list("term").alias("terms"))
+    share = share.join(said.select("graph_id", F.col("k").alias("x"), F.col("terms").alias("tx")), ["graph_id", "x"]).join(said.select("graph_id", F.col("k").alias("y"), F.col("terms").alias("ty")), ["graph_id", "y"])
+    share = share.where(F.arrays_overlap("tx", "ty")).select("graph_id", "x", "y", F.lit("shares-entity").alias("edge_type"), "weight")
     return mutual_best(alike.unionByName(share), per_node)
 
 
-def needed_names(nodes: DataFrame, least: float) -> DataFrame:
-    """(graph_id, ord, node_id, names, name, n): of every node's names, in one case and the rarest of its graph first, those of which two nodes share one if `least` of all their names are the same.
+def needed_names(nodes: DataFrame, least: float, at_least: int = 1) -> DataFrame:
+    """(graph_id, ord, node_id, names, name, n): of every node's names, in one case and the rarest of its graph first, those of which two nodes share one if `least` of all their names, and at_least of them, are the same.
 
     n is how many nodes of the graph bear the name.
     """
-    named = nodes.where(F.size("entities") > 0).select("graph_id", "ord", "node_id", same_case(F.col("entities")).alias("names"))
+    named = nodes.where(F.size("entities") >= at_least).select("graph_id", "ord", "node_id", same_case(F.col("entities")).alias("names"))
     each = named.select("*", F.explode("names").alias("name"))
     each = each.join(each.groupBy("graph_id", "name").agg(F.count(F.lit(1)).alias("n")), ["graph_id", "name"])
     rarest = Window.partitionBy("graph_id", "ord", "node_id").orderBy("n", "name")
-    return each.withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= F.size("names") - F.ceil(F.size("names") * least - 1e-9) + 1).drop("_k")
+    enough = F.greatest(F.ceil(F.size("names") * least - 1e-9), F.lit(at_least))
+    return each.withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= F.size("names") - enough + 1).drop("_k")
 
 
 def mutual_best(pairs: DataFrame, per_node: int) -> DataFrame:
@@ -204,12 +202,17 @@ def pruned_nodes(nodes: DataFrame, directed: DataFrame, undirected: DataFrame, l
     return nodes.join(held, ["graph_id", "node_id"], "left_semi")
 
 
-def unseen(incoming: DataFrame, existing: DataFrame, text: str) -> DataFrame:
-    """Rows of incoming whose text existing does not hold, each text once (the first by key columns)."""
-    known = existing.where(F.col(text).isNotNull()).select(content_hash(F.col(text)).alias("_hash"))
-    fresh = incoming.where(F.col(text).isNotNull()).withColumn("_hash", content_hash(F.col(text))).join(known, "_hash", "left_anti")
-    rest = [c for c in fresh.columns if c != "_hash"]
-    return fresh.groupBy("_hash").agg(F.min(F.struct(*rest)).alias("r")).select("r.*")
+def unseen(incoming: DataFrame, existing: DataFrame, text: str, scope: tuple[str, ...] = (), hashed: str | None = None) -> DataFrame:
+    """Rows of incoming whose text existing does not hold, each text once (the first by its other columns that have an order).
+
+    scope names columns, such as graph_id, within which texts are compared;
+    hashed is the column of existing that holds the hash of its text already.
+    Rows without a text are left out. Columns keep their values, maps too.
+    """
+    known = existing.where(F.col(text).isNotNull()).select(*scope, (F.col(hashed) if hashed else content_hash(F.col(text))).alias("_hash"))
+    fresh = incoming.where(F.col(text).isNotNull()).withColumn("_hash", content_hash(F.col(text))).join(known, [*scope, "_hash"], "left_anti")
+    kept = [c for c, kind in incoming.dtypes if "map<" not in kind]
+    return fresh.groupBy(*scope, "_hash").agg(F.min_by(F.struct(*incoming.columns), F.struct(*kept)).alias("r")).select("r.*")
 
 
 def closure(edges: DataFrame, roots: DataFrame, cut_after: int = 16) -> DataFrame:
@@ -231,20 +234,53 @@ def closure(edges: DataFrame, roots: DataFrame, cut_after: int = 16) -> DataFram
             reached = materialise(reached, "reached")
 
 
-def label_rounds(edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(graph_id, node_id, label): communities by label propagation over undirected edges, all nodes at once in every round.
+def label_rounds(edges: DataFrame, rounds: int = 10, nodes: DataFrame | None = None) -> DataFrame:
+    """(graph_id, node_id, label, settled): communities by label propagation over undirected edges, all nodes at once in every round.
 
     A node takes the label that most of its neighbours bear, the smallest of
-    several; the first label is its own id. Counts combine before the shuffle,
-    so that a node with very many neighbours is no single group.
+    several; the first label is its own id. The rounds end when no label changes,
+    or after `rounds`; settled tells whether the node's label stayed in the last
+    round. With nodes (graph_id, node_id), edges count only if their graph holds
+    both ends. Counts combine before the shuffle, so that a node with very many
+    neighbours is no single group.
     """
     pairs = edges.select("graph_id", "node_a", "node_b").where("node_a is not null and node_b is not null and node_a <> node_b")
-    both = pairs.union(pairs.select("graph_id", "node_b", "node_a")).toDF("graph_id", "node_id", "other")
+    for end in ("node_a", "node_b") if nodes is not None else ():
+        pairs = pairs.join(nodes.select("graph_id", F.col("node_id").alias(end)).distinct(), ["graph_id", end], "left_semi")
+    both = pairs.select("graph_id", "node_a", "node_b").union(pairs.select("graph_id", "node_b", "node_a")).toDF("graph_id", "node_id", "other")
     both = materialise(both, "neighbours")
-    labels = both.select("graph_id", "node_id", F.col("node_id").alias("label")).distinct()
+    labels = both.select("graph_id", "node_id", F.col("node_id").alias("label"), F.lit(False).alias("settled")).distinct()
     hot = crowded(both, ["graph_id", "other"])
     for _ in range(rounds):
         votes = join_checked(both, labels.select("graph_id", F.col("node_id").alias("other"), "label"), ["graph_id", "other"], hot).groupBy("graph_id", "node_id", "label").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("graph_id", "node_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label")).alias("b"))
-        labels = materialise(best.select("graph_id", "node_id", "b.label"), "labels")
+        before = labels.select("graph_id", "node_id", F.col("label").alias("was"))
+        labels = materialise(best.join(before, ["graph_id", "node_id"]).select("graph_id", "node_id", "b.label", (F.col("b.label") == F.col("was")).alias("settled")), "labels")
+        if labels.where("not settled").isEmpty():
+            break
     return labels
+
+
+def community_nodes(labels: DataFrame, nodes: DataFrame, least: int = 3, names: int = 10, shortest: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(summaries, edges): a concept node of level 1 for every community of `least` members and more, and its contains edges of weight 0.7.
+
+    summaries (graph_id, node_id, label, content, entities, n_members): the
+    content names the five names that most members bear and the `shortest`
+    contents of its members, 300 characters of them; names by number, then
+    alphabet, contents by length, then ord. Members that nodes do not hold, and
+    null contents, add nothing.
+    """
+    sizes = labels.groupBy("graph_id", "label").agg(F.count(F.lit(1)).alias("n_members")).where(F.col("n_members") >= least)
+    members = labels.select("graph_id", "node_id", "label").join(sizes, ["graph_id", "label"])
+    held = members.join(nodes.select("graph_id", "node_id", "ord", "content", "entities"), ["graph_id", "node_id"])
+    counts = held.select("graph_id", "label", F.explode("entities").alias("entity")).groupBy("graph_id", "label", "entity").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.withColumn("k", F.row_number().over(Window.partitionBy("graph_id", "label").orderBy(F.desc("n"), "entity"))).where(F.col("k") <= names)
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c])
+    best = best.groupBy("graph_id", "label").agg(listed("entity").alias("entities"))
+    said = held.where("content is not null").withColumn("k", F.row_number().over(Window.partitionBy("graph_id", "label").orderBy(F.length("content"), "ord", "node_id"))).where(F.col("k") <= shortest)
+    said = said.groupBy("graph_id", "label").agg(F.substring(F.array_join(listed("content"), " | "), 1, 300).alias("said"))
+    made = sizes.join(best, ["graph_id", "label"], "left").join(said, ["graph_id", "label"], "left").withColumn("entities", F.coalesce("entities", F.array().cast("array<string>")))
+    content = F.concat(F.lit("[Cluster: "), F.array_join(F.slice("entities", 1, 5), ", "), F.lit("] "), F.coalesce("said", F.lit("")))
+    summaries = made.select("graph_id", new_edge_id(F.lit("cluster"), "graph_id", "label").alias("node_id"), "label", content.alias("content"), "entities", "n_members")
+    edges = members.select("graph_id", new_edge_id(F.lit("cluster"), "graph_id", "label").alias("from_node"), F.col("node_id").alias("to_node"), F.lit("contains").alias("edge_type"), F.lit(0.7).alias("weight"))
+    return summaries, edges

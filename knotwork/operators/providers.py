@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.functions.text import content_hash
+from knotwork.functions.text import content_hash, entities
+from knotwork.session import ship
 
 #: What a model's answer about a node holds.
 ENRICHMENT = "synthesis string, context string, sourceQuality string"
@@ -74,6 +75,7 @@ def answered(df: DataFrame, key: str, prompt: str, model: Callable[[], TextModel
                     said = [None] * len(part)
                 yield pd.DataFrame({"key": part["key"], "answer": said})
 
+    ship(df.sparkSession)
     rows = df.where(F.col(prompt).isNotNull()).select(F.col(key).alias("key"), F.col(prompt).alias("prompt"))
     return rows.mapInPandas(work, f"key {kind}, answer string").withColumnRenamed("key", key)
 
@@ -89,6 +91,7 @@ def embedded(df: DataFrame, key: str, text: str, model: Callable[[], VectorModel
                 part = batch.iloc[i : i + at_once]
                 yield pd.DataFrame({"key": part["key"], "embedding": made.embed(list(part["text"]))})
 
+    ship(df.sparkSession)
     rows = df.where(F.trim(F.col(text)) != "").select(F.col(key).alias("key"), F.col(text).alias("text"))
     return rows.mapInPandas(work, f"key {kind}, embedding array<float>").withColumnRenamed("key", key)
 
@@ -160,3 +163,33 @@ def session_answers(parts: DataFrame, session: list[str], part: str, answer: str
     """(session, answer): the answers to a session's parts, joined in order; null if one of them is missing, so that no part passes for the whole."""
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(part, answer))), lambda x: x[answer]), " ")
     return parts.groupBy(*session).agg(F.when(F.count(answer) == F.count(F.lit(1)), whole).alias(answer))
+
+
+def session_nodes(nodes: DataFrame, as_of: str, model: Callable[[], TextModel]) -> tuple[DataFrame, DataFrame]:
+    """(summaries, edges): a session-summary node for every file of messages that the model sums up, and its summarizes edges of weight 0.7.
+
+    Summaries have the columns of nodes: level 1, confidence 0.8, the date and
+    number of turns of their session. A session of which a part gets no answer
+    has no summary, and the nodes stay as they are.
+    """
+    said = nodes.where("node_type = 'message' and source.file is not null").select("graph_id", "node_id", F.col("source.file").alias("file"), "ord", "content", F.col("metadata")["session_date"].alias("session_date"))
+    prompts = session_prompts(said, ["graph_id", "file"], "content", "ord")
+    prompts = prompts.withColumn("k", F.to_json(F.struct("graph_id", "file", "part_no")))
+    told = answered(prompts, "k", "prompt", model).select(F.from_json("k", "graph_id string, file string, part_no int").alias("k"), json_in(F.col("answer"), ENRICHMENT)["synthesis"].alias("summary"))
+    whole = session_answers(told.select("k.*", "summary"), ["graph_id", "file"], "part_no", "summary").where("summary is not null")
+    turns = said.groupBy("graph_id", "file").agg(F.count(F.lit(1)).alias("turns"), F.max("session_date").alias("session_date"))
+    now, none = F.lit(as_of).cast("timestamp_ntz"), F.lit(None)
+    key = F.substring(F.sha2(F.concat_ws("|", F.lit("session-summary"), "graph_id", "file"), 256), 1, 16)
+    meta = F.map_filter(F.create_map(F.lit("session_id"), F.col("file"), F.lit("session_date"), F.col("session_date"), F.lit("turn_count"), F.col("turns").cast("string")), lambda _, v: v.isNotNull())
+    made = whole.join(turns, ["graph_id", "file"]).select(
+        "graph_id", key.alias("node_id"), F.lit(0).cast("long").alias("ord"), F.col("summary").alias("content"), content_hash(F.col("summary")).alias("content_hash"), F.lit("session-summary").alias("node_type"),
+        F.struct(F.col("file"), F.lit(0).cast("long").alias("char_offset"), none.cast("int").alias("line"), F.lit("session-summary").alias("section")).alias("source"),
+        entities(F.col("summary")).alias("entities"), meta.alias("metadata"), F.lit(1).alias("node_level"), F.lit(0.8).alias("confidence"), now.alias("created_at"), now.alias("last_accessed_at"),
+        F.lit(0).cast("long").alias("access_count"), none.cast("timestamp_ntz").alias("valid_until"),
+    )
+    held = whole.select("graph_id", "file", key.alias("from_node"))
+    edges = said.join(held, ["graph_id", "file"]).select(
+        "graph_id", F.substring(F.sha2(F.concat_ws("|", "from_node", "node_id", F.lit("summarizes")), 256), 1, 16).alias("edge_id"), "from_node", F.col("node_id").alias("to_node"),
+        F.lit("summarizes").alias("edge_type"), F.lit(0.7).alias("weight"), now.alias("created_at"),
+    )
+    return made, edges

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.functions.text import domain, edged, jaccard, same_case, six
+from knotwork.functions.text import domain, edged, jaccard, six
 from knotwork.operators.graph import content_only, needed_names
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
-from knotwork.operators.spread import hot_keys, met_in_blocks, next_in_group
+from knotwork.operators.spread import join_sliced, met_in_blocks
 from knotwork.session import materialise
 
 #: Names too general to compare claims by. Fixed values.
@@ -40,43 +40,41 @@ def sharing_pairs(nodes: DataFrame, least: float) -> DataFrame:
 
     They meet, in blocks, over the rarest names that a node needs for that.
     """
-    needed = needed_names(nodes, least)
-    met = met_in_blocks(needed.select("graph_id", "name", F.struct("ord", "node_id").alias("item")), ["graph_id", "name"]).select("graph_id", "x", "y").distinct()
-    side = lambda c, n: nodes.select("graph_id", F.struct("ord", "node_id").alias(c), same_case(F.col("entities")).alias(n))
-    pairs = met.join(side("x", "names"), ["graph_id", "x"]).join(side("y", "names_y"), ["graph_id", "y"])
-    share = F.size(F.array_intersect("names", "names_y")) / F.size(F.array_union("names", "names_y"))
-    return pairs.where(share >= least).select(F.col("x.node_id").alias("node_a"), F.col("y.node_id").alias("node_b"), F.round(share, 6).alias("jaccard"))
+    item = needed_names(nodes, least).select("graph_id", "name", "n", F.struct("ord", "node_id", "names").alias("item"))
+    share = F.size(F.array_intersect("x.names", "y.names")) / F.size(F.array_union("x.names", "y.names"))
+    met = met_in_blocks(item, ["graph_id", "name"], n="n").where(share >= least)
+    return met.select(F.col("x.node_id").alias("node_a"), F.col("y.node_id").alias("node_b"), F.round(share, 6).alias("jaccard")).distinct()
 
 
-def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.15, most: int = 30, ahead: int = 4) -> DataFrame:
+def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.15) -> DataFrame:
     """(graph_id, node_a, node_b, n_shared): pairs that name the same things, say little alike, and of which one disagrees.
 
-    For each telling name that 2 to `most` nodes of a graph bear, a node meets
-    the next `ahead` of them by ord. A pair counts if it shares two names of four
-    letters or more, its names overlap by more than `overlap`, the cosine of its
-    terms is below `likeness`, both texts have 80 characters, and one bears a
-    sign of conflict. Every pair comes once.
+    A pair of a graph counts if it shares a telling name (four letters or more,
+    no number, not general) and two names of four letters or more, its names
+    overlap by more than `overlap`, the cosine of its terms is below `likeness`,
+    both texts have 80 characters, and one bears a sign of conflict. Pairs meet,
+    in blocks, over the rarest names that a node needs for that overlap, so that
+    no name is too frequent. Every pair comes once, the earlier node first. Null
+    contents and nodes without names give no pairs.
     """
     nodes = content_only(nodes).where((F.col("node_type") != "person") & (F.length("content") >= 50))
-    each = nodes.select("graph_id", "node_id", "ord", F.explode(F.array_distinct("entities")).alias("name"))
-    each = each.where((F.length("name") >= 4) & ~F.col("name").rlike("^[0-9]+$") & ~F.lower("name").isin(GENERIC))
-    each = materialise(each.select("graph_id", "name", "ord", "node_id"), "named")
-    counts = each.groupBy("graph_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    spread = hot_keys(counts, each.count(), floor=most).select("graph_id", "name")
-    few = each.join(F.broadcast(spread), ["graph_id", "name"], "left_anti").join(counts.where(F.col("n").between(2, most)), ["graph_id", "name"], "left_semi")
-    met = next_in_group(few, ["graph_id", "name"], ["ord", "node_id"], "node_id", ahead).select("graph_id", F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    side = lambda c: nodes.select("graph_id", F.col("node_id").alias(c), F.col("content").alias(f"t{c}"), F.col("entities").alias(f"e{c}"))
-    pairs = met.join(side("a"), ["graph_id", "a"]).join(side("b"), ["graph_id", "b"])
-    long = F.array_intersect(F.filter(same_case(F.col("ea")), lambda e: F.length(e) >= 4), same_case(F.col("eb")))
-    pairs = pairs.withColumn("n_shared", F.size(long)).where((F.col("n_shared") >= 2) & (jaccard(F.col("ea"), F.col("eb")) > overlap))
-    pairs = pairs.where((F.length("ta") >= 80) & (F.length("tb") >= 80) & (conflicting(F.col("ta")) | conflicting(F.col("tb"))))
-    pairs = pairs.select("graph_id", "a", "b", "n_shared")
-
-    pairs = materialise(pairs.distinct(), "pairs")
+    long = nodes.where(F.length("content") >= 80)
+    telling = F.filter(F.array_distinct("entities"), lambda e: (F.length(e) >= 4) & ~e.rlike("^[0-9]+$") & ~F.lower(e).isin(GENERIC))
+    side = long.select("graph_id", "node_id", "ord", telling.alias("telling"), conflicting(F.col("content")).alias("odd"))
+    item = needed_names(long, overlap - 1e-9).join(side, ["graph_id", "node_id", "ord"])
+    item = item.select("graph_id", "name", "n", F.struct("ord", "node_id", "names", "telling", "odd").alias("item"))
+    met = met_in_blocks(item, ["graph_id", "name"], n="n").where((F.col("x.odd") | F.col("y.odd")) & F.arrays_overlap("x.telling", "y.telling"))
+    shared = F.size(F.filter(F.array_intersect("x.names", "y.names"), lambda e: F.length(e) >= 4))
+    met = met.where((jaccard(F.col("x.names"), F.col("y.names")) > overlap) & (shared >= 2))
+    pairs = materialise(met.select("graph_id", F.col("x.node_id").alias("a"), F.col("y.node_id").alias("b"), shared.alias("n_shared")).distinct(), "pairs")
+    if pairs.isEmpty():  # no term needs counting
+        return pairs.toDF("graph_id", "node_a", "node_b", "n_shared")
     ends = pairs.select("graph_id", F.explode(F.array("a", "b")).alias("node_id")).distinct()
-    counts = materialise(term_counts(nodes, ["graph_id", "node_id"], "content"), "terms")
-    idf = inverse_frequencies(counts, nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts")), ["graph_id"])
-    unit = unit_weights(counts.join(ends, ["graph_id", "node_id"], "left_semi"), idf, ["graph_id"], ["graph_id", "node_id"])
+    counts = materialise(term_counts(nodes.select("graph_id", "node_id", "content"), ["graph_id", "node_id"], "content"), "terms")
+    told = materialise(counts.join(ends, ["graph_id", "node_id"], "left_semi"), "told")
+    known = told.select("graph_id", "term").distinct()
+    idf = inverse_frequencies(counts.join(known, ["graph_id", "term"], "left_semi"), nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts")), ["graph_id"])
+    unit = unit_weights(told, idf, ["graph_id"], ["graph_id", "node_id"])
     x = pairs.join(unit.select("graph_id", F.col("node_id").alias("a"), "term", F.col("u").alias("ua")), ["graph_id", "a"])
     both = x.join(unit.select("graph_id", F.col("node_id").alias("b"), "term", F.col("u").alias("ub")), ["graph_id", "b", "term"])
     alike = both.groupBy("graph_id", "a", "b").agg(F.round(F.sum(F.col("ua") * F.col("ub")), 6).alias("cosine"))
@@ -84,19 +82,23 @@ def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.1
     return found.select("graph_id", F.col("a").alias("node_a"), F.col("b").alias("node_b"), "n_shared")
 
 
-def discoveries(nodes: DataFrame, undirected: DataFrame, per_domain: int = 100, top: int = 20) -> DataFrame:
+def discoveries(nodes: DataFrame, undirected: DataFrame, top: int = 20, per_domain: int | None = None) -> DataFrame:
     """(graph_id, node_a, node_b, n_bridges, surprise): the `top` pairs of every graph across domains with two or more shared names and no edge.
 
-    Of each domain the first per_domain nodes by ord take part; surprise is 0.2
-    for each shared name, 0.9 at most; ties go by node ids.
+    All nodes take part, or with per_domain the first so many of each domain by
+    ord. Two nodes with two names in common share one besides the most common
+    name of either, so they meet, in blocks, over all names of a node but that.
+    Surprise is 0.2 for each shared name, 0.9 at most; ties go by node ids.
     """
-    rows = content_only(nodes).select("graph_id", "node_id", "ord", "entities", domain(F.col("source.file")).alias("domain"))
-    first = Window.partitionBy("graph_id", "domain").orderBy("ord", "node_id")
-    rows = rows.withColumn("n", F.row_number().over(first)).where((F.col("n") <= per_domain) & F.col("domain").isNotNull())
-    each = rows.select("graph_id", "node_id", "domain", F.explode(same_case(F.col("entities"))).alias("name"))
-    other = each.select("graph_id", "name", F.col("node_id").alias("node_b"), F.col("domain").alias("domain_b"))
-    shared = each.withColumnRenamed("node_id", "node_a").join(other, ["graph_id", "name"]).where("node_a < node_b and domain <> domain_b")
-    shared = shared.groupBy("graph_id", "node_a", "node_b").agg(F.count(F.lit(1)).alias("n_bridges")).where("n_bridges >= 2")
+    rows = content_only(nodes).select("graph_id", "node_id", "ord", "entities", domain(F.col("source.file")).alias("domain")).where("domain is not null")
+    if per_domain is not None:
+        first = Window.partitionBy("graph_id", "domain").orderBy("ord", "node_id")
+        rows = rows.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_domain).drop("n")
+    needed = needed_names(rows, 0.0, 2).select("graph_id", "name", "n", "names", "ord", "node_id").join(rows.select("graph_id", "node_id", "domain"), ["graph_id", "node_id"])
+    item = needed.select("graph_id", "name", "n", F.struct("node_id", "domain", "names").alias("item"))
+    met = met_in_blocks(item, ["graph_id", "name"], n="n").where("x.domain <> y.domain")
+    bridges = F.size(F.array_intersect("x.names", "y.names")).cast("long")
+    shared = met.select("graph_id", F.col("x.node_id").alias("node_a"), F.col("y.node_id").alias("node_b"), bridges.alias("n_bridges")).where("n_bridges >= 2").distinct()
     tied = undirected.select("graph_id", F.least("node_a", "node_b").alias("node_a"), F.greatest("node_a", "node_b").alias("node_b"))
     shared = shared.join(tied, ["graph_id", "node_a", "node_b"], "left_anti").withColumn("surprise", F.least(F.round(F.col("n_bridges") * 0.2, 6), F.lit(0.9)))
     best = Window.partitionBy("graph_id").orderBy(F.desc("surprise"), "node_a", "node_b")
@@ -124,12 +126,14 @@ def inferred_edges(directed: DataFrame, least: float = 0.15, most: int = 100) ->
     A to B and B to C of one type imply A to C with half the product of the
     weights, unless it is below `least`, a loop, or an edge from A to C exists.
     Of several ways the strongest counts; the cap takes the strongest edges.
-    The nodes in the middle may have many edges on either side: as the cap and
-    the threshold do not need every way, none is dropped before grouping.
+    An edge takes part if it can pass `least` with the strongest one that meets
+    it in the middle; the edges of a node with very many of them meet in slices.
     """
     held = directed.where(F.col("edge_type").isin(TRANSITIVE) & F.col("weight").isNotNull()).select("graph_id", "from_node", "to_node", "edge_type", "weight")
-    onward = held.select("graph_id", F.col("from_node").alias("mid"), F.col("to_node").alias("end"), "edge_type", F.col("weight").alias("w2"))
-    ways = held.withColumnRenamed("to_node", "mid").join(onward, ["graph_id", "mid", "edge_type"]).where("from_node <> end")
+    most_weight = lambda end: held.groupBy("graph_id", F.col(end).alias("mid"), "edge_type").agg(F.max("weight").alias("best"))
+    able = lambda df, end: df.join(most_weight(end), ["graph_id", "mid", "edge_type"]).where(F.col("best") * F.col("weight") * 0.5 >= least - 1e-6).drop("best")
+    onward = able(held.select("graph_id", F.col("from_node").alias("mid"), F.col("to_node").alias("end"), "edge_type", "weight"), "to_node").withColumnRenamed("weight", "w2")
+    ways = join_sliced(able(held.withColumnRenamed("to_node", "mid"), "from_node"), onward, ["graph_id", "mid", "edge_type"]).where("from_node <> end")
     ways = ways.withColumn("weight", six(F.col("weight") * F.col("w2") * 0.5)).where(F.col("weight") >= least)
     best = ways.groupBy("graph_id", "from_node", F.col("end").alias("to_node")).agg(F.max(F.struct("weight", "edge_type")).alias("b"))
     best = best.select("graph_id", "from_node", "to_node", "b.edge_type", "b.weight")

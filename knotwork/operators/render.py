@@ -26,18 +26,18 @@ def part(df: DataFrame, keys: list[str], number: int, place: Column | str, line:
 
 
 def subgraph_texts(best: DataFrame, nodes: DataFrame, directed: DataFrame, undirected: DataFrame, key: str) -> DataFrame:
-    """(key, text): the chosen nodes (key, node_id, score, place) of every question and the edges between them, under short names.
+    """(key, text): the chosen nodes (key, graph_id, node_id, score, place) of every question and the edges between them, under short names.
 
     directed and undirected hold the key and both ends, as edges_between gives them.
     """
-    names = best.select(key, "node_id", F.concat(F.lit("n"), F.col("place").cast("string")).alias("name"))
+    names = best.select(key, "graph_id", "node_id", F.concat(F.lit("n"), F.col("place").cast("string")).alias("name"))
     counts = best.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
     for i, df in enumerate((directed, undirected)):
         counts = counts.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(f"e{i}")), key, "left")
     edges = F.coalesce("e0", F.lit(0)) + F.coalesce("e1", F.lit(0))
     a, b, c = HEADING.split("{}")
     head = F.concat(F.lit(a), F.col("n").cast("string"), F.lit(b), edges.cast("string"), F.lit(c))
-    held = best.join(nodes.select("node_id", "node_type", "content", F.col("source.section").alias("section"), "metadata"), "node_id")
+    held = best.join(nodes.select("graph_id", "node_id", "node_type", "content", F.col("source.section").alias("section"), "metadata"), ["graph_id", "node_id"])
     meta = F.col("metadata")
     tag = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"|{name}:"), c)).otherwise("")
     label = lambda kind: F.concat(F.lit("[n"), F.col("place").cast("string"), F.lit("|"), kind, F.lit("|"), shown(F.col("score"), 2))
@@ -56,7 +56,7 @@ def subgraph_texts(best: DataFrame, nodes: DataFrame, directed: DataFrame, undir
 
     rows = rows.unionByName(titled(sums, 1, order, summary)).unionByName(titled(facts, 2, order, fact))
     for number, df, ends, marks in ((3, directed, ("from_node", "to_node"), DIRECTED_MARKS), (4, undirected, ("node_a", "node_b"), UNDIRECTED_MARKS)):
-        x = df.join(names.select(key, F.col("node_id").alias(ends[0]), F.col("name").alias("x")), [key, ends[0]]).join(names.select(key, F.col("node_id").alias(ends[1]), F.col("name").alias("y")), [key, ends[1]])
+        x = df.join(names.select(key, "graph_id", F.col("node_id").alias(ends[0]), F.col("name").alias("x")), [key, "graph_id", ends[0]]).join(names.select(key, "graph_id", F.col("node_id").alias(ends[1]), F.col("name").alias("y")), [key, "graph_id", ends[1]])
         line = F.concat("x", F.lit(f" {marks[0]}"), "edge_type", F.lit(":"), F.coalesce(shown(F.col("weight"), 1), F.lit("?")), F.lit(f"{marks[1]} "), "y")
         rows = rows.unionByName(titled(x, number, F.concat_ws("|", *ends, "edge_type"), line))
     return lines(rows, [key])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from decimal import ROUND_HALF_UP, Decimal
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,8 +132,8 @@ def export_sample(nodes: DataFrame, degree: DataFrame, first: int = 10) -> DataF
 
 def insights(best: DataFrame, nodes: DataFrame, least: float = 0.1) -> DataFrame:
     """(q, node_id, score, synthesis, context): the chosen nodes of at least `least` that a model has enriched."""
-    rich = nodes.select("node_id", F.col("metadata")["synthesis"].alias("synthesis"), F.col("metadata")["context"].alias("context")).where("synthesis is not null")
-    return best.where(F.col("score") >= least).join(rich, "node_id").select("q", "node_id", "score", "synthesis", "context")
+    rich = nodes.select("graph_id", "node_id", F.col("metadata")["synthesis"].alias("synthesis"), F.col("metadata")["context"].alias("context")).where("synthesis is not null")
+    return best.where(F.col("score") >= least).join(rich, ["graph_id", "node_id"]).select("q", "node_id", "score", "synthesis", "context")
 
 
 def enrichment_candidates(nodes: DataFrame, degree: DataFrame, least_chars: int = 30, top: int = 20) -> DataFrame:
@@ -176,32 +174,3 @@ def links_for_view(nodes: DataFrame, directed: DataFrame, undirected: DataFrame)
     for end in ("source", "target"):
         rows = rows.join(ids.withColumnRenamed("node_id", end), ["graph_id", end], "left_semi")
     return rows.select("graph_id", "source", "target", "edge_type", "kind", "weight")
-
-
-def fixed(x: float, digits: int) -> str:
-    """A number with so many decimals, rounded by its exact binary value."""
-    return str(Decimal(x).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
-
-
-def subgraph_text(nodes: list[dict], directed: list[dict], undirected: list[dict]) -> str:
-    """A chosen subgraph as compact text: nodes by score under short names, then edges. For a bounded choice only."""
-    ranked = sorted(nodes, key=lambda n: (-n["score"], n["node_id"]))
-    name = {n["node_id"]: f"n{i}" for i, n in enumerate(ranked, 1)}
-    out = [HEADING.format(len(nodes), len(directed) + len(undirected)), ""]
-    tags = lambda n, *parts: "".join(f"|{k}:{v}" for k, v in parts if v)
-    summaries = [n for n in ranked if n["node_type"] == "session-summary"]
-    if summaries:
-        out.append(PARTS[0])
-        for n in summaries:
-            out.append(f"[{name[n['node_id']]}|summary|{fixed(n['score'], 2)}{tags(n, ('session', n.get('session_id')), ('date', n.get('session_date')))}] {n['content']}")
-            claims = [c.strip() for c in (n.get("claims") or "").split(" || ") if c.strip()][:10]
-            out += [f"  claims: {' | '.join(claims)}"] * bool(claims)
-        out.append("")
-    out.append(PARTS[1])
-    for n in ranked:
-        if n["node_type"] not in ("session-summary", "document", "section"):
-            out.append(f"[{name[n['node_id']]}|{n['node_type']}|{fixed(n['score'], 2)}{tags(n, ('src', n.get('section')), ('date', n.get('session_date')))}] {n['content']}")
-    for title, edges, a, b, mark in ((PARTS[2], directed, "from_node", "to_node", DIRECTED_MARKS), (PARTS[3], undirected, "node_a", "node_b", UNDIRECTED_MARKS)):
-        lines = [f"{name[e[a]]} {mark[0]}{e['edge_type']}:{fixed(e['weight'], 1)}{mark[1]} {name[e[b]]}" for e in edges if e[a] in name and e[b] in name]
-        out += ["", title, *lines] if edges else []
-    return "\n".join(out)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knotwork.functions.text import EDGE, dense_cosine, six
+from knotwork.operators.spread import join_sliced
 from knotwork.session import materialise
 
 #: How many seeds and nodes each kind of question gets, and whether its seeds are spread over files and favour summaries. Fixed values.
@@ -39,7 +39,9 @@ CONCEPTS = [
     (r"(?:timeline|history|evolution|develop)", "history development timeline evolution"),
     (r"(?:invented|created|designed|built)", "invention creation design"),
 ]
+#: Words at which a question falls into clauses, and the forms of named things and quotes in it. Fixed values.
 JOINTS = r"(?:and|or|but|how|why|when|where|what|which|between|from|with)"
+PHRASE, QUOTE, ACRONYM = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", "\"([^\"]+)\"|'([^']+)'", r"([A-Z]{2,}(?:\s+[A-Z]{2,})*)"
 
 
 @dataclass(frozen=True)
@@ -70,9 +72,9 @@ def strategy_of(kind: Column) -> Column:
 
 def sub_queries(question: Column, most: int = 6, least_chars: int = 10) -> Column:
     """The question and its parts: capitalised phrases, quotes, acronyms, the asked concept and its clauses, each once."""
-    phrases = F.regexp_extract_all(question, F.lit(rf"{EDGE}([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*){EDGE}"), F.lit(1))
-    quotes = F.regexp_extract_all(question, F.lit("\"([^\"]+)\"|'([^']+)'"), F.lit(0))
-    acronyms = F.regexp_extract_all(question, F.lit(rf"{EDGE}([A-Z]{{2,}}(?:\s+[A-Z]{{2,}})*){EDGE}"), F.lit(1))
+    phrases = F.regexp_extract_all(question, F.lit(f"{EDGE}{PHRASE}{EDGE}"), F.lit(1))
+    quotes = F.regexp_extract_all(question, F.lit(QUOTE), F.lit(0))
+    acronyms = F.regexp_extract_all(question, F.lit(f"{EDGE}{ACRONYM}{EDGE}"), F.lit(1))
     named = F.concat(phrases, F.transform(quotes, lambda q: F.substring(q, F.lit(2), F.length(q) - 2)), acronyms)
     named = F.filter(named, lambda p: F.lower(p) != F.lower(question))
     concept = None
@@ -97,17 +99,6 @@ def synonym_map(nodes: DataFrame, undirected: DataFrame, least: float = 0.4, top
     return sums.withColumn("place", F.row_number().over(order)).where((F.col("place") <= top) & (F.col("weight") > kept))
 
 
-def expand_query(question: str, synonyms: dict[str, list[str]], most: int = 5) -> list[str]:
-    """The question and variants in which a word or phrase gives way to a related name."""
-    low, variants = question.lower(), [question]
-    for word in low.split():
-        variants += [re.sub(rf"\b{re.escape(word)}\b", lambda _, s=s: s, question, flags=re.I) for s in synonyms.get(word, [])]
-    for term, related in synonyms.items():
-        if term in low:
-            variants += [re.sub(re.escape(term), lambda _, s=s: s, question, flags=re.I) for s in related[:2]]
-    return list(dict.fromkeys(variants))[:most]
-
-
 def bare_words(text: Column) -> Column:
     """The words of a text in lower case, in order, without punctuation."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
@@ -137,58 +128,68 @@ def expanded(questions: DataFrame, synonyms: DataFrame, key: str, text: str, mos
     return questions.select(key, F.col(text).alias("variant")).unionByName(more.select(key, "variant"))
 
 
-def merged_seeds(*pools: DataFrame, key: str, node: str) -> DataFrame:
-    """(key, node, score): the best score of every node over all pools."""
+def merged_seeds(*pools: DataFrame, key: str, node: str | list[str]) -> DataFrame:
+    """(key, node, score): the best score of every node over all pools; node is one column or several."""
+    keys = [key, *([node] if isinstance(node, str) else node)]
     rows = None
     for pool in pools:
-        part = pool.select(key, node, "score")
+        part = pool.select(*keys, "score")
         rows = part if rows is None else rows.unionByName(part)
-    return rows.groupBy(key, node).agg(F.max("score").alias("score"))
+    return rows.groupBy(*keys).agg(F.max("score").alias("score"))
+
+
+def summary_policy(seeds: DataFrame, kind: str = "node_type", prefer: str = "summaries", boost: float = 1.3) -> DataFrame:
+    """seeds with session summaries raised by `boost` where the question's strategy prefers them, and left out where it does not.
+
+    kind is the node's type, prefer the strategy's flag; where the flag is null nothing changes.
+    """
+    is_summary = F.coalesce(F.col(kind) == "session-summary", F.lit(False))
+    kept = seeds.where(~is_summary | F.coalesce(F.col(prefer), F.lit(True)))
+    return kept.withColumn("score", F.when(is_summary & F.coalesce(F.col(prefer), F.lit(False)), six(F.col("score") * boost)).otherwise(F.col("score")))
 
 
-def diversified(seeds: DataFrame, key: str, node: str, source: str, cap: int) -> DataFrame:
+def diversified(seeds: DataFrame, key: str, node: str, source: str, cap: int | str) -> DataFrame:
     """seeds dealt round by round: the best of every source, then the second best, up to cap; sources in the order of their best seed.
 
-    If there are no more than cap seeds all are kept and the order does not matter.
+    cap is a number or a column. If there are no more than cap seeds all are kept and the order does not matter.
     """
     ranked = seeds.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), node)))
     turns = ranked.withColumn("_turn", F.row_number().over(Window.partitionBy(key, source).orderBy("_n")))
     turns = turns.withColumn("_first", F.min("_n").over(Window.partitionBy(key, source)))
     dealt = turns.withColumn("pick_no", F.row_number().over(Window.partitionBy(key).orderBy("_turn", "_first")))
-    return dealt.where(F.col("pick_no") <= cap).drop("_n", "_turn", "_first")
+    return dealt.where(F.col("pick_no") <= (F.col(cap) if isinstance(cap, str) else cap)).drop("_n", "_turn", "_first")
 
 
-def neighbours(directed: DataFrame, undirected: DataFrame, backward: float = 0.5, blocked: tuple[str, ...] = ()) -> DataFrame:
-    """(node_id, other, weight): every way from a node to the next, forward, back at part of the weight, and undirected."""
+def neighbours(directed: DataFrame, undirected: DataFrame, nodes: DataFrame, backward: float = 0.5, blocked: tuple[str, ...] = ()) -> DataFrame:
+    """(graph_id, node_id, other, weight): every way of a graph from a node to the next that it holds, forward, back at part of the weight, and undirected."""
     directed = directed.where(F.col("weight").isNotNull() & ~F.col("edge_type").isin(*blocked)) if blocked else directed.where("weight is not null")
     undirected = undirected.where(F.col("weight").isNotNull() & ~F.col("edge_type").isin(*blocked)) if blocked else undirected.where("weight is not null")
-    ways = [
-        directed.select(F.col("from_node").alias("node_id"), F.col("to_node").alias("other"), "weight"),
-        directed.select(F.col("to_node").alias("node_id"), F.col("from_node").alias("other"), (F.col("weight") * backward).alias("weight")),
-        undirected.select(F.col("node_a").alias("node_id"), F.col("node_b").alias("other"), "weight"),
-        undirected.select(F.col("node_b").alias("node_id"), F.col("node_a").alias("other"), "weight"),
-    ]
-    all_ways = ways[0].unionAll(ways[1]).unionAll(ways[2]).unionAll(ways[3]).where("node_id is not null and other is not null")
-    return all_ways.groupBy("node_id", "other").agg(F.max("weight").alias("weight"))
+    way = lambda x, y, w: F.struct(F.col(x).alias("node_id"), F.col(y).alias("other"), w.alias("weight"))
+    one = directed.select("graph_id", F.explode(F.array(way("from_node", "to_node", F.col("weight")), way("to_node", "from_node", F.col("weight") * backward))).alias("w"))
+    two = undirected.select("graph_id", F.explode(F.array(way("node_a", "node_b", F.col("weight")), way("node_b", "node_a", F.col("weight")))).alias("w"))
+    ways = one.unionAll(two).select("graph_id", "w.*").where("node_id is not null and other is not null")
+    best = ways.groupBy("graph_id", "node_id", "other").agg(F.max("weight").alias("weight"))
+    return best.join(nodes.select("graph_id", F.col("node_id").alias("other")), ["graph_id", "other"], "left_semi").select("graph_id", "node_id", "other", "weight")
 
 
 def traverse(seeds: DataFrame, ways: DataFrame, key: str, options: Traversal = Traversal()) -> DataFrame:
-    """(key, node_id, score): scores that spread from seeds (key, node_id, score) over a few hops.
+    """(key, graph_id, node_id, score): scores that spread from seeds (key, graph_id, node_id, score) over a few hops within their graph.
 
     All nodes that a hop improved pass on their score times decay times the
     weight of the way; a node keeps its best score. The number of hops is small
-    and fixed, so the plan is unrolled. Null ends were left out with the ways.
+    and fixed, so the plan is unrolled. Null ends were left out with the ways;
+    the ways of a node with very many of them are followed in several tasks.
     """
-    scores = seeds.groupBy(key, "node_id").agg(F.max("score").alias("score"))
-    scores = materialise(scores, "seeds")
+    node = ["graph_id", "node_id"]
+    scores = materialise(seeds.groupBy(key, *node).agg(F.max("score").alias("score")), "seeds")
     frontier, ways = scores, materialise(ways, "ways")
     for _ in range(options.hops):
-        step = frontier.join(ways, "node_id").select(key, F.col("other").alias("node_id"), (F.col("score") * options.decay * F.col("weight")).alias("new"))
-        step = step.groupBy(key, "node_id").agg(F.max("new").alias("new"))
-        both = materialise(scores.join(step, [key, "node_id"], "full"), "hop")
+        step = join_sliced(frontier, ways, node).select(key, "graph_id", F.col("other").alias("node_id"), (F.col("score") * options.decay * F.col("weight")).alias("new"))
+        step = step.groupBy(key, *node).agg(F.max("new").alias("new"))
+        both = materialise(scores.join(step, [key, *node], "full"), "hop")
         better = F.col("new") > F.coalesce("score", F.lit(0.0))
-        frontier = both.where(better).select(key, "node_id", F.col("new").alias("score"))
-        scores = both.select(key, "node_id", F.when(better, F.col("new")).otherwise(F.col("score")).alias("score"))
+        frontier = both.where(better).select(key, *node, F.col("new").alias("score"))
+        scores = both.select(key, *node, F.when(better, F.col("new")).otherwise(F.col("score")).alias("score"))
     return scores.where("score is not null")
 
 
@@ -200,20 +201,25 @@ def temporal_factor(last_access: Column, accesses: Column, confidence: Column, v
     return recent * often * F.coalesce(confidence, F.lit(1.0)) * F.when(as_of > valid_until, 0.3).otherwise(1.0)
 
 
-def top_nodes(scores: DataFrame, nodes: DataFrame, key: str, as_of: str, most: int) -> DataFrame:
-    """(key, node_id, score, place): the best nodes after temporal re-scoring; ids without a node leave first."""
+def top_nodes(scores: DataFrame, nodes: DataFrame, key: str, as_of: str, most: int | str) -> DataFrame:
+    """(key, graph_id, node_id, score, place): the best nodes after temporal re-scoring; ids without a node leave first.
+
+    most is a number or a column of scores.
+    """
     now = F.lit(as_of).cast("timestamp_ntz")
     factor = temporal_factor(F.col("last_accessed_at"), F.col("access_count"), F.col("confidence"), F.col("valid_until"), now)
-    held = scores.join(nodes.select("node_id", factor.alias("f")), "node_id").select(key, "node_id", six(F.col("score") * F.col("f")).alias("score"))
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "node_id")
-    return held.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
+    kept = [key, "graph_id", "node_id", *([most] if isinstance(most, str) else [])]
+    held = scores.join(nodes.select("graph_id", "node_id", factor.alias("f")), ["graph_id", "node_id"]).select(*kept, six(F.col("score") * F.col("f")).alias("score"))
+    order = Window.partitionBy(key).orderBy(F.desc("score"), "node_id", "graph_id")
+    placed = held.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (F.col(most) if isinstance(most, str) else most))
+    return placed.select(key, "graph_id", "node_id", "score", "place")
 
 
 def edges_between(chosen: DataFrame, edges: DataFrame, key: str, ends: tuple[str, str]) -> DataFrame:
-    """The edges of which both ends were chosen for a key."""
-    one = chosen.select(key, F.col("node_id").alias(ends[0]))
-    two = chosen.select(key, F.col("node_id").alias(ends[1]))
-    return edges.join(one, ends[0]).join(two, [key, ends[1]])
+    """The edges of which both ends were chosen for a key in the edge's graph."""
+    one = chosen.select(key, "graph_id", F.col("node_id").alias(ends[0]))
+    two = chosen.select(key, "graph_id", F.col("node_id").alias(ends[1]))
+    return edges.join(one, ["graph_id", ends[0]]).join(two, [key, "graph_id", ends[1]])
 
 
 def likeness(vectors: DataFrame, embedding: str, queries: DataFrame, block: int = 1000) -> DataFrame:
@@ -232,25 +238,27 @@ def likeness(vectors: DataFrame, embedding: str, queries: DataFrame, block: int
     return out
 
 
-def reranked(scores: DataFrame, likeness: DataFrame, key: str, node: str) -> DataFrame:
+def reranked(scores: DataFrame, likeness: DataFrame, key: str, node: str | list[str]) -> DataFrame:
     """(key, node, score): half the score over its key's best, half the cosine; nodes without a vector keep the former whole."""
+    node = [node] if isinstance(node, str) else node
     best = F.max("score").over(Window.partitionBy(key))
-    both = scores.join(likeness, [key, node], "left").withColumn("part", F.col("score") / best)
+    both = scores.join(likeness, [key, *node], "left").withColumn("part", F.col("score") / best)
     blended = F.when(F.col("cosine").isNull(), F.col("part")).otherwise(0.5 * F.col("part") + 0.5 * F.greatest(F.col("cosine"), F.lit(0.0)))
-    return both.select(key, node, six(blended).alias("score"))
+    return both.select(key, *node, six(blended).alias("score"))
 
 
 def sibling_turns(chosen: DataFrame, nodes: DataFrame, key: str, factor: float = 0.9) -> DataFrame:
-    """chosen (key, node_id, score) with the user's turn of every chosen assistant turn of one file, at part of its score, if it is not there."""
+    """chosen (key, graph_id, node_id, score) with the user's turn of every chosen assistant turn of one file, at part of its score, if it is not there."""
+    node = ["graph_id", "node_id"]
     part = lambda who: F.col("section").rlike(rf"(?i)^{who} \(turn [0-9]+\)$")
-    turns = nodes.select("node_id", "graph_id", F.col("source.file").alias("file"), F.col("source.section").alias("section"), F.regexp_extract("source.section", r"([0-9]+)\)$", 1).alias("turn"))
-    answers = chosen.join(turns.where(part("assistant")), "node_id").select(key, "graph_id", "file", "turn", "score")
-    asked = answers.join(turns.where(part("user")), ["graph_id", "file", "turn"]).groupBy(key, "node_id").agg(six(F.max("score") * factor).alias("score"))
-    return chosen.select(key, "node_id", "score").unionByName(asked.join(chosen.select(key, "node_id"), [key, "node_id"], "left_anti"))
+    turns = nodes.select(*node, F.col("source.file").alias("file"), F.col("source.section").alias("section"), F.regexp_extract("source.section", r"([0-9]+)\)$", 1).alias("turn"))
+    answers = chosen.join(turns.where(part("assistant")), node).select(key, "graph_id", "file", "turn", "score")
+    asked = answers.join(turns.where(part("user")), ["graph_id", "file", "turn"]).groupBy(key, *node).agg(six(F.max("score") * factor).alias("score"))
+    return chosen.select(key, *node, "score").unionByName(asked.join(chosen.select(key, *node), [key, *node], "left_anti"))
 
 
 def weakened_by_summary(chosen: DataFrame, nodes: DataFrame, directed: DataFrame, key: str, factor: float = 0.5) -> DataFrame:
-    """chosen with the score halved of nodes that a chosen summary sums up."""
-    summaries = chosen.join(nodes.where("node_type = 'session-summary'").select("node_id"), "node_id").select(key, F.col("node_id").alias("from_node"))
-    children = directed.where("edge_type = 'summarizes'").join(summaries, "from_node").select(key, F.col("to_node").alias("node_id"), F.lit(True).alias("under")).distinct()
-    return chosen.join(children, [key, "node_id"], "left").withColumn("score", F.when(F.col("under"), F.col("score") * factor).otherwise(F.col("score"))).drop("under")
+    """chosen with the score halved of nodes that a chosen summary of their graph sums up."""
+    summaries = chosen.join(nodes.where("node_type = 'session-summary'").select("graph_id", "node_id"), ["graph_id", "node_id"]).select(key, "graph_id", F.col("node_id").alias("from_node"))
+    children = directed.where("edge_type = 'summarizes'").join(summaries, ["graph_id", "from_node"]).select(key, "graph_id", F.col("to_node").alias("node_id"), F.lit(True).alias("under")).distinct()
+    return chosen.join(children, [key, "graph_id", "node_id"], "left").withColumn("score", F.when(F.col("under"), F.col("score") * factor).otherwise(F.col("score"))).drop("under")

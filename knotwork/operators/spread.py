@@ -97,12 +97,29 @@ def next_in_group(df: DataFrame, keys: list[str], order: list[str], item: str, a
     return cold.unionByName(numbered.select("_key", *keys, F.col(item).alias("x"), "_no").join(y, ["_key", "_no"]).select(*keys, "x", "y", "step"))
 
 
-def met_in_blocks(df: DataFrame, keys: list[str], block: int = 500) -> DataFrame:
-    """(keys, x, y): every two items x < y of a key in a table (keys, item), met in one of the key's pairs of blocks of about `block` items."""
-    counts = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).alias("_blocks"))
-    placed = df.join(counts, keys).withColumn("_i", F.pmod(F.xxhash64("item"), "_blocks"))
+def met_in_blocks(df: DataFrame, keys: list[str], block: int = 500, n: str | None = None) -> DataFrame:
+    """(keys, x, y): every two items x < y of a key in a table (keys, item), met in one of the key's pairs of blocks of about `block` items.
+
+    n names a column with about the number of items of the key; without it they are counted.
+    """
+    if n is None:
+        df = df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+    placed = df.withColumn("_blocks", F.ceil(F.col(n or "_n") / block)).withColumn("_i", F.pmod(F.xxhash64("item"), "_blocks"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     met = placed.withColumn("_j", others).select(*keys, F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", "item")
     x, y = met.select(*keys, "_lo", "_hi", "_i", F.col("item").alias("x")), met.select(*keys, "_lo", "_hi", F.col("_i").alias("_k"), F.col("item").alias("y"))
     once = (F.col("_i") != F.col("_k")) | (F.col("_lo") == F.col("_hi"))
     return x.join(y, [*keys, "_lo", "_hi"]).where((F.col("x") < F.col("y")) & once).select(*keys, "x", "y")
+
+
+def join_sliced(left: DataFrame, right: DataFrame, keys: list[str], slices: int = 64, floor: int = 50_000) -> DataFrame:
+    """left joined to right on keys, with the rows of right's hot keys dealt to `slices` tasks and left's rows of these keys sent to all of them."""
+    hot = crowded(right, keys, floor)
+    if hot is None:
+        return left.join(right, keys)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(slices - 1))).otherwise(F.array(F.lit(0)))
+    one = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[c for c in right.columns if c not in keys]), F.lit(slices))).otherwise(0).cast("int")
+    x = left.join(hot, keys, "left").withColumn("_slice", F.explode(every)).drop("_hot")
+    y = right.join(hot, keys, "left").withColumn("_slice", one).drop("_hot")
+    return x.join(y, [*keys, "_slice"]).drop("_slice")

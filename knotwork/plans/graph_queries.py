@@ -68,14 +68,16 @@ def cooccur_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {NODES}, r AS (SELECT graph_id, node_id, node_type, ord, source.file AS file, source.section AS section FROM n),
+    f"""WITH {NODES}, r AS (SELECT graph_id, node_id, node_type, ord, source.file AS file, source.section AS section, try_cast(metadata['depth'] AS INT) AS depth FROM n), h AS (SELECT * FROM r WHERE node_type = 'section'),
 dd AS (SELECT graph_id, file, arg_min(node_id, (ord, node_id)) AS p FROM r WHERE node_type = 'document' GROUP BY ALL),
 ss AS (SELECT graph_id, file, section, arg_min(node_id, (ord, node_id)) AS p FROM r WHERE node_type = 'section' GROUP BY ALL)
-SELECT graph_id, p AS from_node, node_id AS to_node, 'contains' AS edge_type, 1.0::DOUBLE AS weight FROM r JOIN dd USING (graph_id, file) WHERE node_type = 'section'
+SELECT graph_id, from_node, to_node, 'contains' AS edge_type, 1.0::DOUBLE AS weight FROM (
+ SELECT s.graph_id, coalesce((SELECT arg_max(a.node_id, (a.ord, a.node_id)) FROM h a WHERE a.graph_id = s.graph_id AND a.file = s.file AND a.depth < s.depth AND (a.ord, a.node_id) < (s.ord, s.node_id)), dd.p) AS from_node, s.node_id AS to_node
+ FROM h s LEFT JOIN dd USING (graph_id, file)) WHERE from_node IS NOT NULL
 UNION ALL SELECT graph_id, p, node_id, 'contains', 1.0 FROM r JOIN ss USING (graph_id, file, section) WHERE node_type IS NULL OR node_type NOT IN ('document', 'section')"""
 )
 def contains_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return G.contains_edges(graph_nodes(spark, sf, *PLACES, "content"))
+    return G.contains_edges(graph_nodes(spark, sf, *PLACES, "content", "metadata"))
 
 
 @query(
@@ -108,7 +110,7 @@ z AS (SELECT graph_id, count(*) AS n_texts FROM t GROUP BY 1),
 i AS (SELECT graph_id, term, count(*) AS df, ln((any_value(n_texts) + 1) / (count(*) + 1)) + 1 AS idf FROM c JOIN z USING (graph_id) GROUP BY 1, 2),
 v AS (SELECT graph_id, node_id, ord, term, df, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY graph_id, node_id)) AS u
       FROM (SELECT *, freq / max(freq) OVER (PARTITION BY graph_id, node_id) AS tf FROM c) JOIN i USING (graph_id, term)),
-k AS (SELECT DISTINCT graph_id, a.node_id AS x, b.node_id AS y, a.ord AS ox, b.ord AS oy FROM v a JOIN v b USING (graph_id, term) WHERE a.df < 500 AND (a.ord, a.node_id) < (b.ord, b.node_id)),
+k AS (SELECT DISTINCT graph_id, a.node_id AS x, b.node_id AS y, a.ord AS ox, b.ord AS oy FROM v a JOIN v b USING (graph_id, term) WHERE (a.ord, a.node_id) < (b.ord, b.node_id)),
 s AS (SELECT graph_id, x, y, ox, oy, round(sum(a.u * b.u), 6) AS cosine FROM k JOIN v a USING (graph_id) JOIN v b USING (graph_id, term)
       WHERE a.node_id = x AND b.node_id = y GROUP BY ALL),
 e AS (SELECT graph_id, node_id, list_distinct(list_transform(entities, lambda q: lower(q))) AS names FROM t WHERE len(entities) > 0),
@@ -159,12 +161,14 @@ def prune_orphans(spark: SparkSession, sf: str) -> DataFrame:
     return G.pruned_nodes(nodes, one, two, 0.6, 0.7)
 
 
-ROUNDS = 5
+ROUNDS = 10
 
 
 def labels_sql() -> str:
     steps = [
-        "b AS (SELECT graph_id, node_a AS x, node_b AS y FROM u WHERE node_a <> node_b UNION ALL SELECT graph_id, node_b, node_a FROM u WHERE node_a <> node_b)",
+        "uc AS (SELECT u.graph_id, node_a, node_b FROM u SEMI JOIN t ON t.graph_id = u.graph_id AND t.node_id = node_a)",
+        "ub AS (SELECT uc.* FROM uc SEMI JOIN t ON t.graph_id = uc.graph_id AND t.node_id = node_b WHERE node_a <> node_b)",
+        "b AS (SELECT graph_id, node_a AS x, node_b AS y FROM ub UNION ALL SELECT graph_id, node_b, node_a FROM ub)",
         "l0 AS (SELECT DISTINCT graph_id, x AS node_id, x AS label FROM b)",
     ]
     for i in range(ROUNDS):
@@ -172,12 +176,34 @@ def labels_sql() -> str:
             f"""l{i + 1} AS (SELECT graph_id, node_id, label FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, node_id ORDER BY k DESC, label) AS r FROM (
  SELECT b.graph_id, b.x AS node_id, label, count(*) AS k FROM b JOIN l{i} ON l{i}.graph_id = b.graph_id AND l{i}.node_id = b.y GROUP BY ALL)) WHERE r = 1)"""
         )
-    return f"WITH {NODES}, {UNDIRECTED}, " + ", ".join(steps)
+    return f"WITH {NODES}, {CONTENT}, {UNDIRECTED}, " + ", ".join(steps)
 
 
-@query(labels_sql() + f" SELECT graph_id, node_id, label FROM l{ROUNDS}")
+@query(labels_sql() + f" SELECT graph_id, node_id, l.label, l.label = k.label AS settled FROM l{ROUNDS} l JOIN l{ROUNDS - 1} k USING (graph_id, node_id)")
 def label_propagation(spark: SparkSession, sf: str) -> DataFrame:
-    return G.label_rounds(undirected(spark, sf, "graph_id", "node_a", "node_b"), ROUNDS)
+    nodes = G.content_only(graph_nodes(spark, sf, "graph_id", "node_id", "node_type"))
+    return G.label_rounds(undirected(spark, sf, "graph_id", "node_a", "node_b"), ROUNDS, nodes)
+
+
+COMMUNITY_SQL = f"""{labels_sql()}, z AS (SELECT graph_id, label, count(*) AS n_members FROM l{ROUNDS} GROUP BY 1, 2 HAVING count(*) >= 3),
+k AS (SELECT l.graph_id, l.label, n.node_id, n.ord, n.content, n.entities FROM l{ROUNDS} l JOIN z USING (graph_id, label) JOIN n ON n.graph_id = l.graph_id AND n.node_id = l.node_id)"""
+
+
+@query(
+    f"""{COMMUNITY_SQL}, e AS (SELECT graph_id, label, list(entity ORDER BY c DESC, entity)[1:10] AS entities FROM (SELECT graph_id, label, entity, count(*) AS c FROM (SELECT graph_id, label, unnest(entities) AS entity FROM k) GROUP BY ALL) GROUP BY 1, 2),
+s AS (SELECT graph_id, label, left(array_to_string(list(content ORDER BY length(content), ord, node_id)[1:3], ' | '), 300) AS said FROM k WHERE content IS NOT NULL GROUP BY 1, 2)
+SELECT graph_id, label, n_members, '[Cluster: ' || coalesce(array_to_string(entities[1:5], ', '), '') || '] ' || coalesce(said, '') AS content FROM z LEFT JOIN e USING (graph_id, label) LEFT JOIN s USING (graph_id, label)"""
+)
+def community_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "ord", "content", "entities")
+    return G.community_nodes(label_propagation(spark, sf), nodes)[0].select("graph_id", "label", "n_members", "content")
+
+
+@query(f"{labels_sql()} SELECT graph_id, label, node_id AS to_node, 0.7::DOUBLE AS weight FROM l{ROUNDS} JOIN (SELECT graph_id, label FROM l{ROUNDS} GROUP BY 1, 2 HAVING count(*) >= 3) USING (graph_id, label)")
+def community_edges(spark: SparkSession, sf: str) -> DataFrame:
+    made, edges = G.community_nodes(label_propagation(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "ord", "content", "entities"))
+    labels = made.select("graph_id", F.col("node_id").alias("from_node"), "label")
+    return edges.join(labels, ["graph_id", "from_node"]).select("graph_id", "label", "to_node", "weight")
 
 
 @query(

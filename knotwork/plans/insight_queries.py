@@ -25,9 +25,8 @@ LOWER_SQL = "list_distinct(list_transform({0}, lambda q: lower(q)))"
 @query(
     f"""WITH {NODES}, {CONTENT}, k AS (SELECT * FROM t WHERE node_type <> 'person' AND length(content) >= 50),
 e AS (SELECT DISTINCT graph_id, node_id, ord, unnest(entities) AS name FROM k),
-f AS (SELECT *, count(*) OVER (PARTITION BY graph_id, name) AS m FROM e WHERE length(name) >= 4 AND NOT regexp_full_match(name, '[0-9]+') AND lower(name) NOT IN ({', '.join(f"'{w}'" for w in S.GENERIC)})),
-l AS (SELECT DISTINCT graph_id, a, b FROM (SELECT graph_id, node_id AS a, unnest([lead(node_id, 1) OVER w, lead(node_id, 2) OVER w, lead(node_id, 3) OVER w, lead(node_id, 4) OVER w]) AS b FROM f
-  WHERE m BETWEEN 2 AND 30 WINDOW w AS (PARTITION BY graph_id, name ORDER BY ord, node_id)) WHERE b IS NOT NULL),
+f AS (SELECT * FROM e WHERE length(name) >= 4 AND NOT regexp_full_match(name, '[0-9]+') AND lower(name) NOT IN ({', '.join(f"'{w}'" for w in S.GENERIC)})),
+l AS (SELECT DISTINCT graph_id, CASE WHEN (x.ord, x.node_id) < (y.ord, y.node_id) THEN x.node_id ELSE y.node_id END AS a, CASE WHEN (x.ord, x.node_id) < (y.ord, y.node_id) THEN y.node_id ELSE x.node_id END AS b FROM f x JOIN f y USING (graph_id, name) WHERE x.node_id < y.node_id),
 p AS (SELECT l.graph_id, a, b, len(list_intersect(list_filter({LOWER_SQL.format('x.entities')}, lambda q: length(q) >= 4), {LOWER_SQL.format('y.entities')})) AS n_shared,
   len(list_intersect({LOWER_SQL.format('x.entities')}, {LOWER_SQL.format('y.entities')})) / len(list_distinct(list_concat({LOWER_SQL.format('x.entities')}, {LOWER_SQL.format('y.entities')}))) AS o
  FROM l JOIN k x ON x.graph_id = l.graph_id AND x.node_id = a JOIN k y ON y.graph_id = l.graph_id AND y.node_id = b
@@ -43,8 +42,7 @@ def contradiction_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {NODES}, {CONTENT}, {UNDIRECTED}, r AS (SELECT * FROM (SELECT graph_id, node_id, entities, split_part(source.file, ':', 1) AS dom,
-  row_number() OVER (PARTITION BY graph_id, split_part(source.file, ':', 1) ORDER BY ord, node_id) AS k FROM t) WHERE k <= 100),
+    f"""WITH {NODES}, {CONTENT}, {UNDIRECTED}, r AS (SELECT graph_id, node_id, entities, split_part(source.file, ':', 1) AS dom FROM t),
 e AS (SELECT graph_id, node_id, dom, unnest({LOWER_SQL.format('entities')}) AS name FROM r),
 p AS (SELECT graph_id, a.node_id AS node_a, b.node_id AS node_b, count(*) AS n_bridges FROM e a JOIN e b USING (graph_id, name) WHERE a.node_id < b.node_id AND a.dom <> b.dom GROUP BY 1, 2, 3 HAVING count(*) >= 2),
 q AS (SELECT *, least(round(n_bridges * 0.2, 6), 0.9)::DOUBLE AS surprise FROM p ANTI JOIN (SELECT graph_id, least(node_a, node_b) AS node_a, greatest(node_a, node_b) AS node_b FROM u) USING (graph_id, node_a, node_b))
@@ -184,14 +182,14 @@ def question_parts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SEEDS_SQL = f"""{NODES}, {DIRECTED}, {UNDIRECTED}, s0 AS (SELECT graph_id AS q, node_id, 1.0 / r AS score FROM (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY access_count DESC, node_id) AS r FROM n) WHERE r <= 5),
-ways AS (SELECT x, y, max(w) AS w FROM (SELECT from_node AS x, to_node AS y, weight AS w FROM d UNION ALL SELECT to_node, from_node, weight * 0.5 FROM d UNION ALL SELECT node_a, node_b, weight FROM u UNION ALL SELECT node_b, node_a, weight FROM u)
- WHERE x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL GROUP BY 1, 2)"""
+ways AS (SELECT g, x, y, max(w) AS w FROM (SELECT graph_id AS g, from_node AS x, to_node AS y, weight AS w FROM d UNION ALL SELECT graph_id, to_node, from_node, weight * 0.5 FROM d UNION ALL SELECT graph_id, node_a, node_b, weight FROM u
+  UNION ALL SELECT graph_id, node_b, node_a, weight FROM u) WHERE x IS NOT NULL AND w IS NOT NULL AND (g, y) IN (SELECT (graph_id, node_id) FROM n) GROUP BY 1, 2, 3)"""
 
 
 def hops_sql() -> str:
     out, f = SEEDS_SQL, "s0"
     for i in range(1, 4):
-        out += f""", t{i} AS (SELECT q, y AS node_id, max(score * 0.6 * w) AS score FROM {f} JOIN ways ON x = node_id GROUP BY 1, 2),
+        out += f""", t{i} AS (SELECT q, y AS node_id, max(score * 0.6 * w) AS score FROM {f} JOIN ways ON x = node_id AND g = q GROUP BY 1, 2),
 f{i} AS (SELECT t.q, t.node_id, t.score FROM t{i} t LEFT JOIN s{i - 1} o ON o.q = t.q AND o.node_id = t.node_id WHERE t.score > coalesce(o.score, 0)),
 s{i} AS (SELECT q, node_id, max(score) AS score FROM (SELECT * FROM s{i - 1} UNION ALL SELECT * FROM f{i}) GROUP BY 1, 2)"""
         f = f"f{i}"
@@ -203,16 +201,17 @@ def popular_seeds(spark: SparkSession, sf: str) -> DataFrame:
 
     nodes = graph_nodes(spark, sf, "graph_id", "node_id", "access_count")
     rank = F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("access_count"), "node_id"))
-    return nodes.withColumn("r", rank).where("r <= 5").select(F.col("graph_id").alias("q"), "node_id", (1.0 / F.col("r")).alias("score"))
+    return nodes.withColumn("r", rank).where("r <= 5").select(F.col("graph_id").alias("q"), "graph_id", "node_id", (1.0 / F.col("r")).alias("score"))
 
 
 def all_ways(spark: SparkSession, sf: str, blocked: tuple[str, ...] = ()) -> DataFrame:
-    return R.neighbours(directed(spark, sf, "from_node", "to_node", "edge_type", "weight"), undirected(spark, sf, "node_a", "node_b", "edge_type", "weight"), blocked=blocked)
+    one, two = directed(spark, sf, "graph_id", "from_node", "to_node", "edge_type", "weight"), undirected(spark, sf, "graph_id", "node_a", "node_b", "edge_type", "weight")
+    return R.neighbours(one, two, graph_nodes(spark, sf, "graph_id", "node_id"), blocked=blocked)
 
 
 @query(hops_sql() + f" SELECT q, node_id, {SIX.format('score')} AS score FROM s3")
 def bfs_traverse(spark: SparkSession, sf: str) -> DataFrame:
-    return R.traverse(popular_seeds(spark, sf), all_ways(spark, sf), "q").withColumn("score", X.six(F.col("score")))
+    return R.traverse(popular_seeds(spark, sf), all_ways(spark, sf), "q").select("q", "node_id", X.six(F.col("score")).alias("score"))
 
 
 FACTOR_SQL = f"""CASE WHEN days < 1 THEN 1.3::DOUBLE WHEN days < 7 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN access_count > 10 THEN 1.2::DOUBLE WHEN access_count > 3 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END
@@ -229,7 +228,7 @@ def temporal_boost(spark: SparkSession, sf: str) -> DataFrame:
 
 
 TOP_SQL = f"""{hops_sql()}, {BOOST_SQL}, top AS (SELECT q, node_id, score, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, node_id) AS place
- FROM (SELECT q, node_id, {SIX.format('score * f')} AS score FROM s3 JOIN b USING (node_id))) WHERE place <= 20)"""
+ FROM (SELECT q, s3.node_id, {SIX.format('score * f')} AS score FROM s3 JOIN b ON b.node_id = s3.node_id AND b.graph_id = q)) WHERE place <= 20)"""
 
 
 def best_nodes(spark: SparkSession, sf: str) -> DataFrame:
@@ -239,17 +238,17 @@ def best_nodes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"{TOP_SQL} SELECT q, node_id, score, place FROM top")
 def retrieve_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return best_nodes(spark, sf)
+    return best_nodes(spark, sf).drop("graph_id")
 
 
 @query(
-    f"""{TOP_SQL} SELECT a.q, edge_id, 'directed' AS kind, from_node AS end_1, to_node AS end_2 FROM d JOIN top a ON a.node_id = from_node JOIN top b ON b.node_id = to_node AND b.q = a.q
- UNION ALL SELECT a.q, edge_id, 'undirected', node_a, node_b FROM u JOIN top a ON a.node_id = node_a JOIN top b ON b.node_id = node_b AND b.q = a.q"""
+    f"""{TOP_SQL} SELECT a.q, edge_id, 'directed' AS kind, from_node AS end_1, to_node AS end_2 FROM d JOIN top a ON a.node_id = from_node AND a.q = graph_id JOIN top b ON b.node_id = to_node AND b.q = a.q
+ UNION ALL SELECT a.q, edge_id, 'undirected', node_a, node_b FROM u JOIN top a ON a.node_id = node_a AND a.q = graph_id JOIN top b ON b.node_id = node_b AND b.q = a.q"""
 )
 def subgraph_edges(spark: SparkSession, sf: str) -> DataFrame:
     chosen = best_nodes(spark, sf)
-    one = R.edges_between(chosen, directed(spark, sf, "from_node", "to_node"), "q", ("from_node", "to_node"))
-    two = R.edges_between(chosen, undirected(spark, sf, "node_a", "node_b"), "q", ("node_a", "node_b"))
+    one = R.edges_between(chosen, directed(spark, sf, "graph_id", "from_node", "to_node"), "q", ("from_node", "to_node"))
+    two = R.edges_between(chosen, undirected(spark, sf, "graph_id", "node_a", "node_b"), "q", ("node_a", "node_b"))
     return one.select("q", "edge_id", F.lit("directed").alias("kind"), F.col("from_node").alias("end_1"), F.col("to_node").alias("end_2")).unionByName(
         two.select("q", "edge_id", F.lit("undirected").alias("kind"), F.col("node_a").alias("end_1"), F.col("node_b").alias("end_2"))
     )
@@ -259,32 +258,32 @@ def subgraph_edges(spark: SparkSession, sf: str) -> DataFrame:
 def subgraph_text(spark: SparkSession, sf: str) -> DataFrame:
     chosen = materialise(best_nodes(spark, sf), "best")
     nodes = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "content", "source", "metadata")
-    one = R.edges_between(chosen, directed(spark, sf, "from_node", "to_node", "edge_type", "weight"), "q", ("from_node", "to_node"))
-    two = R.edges_between(chosen, undirected(spark, sf, "node_a", "node_b", "edge_type", "weight"), "q", ("node_a", "node_b"))
+    one = R.edges_between(chosen, directed(spark, sf, "graph_id", "from_node", "to_node", "edge_type", "weight"), "q", ("from_node", "to_node"))
+    two = R.edges_between(chosen, undirected(spark, sf, "graph_id", "node_a", "node_b", "edge_type", "weight"), "q", ("node_a", "node_b"))
     return N.subgraph_texts(chosen, nodes, materialise(one, "one"), materialise(two, "two"), "q")
 
 
-@query(f"{TOP_SQL} SELECT q, node_id, score, metadata['synthesis'] AS synthesis, metadata['context'] AS context FROM top JOIN n USING (node_id) WHERE score >= 0.1 AND metadata['synthesis'] IS NOT NULL")
+@query(f"{TOP_SQL} SELECT q, n.node_id, score, metadata['synthesis'] AS synthesis, metadata['context'] AS context FROM top JOIN n ON n.node_id = top.node_id AND graph_id = q WHERE score >= 0.1 AND metadata['synthesis'] IS NOT NULL")
 def enriched_insights(spark: SparkSession, sf: str) -> DataFrame:
     return H.insights(best_nodes(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "metadata"))
 
 
 @query(
-    f"""{TOP_SQL}, sib AS (SELECT t.q, x.node_id, {SIX.format('max(t.score) * 0.9')} AS score FROM top t JOIN n a ON a.node_id = t.node_id JOIN n x ON x.graph_id = a.graph_id AND x.source.file = a.source.file
+    f"""{TOP_SQL}, sib AS (SELECT t.q, x.node_id, {SIX.format('max(t.score) * 0.9')} AS score FROM top t JOIN n a ON a.node_id = t.node_id AND a.graph_id = t.q JOIN n x ON x.graph_id = a.graph_id AND x.source.file = a.source.file
   AND regexp_full_match(a.source.section, '(?i)assistant \\(turn [0-9]+\\)') AND regexp_full_match(x.source.section, '(?i)user \\(turn [0-9]+\\)') AND regexp_extract(a.source.section, '([0-9]+)\\)$', 1) = regexp_extract(x.source.section, '([0-9]+)\\)$', 1)
   GROUP BY 1, 2)
 SELECT q, node_id, score FROM top UNION ALL SELECT q, node_id, score FROM sib ANTI JOIN top USING (q, node_id)"""
 )
 def sibling_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return R.sibling_turns(best_nodes(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "source"), "q")
+    return R.sibling_turns(best_nodes(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "source"), "q").drop("graph_id")
 
 
 @query(
-    f"""{TOP_SQL}, su AS (SELECT DISTINCT t.q, d.to_node AS node_id FROM top t JOIN n USING (node_id) JOIN d ON d.from_node = t.node_id WHERE node_type = 'session-summary' AND edge_type = 'summarizes')
+    f"""{TOP_SQL}, su AS (SELECT DISTINCT t.q, d.to_node AS node_id FROM top t JOIN n ON n.node_id = t.node_id AND n.graph_id = t.q JOIN d ON d.from_node = t.node_id AND d.graph_id = t.q WHERE node_type = 'session-summary' AND edge_type = 'summarizes')
 SELECT t.q, t.node_id, {SIX.format('CASE WHEN su.q IS NULL THEN score ELSE score * 0.5 END')} AS score FROM top t LEFT JOIN su ON su.q = t.q AND su.node_id = t.node_id"""
 )
 def summary_children(spark: SparkSession, sf: str) -> DataFrame:
-    weak = R.weakened_by_summary(best_nodes(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "node_type"), directed(spark, sf, "from_node", "to_node", "edge_type"), "q")
+    weak = R.weakened_by_summary(best_nodes(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "node_type"), directed(spark, sf, "graph_id", "from_node", "to_node", "edge_type"), "q")
     return weak.select("q", "node_id", X.six(F.col("score")).alias("score"))
 
 

@@ -220,20 +220,20 @@ def forget_topic(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {NODES}, {DIRECTED}, s AS (SELECT graph_id, from_node, to_node FROM d WHERE edge_type = 'contains' AND to_node IS NOT NULL),
-r AS (SELECT graph_id, node_id AS root, source.file AS file FROM n WHERE metadata['deleted_at'] IS NOT NULL AND node_type = 'definition')
+r AS (SELECT graph_id, node_id AS root, source.file AS file FROM n WHERE metadata['deleted_at'] IS NOT NULL)
 SELECT c.graph_id, c.root, c.node_id FROM (WITH RECURSIVE c AS (SELECT r.graph_id, root, n.node_id FROM r JOIN n ON n.graph_id = r.graph_id AND n.source.file = r.file UNION SELECT graph_id, root, root FROM r
   UNION SELECT c.graph_id, c.root, s.to_node FROM c JOIN s ON s.graph_id = c.graph_id AND s.from_node = c.node_id) SELECT * FROM c) c SEMI JOIN n ON n.graph_id = c.graph_id AND n.node_id = c.node_id WHERE c.root <> c.node_id"""
 )
 def cascade_closure(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "source", "metadata")
-    roots = nodes.where((F.col("metadata")["deleted_at"].isNotNull()) & (F.col("node_type") == "definition"))
-    return C.cascade(nodes, directed(spark, sf, *PLAIN_EDGE), roots)
+    """What the removal of every deleted node takes with it."""
+    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "source", "metadata")
+    return C.cascade(nodes, directed(spark, sf, *PLAIN_EDGE), nodes.where(F.col("metadata")["deleted_at"].isNotNull()))
 
 
-@query(SQL["cascade_closure"].replace(" AND node_type = 'definition'", ""))
+@query(f"SELECT graph_id, root, count(*) AS n_taken FROM ({SQL['cascade_closure']}) GROUP BY ALL")
 def cascade_closure_all(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "source", "metadata")
-    return C.cascade(nodes, directed(spark, sf, *PLAIN_EDGE), nodes.where(F.col("metadata")["deleted_at"].isNotNull()))
+    """How many nodes the removal of every deleted node takes with it."""
+    return cascade_closure(spark, sf).groupBy("graph_id", "root").agg(F.count(F.lit(1)).alias("n_taken"))
 
 
 @query("SELECT user_id, max(ts) AS last_accessed_at, count(*) AS access_count FROM events WHERE user_id IS NOT NULL GROUP BY 1")

@@ -21,24 +21,32 @@ def file_stream(spark: SparkSession, path: str, schema: StructType, files_per_ba
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def append_unseen(stream: DataFrame, store: str, text: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
+def append_unseen(
+    stream: DataFrame, store: str, text: str, checkpoint: str, then: Callable[[DataFrame, int], None] | None = None, scope: tuple[str, ...] = (), parts: int = 64
+) -> StreamingQuery:
     """Appends the rows whose text the store does not hold yet, batch by batch until the present input is used up.
 
-    A batch is compared with the store by anti-join on the content's hash; a
-    batch that is run again after a failure finds its rows in the store and adds
-    nothing. `then` gets what was added, to build edges for it.
+    The store keeps the hash of every text in `text_hash` and lies in `parts`
+    folders by it (`hash_part`), so that a batch is compared by anti-join with
+    the stored hashes of the parts that it falls into, and no text is hashed
+    again. A batch that is run again after a failure finds its rows in the store
+    and adds nothing. Texts are compared within the columns of scope. `then`
+    gets what was added, to build edges for it.
     """
+    part = F.pmod(F.xxhash64("text_hash"), F.lit(parts)).cast("int")
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
+        batch = materialise(batch.withColumn("text_hash", content_hash(F.col(text))).withColumn("hash_part", part), "batch")
         try:
             known = spark.read.parquet(store)
         except AnalysisException:  # nothing is stored yet
             known = batch.limit(0)
-        fresh = materialise(unseen(batch, known, text), "fresh")
-        fresh.write.mode("append").parquet(store)
+        met = [r[0] for r in batch.select("hash_part").distinct().collect()]
+        fresh = materialise(unseen(batch, known.where(F.col("hash_part").isin(met)), text, scope, "text_hash"), "fresh")
+        fresh.write.mode("append").partitionBy("hash_part").parquet(store)
         if then:
-            then(fresh, number)
+            then(fresh.drop("text_hash", "hash_part"), number)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -48,10 +56,24 @@ def distinct_texts(stream: DataFrame, text: str, at: str, late: str) -> DataFram
     return stream.withColumn("_hash", content_hash(F.col(text))).withWatermark(at, late).dropDuplicatesWithinWatermark(["_hash"]).drop("_hash")
 
 
-def running_access_stats(stream: DataFrame, node: str, at: str, name: str, checkpoint: str) -> StreamingQuery:
-    """Last access and number of accesses of every node so far, as an in-memory table."""
-    stats = access_stats(stream, node, at)
-    return stats.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def running_access_stats(stream: DataFrame, node: str, at: str, store: str, checkpoint: str) -> StreamingQuery:
+    """Appends to a table, batch by batch, the last access and number of accesses so far of every node that the batch touched.
+
+    The newest state of a node is its row with the highest batch_no (see
+    current_access_stats); nothing is held on the driver, and a batch that is run
+    again writes the same rows under the same number.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch_no", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{store}/batch={number}")
+
+    return access_stats(stream, node, at).writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current_access_stats(spark: SparkSession, store: str, node: str) -> DataFrame:
+    """(node, last_accessed_at, access_count): the newest state of every node that running_access_stats wrote."""
+    rows = spark.read.parquet(f"{store}/batch=*")
+    return rows.groupBy(node).agg(F.max_by(F.struct("last_accessed_at", "access_count"), "batch_no").alias("s")).select(node, "s.*")
 
 
 def windowed_accesses(stream: DataFrame, at: str, kind: str, width: str, late: str, slide: str | None = None) -> DataFrame:

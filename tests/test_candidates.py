@@ -1,10 +1,14 @@
 """Alike pairs are found whatever the number of texts that share their terms or names."""
 
+import math
 import random
+from collections import Counter
+
+from pyspark.sql import functions as F
 
 from knotwork.operators import graph as G
-from knotwork.operators.reflect import sharing_pairs
-from knotwork.operators.spread import met_in_blocks
+from knotwork.operators.reflect import contradictions, discoveries, inferred_edges, sharing_pairs
+from knotwork.operators.spread import join_sliced, met_in_blocks
 
 NODE = "graph_id string, node_id string, node_type string, ord long, content string, entities array<string>"
 
@@ -17,8 +21,27 @@ def nodes_of(spark, n=60):
 
 def test_common_terms_lose_no_pair(spark):
     nodes = nodes_of(spark)
-    got = [{tuple(r) for r in G.similarity_edges(nodes, most_common=m, per_node=100, similar=0.5).collect()} for m in (2, 25, 10_000)]
-    assert got[0] == got[1] == got[2] and {r[3] for r in got[0]} == {"similar-to", "shares-entity"}
+    rows = nodes.collect()
+    n = len(rows)
+    terms = {r.node_id: Counter(r.content.split()) for r in rows}
+    df = Counter(t for c in terms.values() for t in c)
+    weigh = {k: {t: f * (math.log((n + 1) / (df[t] + 1)) + 1) for t, f in c.items()} for k, c in terms.items()}
+    length = {k: math.sqrt(sum(w * w for w in v.values())) for k, v in weigh.items()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a.ord < b.ord:
+                x, y = weigh[a.node_id], weigh[b.node_id]
+                cosine = round(sum(w * y.get(t, 0) for t, w in x.items()) / length[a.node_id] / length[b.node_id], 6)
+                both = {*a.entities} | {*b.entities}
+                share = round(len({*a.entities} & {*b.entities}) / len(both), 6) if both else 0
+                if cosine >= 0.5:
+                    want[a.node_id, b.node_id] = ("similar-to", cosine)
+                elif share >= 0.2 and cosine > 0:
+                    want[a.node_id, b.node_id] = ("shares-entity", share)
+    for early in (0.05, 0.2, 0.4):
+        got = {(r.node_a, r.node_b): (r.edge_type, r.weight) for r in G.similarity_edges(nodes, per_node=100, similar=0.5, early=early).collect()}
+        assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
 
 
 def test_common_names_lose_no_pair(spark):
@@ -33,3 +56,30 @@ def test_common_names_lose_no_pair(spark):
 def test_blocks_meet_once(spark):
     met = met_in_blocks(spark.createDataFrame([("k", i) for i in range(40)], "k string, item long"), ["k"], 7).collect()
     assert len(met) == len({(r.x, r.y) for r in met}) == 40 * 39 // 2
+
+
+def test_contradictions_over_frequent_names(spark):
+    long = "The archive at Norbriev keeps many old maps of the northern coast and its harbours, open every day"
+    other = "Restoration work was never finished although disputed budgets reached parliament several times during winter sessions"
+    names = ["Norbriev", "Archive Hall", "Ada"]
+    rows = [("g", "a", "fact", 1, long, names), ("g", "b", "claim", 2, other, names), ("g", "c", "fact", 3, long, names), ("h", "d", "claim", 4, other, names), ("g", "e", "fact", 5, other, ["Norbriev"]), ("g", "f", "fact", 6, None, names)]
+    rows += [("g", f"x{i}", "fact", 10 + i, "short text about nothing much that goes on for fifty characters", ["Norbriev", f"n{i}"]) for i in range(40)]
+    got = {tuple(r)[1:] for r in contradictions(spark.createDataFrame(rows, NODE)).collect()}
+    assert got == {("a", "b", 2), ("b", "c", 2)}
+
+
+def test_discoveries_use_all_nodes(spark):
+    node = "graph_id string, node_id string, node_type string, ord long, entities array<string>, source struct<file: string>"
+    rows = [("g", f"n{i:03}", "fact", i, ["Common"], ("wiki:a",)) for i in range(150)] + [("g", "y", "fact", 900, ["Common", "Ada", "Bob"], ("wiki:a",)), ("g", "z", "fact", 901, ["common", "ADA", "Bob"], ("notes:b",)), ("g", "w", "fact", 902, ["Ada", "Bob"], ("wiki:c",)), ("h", "v", "fact", 1, ["Ada", "Bob"], ("x:c",))]
+    nodes = spark.createDataFrame(rows, node)
+    none = spark.createDataFrame([("g", "z", "w")], "graph_id string, node_a string, node_b string")
+    assert {tuple(r) for r in discoveries(nodes, none).collect()} == {("g", "y", "z", 3, 0.6)}
+    assert discoveries(nodes, none, per_domain=100).count() == 0
+
+
+def test_hot_middles_meet_in_slices(spark):
+    rows = [("g", f"a{i}", "m", "causes", 0.9) for i in range(30)] + [("g", "m", f"b{i}", "causes", 0.8) for i in range(30)] + [("g", "q", "r", "causes", 0.9), ("g", "r", "s", "causes", 0.3)]
+    edges = spark.createDataFrame(rows, "graph_id string, from_node string, to_node string, edge_type string, weight double")
+    assert inferred_edges(edges, most=2000).count() == 900
+    left, right = edges.select("from_node", F.col("to_node").alias("k")), edges.select(F.col("from_node").alias("k"), "to_node")
+    assert sorted(map(tuple, join_sliced(left, right, ["k"], 4, floor=10).collect())) == sorted(map(tuple, left.join(right, "k").collect()))

@@ -11,7 +11,7 @@ from knotwork.operators import evaluate as V
 from knotwork.operators import graph as G
 from knotwork.operators import providers as M
 from knotwork.operators import reflect as S
-from knotwork.operators import reports as H
+from knotwork.operators import render as N
 from knotwork.operators import retrieve as R
 from knotwork.operators.components import connected_components
 
@@ -76,8 +76,10 @@ def test_labels_agree_for_any_number_of_partitions(spark):
 def test_traversal_takes_the_best_way(spark):
     one = directed(spark, [("a", "b", "cites", 0.5), ("b", "c", "cites", 1.0), ("c", "d", "cites", 1.0), ("d", "e", "cites", 1.0), ("z", "a", "cites", 1.0), ("a", "b", "blocked", 1.0), ("q", "a", "cites", None)])
     two = undirected(spark, [("a", "c", "similar-to", 0.9), ("a", None, "similar-to", 1.0)])
-    seeds = spark.createDataFrame([("q", "a", 1.0), ("q", "a", 0.5), ("q", "gone", 0.2)], "k string, node_id string, score double")
-    got = {r.node_id: round(r.score, 9) for r in R.traverse(seeds, R.neighbours(one, two, blocked=("blocked",)), "k").collect()}
+    one = one.unionByName(one.where("from_node = 'd'").withColumn("graph_id", F.lit("h")).withColumn("to_node", F.lit("y")))
+    nodes = spark.createDataFrame([("g", x) for x in "abcdezq"] + [("h", "y")], "graph_id string, node_id string")
+    seeds = spark.createDataFrame([("q", "g", "a", 1.0), ("q", "g", "a", 0.5), ("q", "g", "gone", 0.2)], "k string, graph_id string, node_id string, score double")
+    got = {r.node_id: round(r.score, 9) for r in R.traverse(seeds, R.neighbours(one, two, nodes, blocked=("blocked",)), "k").collect()}
     assert got == {"a": 1.0, "b": 0.3, "z": 0.3, "c": 0.54, "d": 0.324, "e": 0.1944, "gone": 0.2}
 
 
@@ -130,10 +132,6 @@ def test_router_and_parts(spark):
     assert parts[:4] == ['How did Alan Turing influence "modern logic" at MIT and elsewhere today?', "How", "Alan Turing", "modern logic"] and len(parts) == 6
 
 
-def test_expansion_escapes_terms():
-    assert R.expand_query("What about c++ (x)?", {"c++": ["rust\\1"]}) == ["What about c++ (x)?", "What about rust\\1 (x)?"]
-
-
 def test_diversified_rounds(spark):
     seeds = spark.createDataFrame([("q", i, s, sc) for i, (s, sc) in enumerate([("a", 0.9), ("a", 0.8), ("a", 0.7), ("b", 0.6), ("c", 0.5)])], "k string, n int, s string, score double")
     got = [r.n for r in R.diversified(seeds, "k", "n", "s", 4).orderBy("pick_no").collect()]
@@ -176,8 +174,44 @@ def test_models_and_cache(spark):
     assert len(M.embedded(df, "k", "p").first().embedding) == 64
 
 
-def test_subgraph_text():
-    nodes = [{"node_id": "a", "node_type": "fact", "content": "A", "score": 0.5, "section": "S"}, {"node_id": "b", "node_type": "session-summary", "content": "B", "score": 0.9, "claims": "x || y", "session_id": "s1"}, {"node_id": "c", "node_type": "section", "content": "C", "score": 0.1}]
-    text = H.subgraph_text(nodes, [{"from_node": "a", "to_node": "b", "edge_type": "cites", "weight": 0.25}, {"from_node": "a", "to_node": "zz", "edge_type": "cites", "weight": 1.0}], [])
-    assert "(3 nodes, 2 edges)" in text and "[n1|summary|0.90|session:s1] B" in text and "claims: x | y" in text and "[n2|fact|0.50|src:S] A" in text and "n2 -[cites:0.3]-> n1" in text and "] C" not in text
-    assert H.fixed(0.145, 2) == "0.14" and H.fixed(0.125, 2) == "0.13"
+def test_subgraph_text(spark):
+    best = spark.createDataFrame([("q", "g", "b", 0.9, 1), ("q", "g", "a", 0.5, 2), ("q", "g", "c", 0.1, 3)], "q string, graph_id string, node_id string, score double, place int")
+    nodes = spark.createDataFrame(
+        [("g", "a", "fact", "A", ("S",), {}), ("g", "b", "session-summary", "B", (None,), {"claims": "x || y", "session_id": "s1"}), ("g", "c", "section", "C", (None,), None), ("h", "a", "fact", "elsewhere", ("S",), {})],
+        "graph_id string, node_id string, node_type string, content string, source struct<section: string>, metadata map<string, string>",
+    )
+    one = R.edges_between(best, directed(spark, [("a", "b", "cites", 0.25), ("a", "zz", "cites", 1.0)]), "q", ("from_node", "to_node"))
+    text = N.subgraph_texts(best, nodes, one, R.edges_between(best, undirected(spark, []), "q", ("node_a", "node_b")), "q").first().text
+    assert "(3 nodes, 1 edges)" in text and "[n1|summary|0.90|session:s1] B" in text and "claims: x | y" in text and "[n2|fact|0.50|src:S] A" in text and "n2 -[cites:0.3]-> n1" in text
+    assert "] C" not in text and "elsewhere" not in text
+
+
+def test_nested_sections(spark):
+    rows = [("d", "document", 0, "D", None, {}), ("s1", "section", 1, "A", "A", {"depth": "1"}), ("s2", "section", 2, "B", "B", {"depth": "3"}), ("s3", "section", 3, "C", "C", {"depth": "2"}), ("s4", "section", 4, "E", "E", None), ("n", "fact", 5, "x", "B", {})]
+    nodes = spark.createDataFrame([("g", n, t, o, c, ("f", s), m) for n, t, o, c, s, m in rows], "graph_id string, node_id string, node_type string, ord long, content string, source struct<file: string, section: string>, metadata map<string, string>")
+    assert {(r.from_node, r.to_node) for r in G.contains_edges(nodes).collect()} == {("d", "s1"), ("s1", "s2"), ("s1", "s3"), ("d", "s4"), ("s2", "n")}
+
+
+def test_labels_settle_and_make_community_nodes(spark):
+    pairs = [(a, b, "similar-to", 0.5) for x in ("abcd", "wxyz") for a in x for b in x if a < b] + [("a", "zz", "similar-to", 0.5)]
+    nodes = spark.createDataFrame([("g", n, i, f"text {n}" + "!" * i, ["Ada", n.upper()]) for i, n in enumerate("abcdwxyz")], "graph_id string, node_id string, ord long, content string, entities array<string>")
+    labels = G.label_rounds(undirected(spark, pairs), 10, nodes)
+    got = {r.node_id: (r.label, r.settled) for r in labels.collect()}
+    assert len(got) == 8 and all(s for _, s in got.values()) and len({got[n][0] for n in "abcd"}) == 1 and got["w"][0] != got["a"][0]
+    made, edges = G.community_nodes(labels, nodes)
+    first = {r.label: r for r in made.collect()}[got["a"][0]]
+    assert first.content == "[Cluster: Ada, A, B, C, D] text a | text b! | text c!!" and first.n_members == 4
+    assert edges.count() == 8 and {r.weight for r in edges.collect()} == {0.7}
+
+
+def test_session_summary_nodes(spark):
+    made = spark.createDataFrame([("g", f"m{i}", i, "message", f"Ada said {i}. More", ("chat:1",), {"session_date": "2024-01-01"}) for i in range(3)] + [("g", "f", 9, "fact", "no", ("x",), {})], "graph_id string, node_id string, ord long, node_type string, content string, source struct<file: string>, metadata map<string, string>")
+    nodes, edges = M.session_nodes(made, "2025-01-01 00:00:00", M.FirstSentences)
+    row = nodes.first()
+    assert nodes.count() == 1 and row.node_type == "session-summary" and row.metadata == {"session_id": "chat:1", "session_date": "2024-01-01", "turn_count": "3"} and row.content.startswith("Ada said 0")
+    assert {(r.from_node, r.to_node, r.weight) for r in edges.collect()} == {(row.node_id, f"m{i}", 0.7) for i in range(3)}
+
+
+def test_summary_policy(spark):
+    seeds = spark.createDataFrame([("session-summary", 0.5, True), ("session-summary", 0.5, False), ("session-summary", 0.5, None), ("fact", 0.5, True), (None, 0.5, False)], "node_type string, score double, summaries boolean")
+    assert sorted((r.node_type or "", r.score) for r in R.summary_policy(seeds).collect()) == [("", 0.5), ("fact", 0.5), ("session-summary", 0.5), ("session-summary", 0.65)]

@@ -24,6 +24,10 @@ def test_html(spark):
     assert title == "Main one" and [(d, t) for d, t, _ in sections] == [(1, "Main one"), (2, "Last")]
     assert sections[0][2] == "ab\n\n```\ncode\n```\n\ninner text" and sections[1][2] == "z"
     assert L.page_sections("<p>only</p>", "f") == ("f", [(1, "Content", "only")])
+    page = "<body><p>menu</p><main><h1>A</h1><p>one</p><h2>B</h2><p>two</p></main><p>foot</p></body>"
+    assert L.page_sections(page, "f") == ("A", [(1, "A", "one"), (2, "B", "two")])
+    assert L.page_sections("<main><article><h1>A</h1><p>one</p></article><article><h2>B</h2><p>two</p></article></main>", "f")[1] == [(1, "A", "one"), (2, "B", "two")]
+    assert L.page_sections("<main></main><p>x</p>", "f")[1] == [(1, "Content", "x")]
     df = spark.createDataFrame([("a", html), ("b", None), ("c", "")], "k string, h string")
     assert L.html_sections(df, "k", "h").count() == 2
 
