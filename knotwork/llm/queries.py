@@ -13,7 +13,7 @@ from knotwork.llm.names import link_names, spelling_pairs
 from knotwork.llm.nearcopies import near_copy_groups, near_copy_pairs
 from knotwork.llm.oracles import SQL
 from knotwork.llm.packing import pack_documents
-from knotwork.llm.reading import reading_levels
+from knotwork.llm.reading import fit_reading, reading_levels, word_difficulties
 from knotwork.llm.splitting import split_texts
 from knotwork.session import table
 
@@ -73,10 +73,19 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return leaked_items(table(spark, sf, "documents"), table(spark, sf, "eval_items"), width=12)
 
 
-def english_levels(spark: SparkSession, sf: str) -> DataFrame:
+def english_documents(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    kept = docs.where(F.lower("lang").startswith("en") & (F.col("doc_format").isNull() | (F.col("doc_format") != "table")))
-    return reading_levels(kept, table(spark, sf, "reading_labels"))
+    return docs.where(F.lower("lang").startswith("en") & (F.col("doc_format").isNull() | (F.col("doc_format") != "table")))
+
+
+def english_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return reading_levels(english_documents(spark, sf), table(spark, sf, "reading_labels"))
+
+
+def p8_words(spark: SparkSession, sf: str) -> DataFrame:
+    docs = english_documents(spark, sf)
+    found = word_difficulties(docs, fit_reading(docs, table(spark, sf, "reading_labels")))
+    return found.select("word", "n_sentences", F.round("difficulty", 1).alias("difficulty"), F.round("discrimination", 2).alias("discrimination"))
 
 
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -89,7 +98,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p7_found, p8_found, p8_profile)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p7_found, p8_found, p8_profile, p8_words)}
 
 
 def oracle_sql() -> dict[str, str]:
