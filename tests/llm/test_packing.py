@@ -1,30 +1,47 @@
 """Packing: capacity, whole texts, tightness, balance and odd inputs."""
 
+import random
 from collections import Counter, defaultdict
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from knotwork.llm.packing import TIERS, pack_documents, packing_plan
+from knotwork.llm.packing import TIERS, pack_documents, packing_plan, placed
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30))
-def test_plan_places_every_part_once_and_fits(sizes):
-    plan = packing_plan(sizes, 64, (8, 16, 32, 64))
+@settings(max_examples=150, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 40), max_size=30), st.sampled_from([(8, 16, 32, 64), (64,), (4, 64), (32, 64)]))
+def test_plan_places_every_part_once_and_fits(sizes, tiers):
     fill, placed = Counter(), Counter()
-    for row in plan.itertuples():
-        later = plan[(plan["size"] == row.size) & (plan["rank_from"] > row.rank_from)]["rank_from"]
-        upto = later.min() if len(later) else sizes[row.size]
-        for rank in range(row.rank_from, int(upto)):
-            fill[row.container + (rank - row.rank_from) // row.each] += row.size
-            placed[row.size] += 1
-    assert placed == Counter(sizes) and all(v <= 64 for v in fill.values())
+    for window, pattern, times, at in packing_plan(sizes, 64, tiers):
+        assert window in tiers and sum(s * n for s, n in pattern) <= window
+        for i in range(times):
+            for size, n in pattern:
+                fill[(at + i * window) // 64] += size * n
+                placed[size] += n
+    assert placed == Counter(sizes) and all(v <= 64 for v in fill.values()) and sorted(fill) == list(range(len(fill)))
     least = max(-(-sum(s * n for s, n in sizes.items()) // 64), sum(n for s, n in sizes.items() if s > 32))
     assert len(fill) <= 1.5 * least + 2
 
 
+def test_tiers_make_the_plan():
+    rng = random.Random(1)
+    parts = pd.DataFrame({"n_tokens": [min(2048, int(rng.lognormvariate(5.5, 1))) + 1 for _ in range(5000)], "row_no": range(5000)})
+    parts["n_tokens"] = parts["n_tokens"].clip(upper=2048)
+    plans = {t: placed(parts, 2048, t, 16) for t in [TIERS, (2048,), (512, 2048)]}
+    assert not plans[TIERS]["container"].equals(plans[(2048,)]["container"]) and not plans[TIERS]["container"].equals(plans[(512, 2048)]["container"])
+    for tiers, got in plans.items():
+        assert set(got["tier"]) == set(tiers)
+        fill = parts["n_tokens"].groupby(got["container"]).sum()
+        assert fill.max() <= 2048 and 1 - fill.sum() / (2048 * len(fill)) < 0.001
+        steps = parts["n_tokens"].groupby(got["step"]).sum()
+        assert steps.max() - steps.min() <= 2 * 2048
+        windows = got.groupby("container")["tier"].max().groupby(got.groupby("container")["step"].first()).value_counts().unstack(fill_value=0)
+        assert (windows.max() - windows.min() <= 3).all()
+
+
 def frame(spark, texts):
     return spark.createDataFrame([(i, t, 1, "c", 2) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int, key string, tier int")
 
@@ -48,6 +65,11 @@ def test_documents_are_packed_whole_and_tight(spark):
         if r.n_tokens:
             steps[r.step_group] += r.n_tokens
     assert max(steps.values()) < 1.5 * min(steps.values())
+    sliced = pack_documents(frame(spark, texts), 256, tiers=(64, 128, 256), group_windows=4, slice_parts=100).collect()
+    fill = Counter()
+    for r in sliced:
+        fill[r.container_id] += r.n_tokens if r.n_tokens else 0
+    assert len(sliced) == len(got) and max(v for k, v in fill.items() if k is not None) <= 256 and sorted(k for k in fill if k is not None) == list(range(len(fill) - 1))
 
 
 def test_long_text_is_divided_into_full_parts(spark):
