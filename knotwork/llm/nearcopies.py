@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knotwork.operators.components import connected_components
-from knotwork.session import materialise
+from knotwork.operators.spread import crowded, join_checked, join_sliced
+from knotwork.session import materialise, ship
 
 WORD = re.compile(r"[^\W_]+")
 SKETCH_WORDS = 3
@@ -32,10 +33,10 @@ SEEDS = mix(np.arange(1, 4097, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def shingle_sets(nodes: DataFrame, shingle: int, min_words: int, key: str, text: str) -> DataFrame:
-    """(key, cls, n, tokens): the set of hashed runs of `shingle` words of every text with at least min_words words.
+    """(key, cls, check, n, tokens): the set of hashed runs of `shingle` words of every text with at least min_words words.
 
-    tokens is the sorted set as packed 32-bit numbers, cls a 64-bit hash of it:
-    texts with the same set share it.
+    tokens is the sorted set as packed 32-bit numbers, cls and check are
+    64-bit hashes of it: texts with the same set share them.
     """
     kind = dict(nodes.dtypes)[key]
 
@@ -62,11 +63,11 @@ def shingle_sets(nodes: DataFrame, shingle: int, min_words: int, key: str, text:
                 for i in range(1, shingle):
                     run = run * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - shingle + 1 + i]
                 tokens = np.unique((mix(run) >> np.uint64(32)).astype(np.uint32)).tobytes()
-                rows.append((k, xxhash.xxh3_64_intdigest(tokens) - (1 << 63), len(tokens) // 4, tokens))
-            yield pd.DataFrame(rows, columns=["key", "cls", "n", "tokens"])
+                rows.append((k, xxhash.xxh3_64_intdigest(tokens) - (1 << 63), xxhash.xxh64_intdigest(tokens, 7) - (1 << 63), len(tokens) // 4, tokens))
+            yield pd.DataFrame(rows, columns=["key", "cls", "check", "n", "tokens"])
 
     slim = nodes.select(F.col(key).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") >= 2 * min_words - 1))
-    return slim.mapInPandas(work, f"key {kind}, cls long, n int, tokens binary")
+    return slim.mapInPandas(work, f"key {kind}, cls long, check long, n int, tokens binary")
 
 
 def frequent_tokens(sets: DataFrame, n_sets: int, limit: int, share: int = 2000) -> np.ndarray:
@@ -119,12 +120,18 @@ def path_rows(cls: np.ndarray, sketch: list[np.ndarray], owner: np.ndarray, path
     return pd.DataFrame({"path": path.view(np.int64), "cls": cls[owner], **{c: x[owner] for c, x in zip(SKETCH, sketch)}})
 
 
-def chosen_paths(tokens: np.ndarray, sizes: np.ndarray, owner: np.ndarray, path: np.ndarray, spread: float, frequent: np.ndarray, depth: int) -> list[np.ndarray]:
+#: The low bits of a path: the number of its run, and whether it took more than one step.
+RUN, DEEP = np.uint64(15), np.uint64(16)
+MARKS = RUN | DEEP
+
+
+def chosen_paths(tokens: np.ndarray, sizes: np.ndarray, owner: np.ndarray, path: np.ndarray, spread: float, frequent: np.ndarray, depth: int, deep: bool = False) -> list[np.ndarray]:
     """(owner, path) one step further for sets that share a path, and further yet where the step is a frequent token.
 
     A token of a set of n is taken if its hash under the path is below
     spread / n: sets that share the path and the token take the same step.
     A step over a frequent token splits too little and is split again at once.
+    The low bits of a path keep its run and mark it as deep after a second step.
     """
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     done = []
@@ -135,7 +142,8 @@ def chosen_paths(tokens: np.ndarray, sizes: np.ndarray, owner: np.ndarray, path:
         step = mix(tokens[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), path[rows])
         taken = step < (np.minimum(spread / n, 1.0) * float(2**64 - 2048)).astype(np.uint64)[rows]
         rows, token, step = rows[taken], tokens[at[taken]], step[taken]
-        owner, path = owner[rows], mix(step, path[rows])
+        mark = (path[rows] & RUN) | (DEEP if deep or level else np.uint64(0))
+        owner, path = owner[rows], (mix(step, path[rows]) & ~MARKS) | mark
         again = np.isin(token, frequent, assume_unique=False) if level < depth - 1 and len(frequent) else np.zeros(len(token), dtype=bool)
         done.append((owner[~again], path[~again]))
         owner, path = owner[again], path[again]
@@ -145,7 +153,7 @@ def chosen_paths(tokens: np.ndarray, sizes: np.ndarray, owner: np.ndarray, path:
 
 
 def bucket_pairs(batches: Iterator[pd.DataFrame], limit: int, least_bits: int) -> Iterator[pd.DataFrame]:
-    """Of rows sorted by path: the pairs of small buckets whose sketches agree (kind 0), the rows of large ones (kind 1)."""
+    """Of rows sorted by path: the pairs of small buckets whose sketches agree (kind 0) with their run and depth, the rows of large ones (kind 1)."""
     rest = None
     for batch in batches:
         x = np.column_stack([batch[c].to_numpy(np.int64) for c in ("path", "cls", *SKETCH)])
@@ -164,7 +172,7 @@ def bucket_pairs(batches: Iterator[pd.DataFrame], limit: int, least_bits: int) -
 
 
 def large(x: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"kind": np.ones(len(x), dtype=np.int32), "a": x[:, 0], "b": x[:, 1]})
+    return pd.DataFrame({"kind": np.ones(len(x), dtype=np.int32), "a": x[:, 0], "b": x[:, 1], "mark": np.zeros(len(x), dtype=np.int32)})
 
 
 def resolved(x: np.ndarray, limit: int, least_bits: int) -> Iterator[pd.DataFrame]:
@@ -194,8 +202,9 @@ def resolved(x: np.ndarray, limit: int, least_bits: int) -> Iterator[pd.DataFram
         d += 1
         at = at[left[at] >= d]
     if a:
+        mark = x[np.concatenate(a), 0] & np.int64(MARKS)
         a, b = x[np.concatenate(a), 1], x[np.concatenate(b), 1]
-        yield pd.DataFrame({"kind": np.zeros(len(a), dtype=np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b)})
+        yield pd.DataFrame({"kind": np.zeros(len(a), dtype=np.int32), "a": np.minimum(a, b), "b": np.maximum(a, b), "mark": mark.astype(np.int32)})
 
 
 def shared_share(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -215,7 +224,27 @@ def shared_share(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFra
 
     x = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x"))
     y = sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInPandas(work, "a long, b long, similarity double")
+    hot_a, hot_b = crowded(pairs, ["a"]), crowded(pairs, ["b"])
+    met = join_checked(join_checked(pairs, x, ["a"], hot_a), y, ["b"], hot_b)
+    return met.select("a", "b", "x", "y").mapInPandas(work, "a long, b long, similarity double")
+
+
+def apart(sets: DataFrame) -> DataFrame:
+    """sets in which texts of one class have the same set by a second hash too; others get a class of their own."""
+    clash = sets.groupBy("cls").agg(F.min("check").alias("lo"), F.max("check").alias("hi")).where("lo <> hi").select("cls", "lo")
+    if clash.isEmpty():
+        return sets
+    cls = F.when(F.col("lo").isNull() | (F.col("check") == F.col("lo")), F.col("cls")).otherwise(F.xxhash64("cls", "check"))
+    return materialise(sets.join(clash, "cls", "left").withColumn("cls", cls).drop("lo"), "sets")
+
+
+def estimated_recall(found: DataFrame) -> float:
+    """The share of all pairs that were found, from the pairs (runs, deep) that one run and that two runs met (Chao's estimate), for deep and other paths apart."""
+    met = F.bit_count("runs")
+    rows = found.groupBy("deep").agg(F.count(F.lit(1)).alias("n"), F.count_if(met == 1).alias("once"), F.count_if(met == 2).alias("twice")).collect()
+    n = sum(r["n"] for r in rows)
+    unseen = sum(r["once"] * (r["once"] - 1) / (2 * (r["twice"] + 1)) for r in rows)
+    return n / (n + unseen) if n else 1.0
 
 
 def near_copies(
@@ -225,79 +254,107 @@ def near_copies(
     min_words: int = 20,
     key: str = "node_id",
     text: str = "content",
+    recall: float = 0.999,
     runs: int = 8,
     limit: int = 300,
     max_levels: int = 6,
+    most_batches: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links): every text's class of equal word-run sets, and the pairs of classes at least threshold alike.
 
     A chosen-path join. Each set takes steps over tokens that it shares with
-    its like: in each of `runs` independent runs a set of n tokens takes those
-    whose seeded hash is below 1 / (threshold n), so that two sets at the
-    threshold expect one common step or more in every run. Sets on one path are
-    a bucket. Steps over frequent tokens are split again at once. Buckets of up
-    to `limit` sets are compared pair by pair by 192-bit sketches; larger ones
-    take another step, and those that remain after max_levels are compared in
-    full, in blocks. Candidates are verified on the whole sets.
-
-    With 8 runs a pair exactly at the threshold is missed with a chance of about
-    e^-8 by the paths and 1 in 8,000 by the sketch; more similar pairs far less.
+    its like: in each independent run a set of n tokens takes those whose seeded
+    hash is below 1 / (threshold n), so that two sets at the threshold expect one
+    common step or more in every run. Sets on one path are a bucket. Steps over
+    frequent tokens are split again at once. Buckets of up to `limit` sets are
+    compared pair by pair by 192-bit sketches; larger ones take another step, and
+    those that remain after max_levels are compared in full, in blocks.
+    Candidates are verified on the whole sets.
+
+    Runs are made in batches of `runs`, until the recall estimated from how many
+    runs met each verified pair, for paths of one step and deeper ones apart,
+    reaches `recall`; most_batches batches without it raise an error. A pair at
+    the threshold that parts after one step is missed by eight runs with a
+    chance of about e^-8; one that must survive 3, 6 or 11 steps, each of which
+    it passes just about once, with up to 2, 12 or 28 % (more batches follow if
+    many do); the sketch misses about 1 in 8,000.
 
     Null, short and empty texts belong to no class; repeated rows and exact
     copies share a class and are compared once; no pair within a class is
     listed in links; an empty table gives empty results.
     """
-    sets = materialise(shingle_sets(nodes, shingle, min_words, key, text), "sets")
+    ship(nodes.sparkSession)
+    sets = apart(materialise(shingle_sets(nodes, shingle, min_words, key, text), "sets"))
+    one_each = sets.dropDuplicates(["cls"]).select("cls", "tokens")
     n_sets = sets.count()
     frequent = frequent_tokens(sets, n_sets, limit)
     sent = sets.sparkSession.sparkContext.broadcast(frequent)
     spread = 1.0 / threshold
     least_bits = int(np.floor(SKETCH_BITS * (1 + threshold) / 2 - 3.67 * np.sqrt(SKETCH_BITS * (1 - threshold**2) / 4)))
 
-    def first_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[int] = set()
-        for batch in batches:
-            new = [i for i, c in enumerate(batch["cls"]) if c not in seen and not seen.add(c)]
-            if len(seen) > 1_000_000:
-                seen.clear()
-            for lo in range(0, len(new), 4096):
-                part = batch.iloc[new[lo : lo + 4096]]
-                tokens, sizes = flat(list(part["tokens"]))
-                sketch = sketches(tokens, sizes)
-                owner = np.tile(np.arange(len(part)), runs)
-                start = np.repeat(SEEDS[1000 : 1000 + runs], len(part))
-                owner, path = chosen_paths(tokens, sizes, owner, start, spread, sent.value, max_levels)
-                yield path_rows(part["cls"].to_numpy(), sketch, owner, path)
+    def first_paths(batch_no: int):
+        seeds = (SEEDS[1000 + batch_no * runs : 1000 + (batch_no + 1) * runs] & ~MARKS) | np.arange(runs, dtype=np.uint64)
+
+        def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
+            for batch in batches:
+                new = [i for i, c in enumerate(batch["cls"]) if c not in seen and not seen.add(c)]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                for lo in range(0, len(new), 4096):
+                    part = batch.iloc[new[lo : lo + 4096]]
+                    tokens, sizes = flat(list(part["tokens"]))
+                    sketch = sketches(tokens, sizes)
+                    owner = np.tile(np.arange(len(part)), runs)
+                    owner, path = chosen_paths(tokens, sizes, owner, np.repeat(seeds, len(part)), spread, sent.value, max_levels)
+                    yield path_rows(part["cls"].to_numpy(), sketch, owner, path)
+
+        return work
 
     def next_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             tokens, sizes = flat(list(batch["tokens"]))
             sketch = sketches(tokens, sizes)
             start = batch["path"].to_numpy(np.int64).view(np.uint64)
-            owner, path = chosen_paths(tokens, sizes, np.arange(len(batch)), start, spread, np.empty(0, np.uint32), 1)
+            owner, path = chosen_paths(tokens, sizes, np.arange(len(batch)), start, spread, np.empty(0, np.uint32), 1, True)
             yield path_rows(batch["cls"].to_numpy(), sketch, owner, path)
 
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return bucket_pairs(batches, limit, least_bits)
 
-    rows = sets.select("cls", "tokens").mapInPandas(first_paths, ROW)
-    pairs, level = None, 0
-    while True:
-        level += 1
-        done = rows.repartition("path").sortWithinPartitions("path", "cls").mapInPandas(resolve, "kind int, a long, b long")
-        done = materialise(done, f"level-{level}")
-        found = done.where("kind = 0").select("a", "b")
-        pairs = found if pairs is None else pairs.unionByName(found)
-        over = done.where("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("cls")).distinct()
-        if over.isEmpty():
-            break
-        if level == max_levels:
-            pairs = pairs.unionByName(all_in_blocks(over))
-            break
-        rows = over.join(sets.dropDuplicates(["cls"]).select("cls", "tokens"), "cls").mapInPandas(next_paths, ROW)
-    members = sets.select(F.col("key").alias(key), "cls").distinct()
-    links = shared_share(pairs.distinct(), sets.dropDuplicates(["cls"]), threshold)
-    return members, materialise(links, "links")
+    def candidates(batch_no: int) -> DataFrame:
+        """(a, b, mark) of the pairs that the runs of a batch propose."""
+        rows = sets.select("cls", "tokens").mapInPandas(first_paths(batch_no), ROW)
+        pairs = None
+        for level in range(1, max_levels + 1):
+            done = rows.repartition("path").sortWithinPartitions("path", "cls").mapInPandas(resolve, "kind int, a long, b long, mark int")
+            done = materialise(done, f"level-{level}")
+            found = done.where("kind = 0").select("a", "b", "mark")
+            pairs = found if pairs is None else pairs.unionByName(found)
+            over = done.where("kind = 1").select(F.col("a").alias("path"), F.col("b").alias("cls")).distinct()
+            if over.isEmpty():
+                break
+            if level == max_levels:
+                whole = all_in_blocks(over).select("a", "b", F.col("path").bitwiseAND(int(MARKS)).cast("int").alias("mark"))
+                pairs = pairs.unionByName(whole)
+                break
+            rows = over.join(one_each, "cls").mapInPandas(next_paths, ROW)
+        return pairs
+
+    links = None
+    for batch_no in range(most_batches):
+        run = F.expr("shiftleft(1L, mark & 15)")
+        met = candidates(batch_no).groupBy("a", "b").agg(F.bit_or(run).alias("runs"), F.min(F.col("mark").bitwiseAND(16)).alias("deep"))
+        if links is not None:
+            met = met.join(links.select("a", "b"), ["a", "b"], "left_anti")
+        met = materialise(met, "met")
+        found = shared_share(met.select("a", "b"), one_each, threshold).join(met, ["a", "b"])
+        found = materialise(found, "links")
+        links = found if links is None else links.unionByName(found)
+        if estimated_recall(found) >= recall:
+            members = sets.select(F.col("key").alias(key), "cls").distinct()
+            return members, links.select("a", "b", "similarity")
+    raise RuntimeError(f"an estimated recall of {recall} was not reached in {most_batches * runs} runs")
 
 
 def all_in_blocks(over: DataFrame, block: int = 500) -> DataFrame:
@@ -307,7 +364,7 @@ def all_in_blocks(over: DataFrame, block: int = 500) -> DataFrame:
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     met = placed.withColumn("j", others).select("path", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "cls")
     x, y = met.withColumnRenamed("cls", "a"), met.withColumnRenamed("cls", "b")
-    return x.join(y, ["path", "lo", "hi"]).where("a < b").select("a", "b")
+    return x.join(y, ["path", "lo", "hi"]).where("a < b").select("path", "a", "b")
 
 
 def near_copy_pairs(nodes: DataFrame, key: str = "node_id", **options) -> DataFrame:
@@ -317,7 +374,7 @@ def near_copy_pairs(nodes: DataFrame, key: str = "node_id", **options) -> DataFr
     pairs = links.select("a", "b").unionByName(copied.select(F.col("cls").alias("a"), F.col("cls").alias("b")))
     x = members.select(F.col("cls").alias("a"), F.col(key).alias("x"))
     y = members.select(F.col("cls").alias("b"), F.col(key).alias("y"))
-    met = pairs.join(x, "a").join(y, "b").where("x <> y")
+    met = join_sliced(join_sliced(pairs, x, ["a"]), y, ["b"]).where("x <> y")
     return met.select(F.least("x", "y").alias("node_a"), F.greatest("x", "y").alias("node_b")).distinct()
 
 

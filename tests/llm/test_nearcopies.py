@@ -67,5 +67,27 @@ def test_empty_table_and_very_long_text(spark):
 
 def test_blocks_meet_every_pair(spark):
     over = spark.createDataFrame([(1, i) for i in range(57)] + [(2, i) for i in range(3)], "path long, cls long")
-    got = {tuple(r) for r in N.all_in_blocks(over, block=10).collect()}
+    got = {(r.a, r.b) for r in N.all_in_blocks(over, block=10).collect() if r.path == 1}
     assert got == set(combinations(range(57), 2))
+
+
+def test_runs_go_on_until_the_recall_is_reached(spark):
+    texts = corpus(random.Random(8), 30, 6, 9)
+    want = exact(texts)
+    few = {tuple(r) for r in N.near_copy_pairs(frame(spark, texts), runs=1, recall=0.0).collect()}
+    all_runs = {tuple(r) for r in N.near_copy_pairs(frame(spark, texts), runs=4, recall=0.99).collect()}
+    assert len(few) < len(all_runs) and len(all_runs & want) >= 0.99 * len(want) and all_runs <= want
+    with pytest.raises(RuntimeError):
+        N.near_copies(frame(spark, texts), runs=1, recall=1.1, most_batches=1)
+
+
+def test_recall_is_estimated_from_single_and_double_meetings(spark):
+    rows = [(1, 0)] * 10 + [(3, 0)] * 20 + [(7, 0)] * 70 + [(1, 16)] * 2 + [(5, 16)] * 0
+    got = N.estimated_recall(spark.createDataFrame(rows, "runs long, deep int"))
+    assert abs(got - 102 / (102 + 90 / 42 + 2 / 2)) < 1e-9
+
+
+def test_classes_of_different_sets_are_told_apart(spark):
+    sets = spark.createDataFrame([("a", 1, 5), ("b", 1, 5), ("c", 1, 6), ("d", 2, 5)], "key string, cls long, check long")
+    got = {r.key: r.cls for r in N.apart(sets).collect()}
+    assert got["a"] == got["b"] == 1 and got["c"] not in (1, 2) and got["d"] == 2
