@@ -42,7 +42,7 @@ def subgraph_texts(best: DataFrame, nodes: DataFrame, directed: DataFrame, undir
     tag = lambda name, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"|{name}:"), c)).otherwise("")
     label = lambda kind: F.concat(F.lit("[n"), F.col("place").cast("string"), F.lit("|"), kind, F.lit("|"), shown(F.col("score"), 2))
     order = F.lpad(F.col("place").cast("string"), 9, "0")
-    claims = F.slice(F.filter(F.transform(F.split(meta["claims"], r" \|\| "), F.trim), lambda c: c != ""), 1, 10)
+    claims = F.slice(F.filter(F.transform(F.split(meta["claims"], r" \|\| "), lambda c: F.trim(c)), lambda c: c != ""), 1, 10)
     claimed = F.when(F.size(claims) > 0, F.concat(F.lit("\n  claims: "), F.array_join(claims, " | "))).otherwise("")
     summary = F.concat(label(F.lit("summary")), tag("session", meta["session_id"]), tag("date", meta["session_date"]), F.lit("] "), F.coalesce("content", F.lit("")), claimed)
     fact = F.concat(label(F.coalesce("node_type", F.lit("fact"))), tag("src", F.col("section")), tag("date", meta["session_date"]), F.lit("] "), F.coalesce("content", F.lit("")))

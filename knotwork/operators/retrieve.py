@@ -80,7 +80,7 @@ def sub_queries(question: Column, most: int = 6, least_chars: int = 10) -> Colum
     concept = None
     for cue, words in CONCEPTS:
         concept = F.when(question.rlike(f"(?i){cue}"), words) if concept is None else concept.when(question.rlike(f"(?i){cue}"), words)
-    clauses = F.filter(F.transform(F.split(question, f"(?i){EDGE}{JOINTS}{EDGE}"), F.trim), lambda c: F.length(c) > least_chars)
+    clauses = F.filter(F.transform(F.split(question, f"(?i){EDGE}{JOINTS}{EDGE}"), lambda c: F.trim(c)), lambda c: F.length(c) > least_chars)
     return F.slice(F.array_distinct(F.array_compact(F.concat(F.array(question), named, F.array(concept), clauses))), 1, most)
 
 

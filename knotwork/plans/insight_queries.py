@@ -167,20 +167,6 @@ def query_expansion(spark: SparkSession, sf: str) -> DataFrame:
     return R.expanded(questions, synonym_map(spark, sf), "node_id", "content")
 
 
-@query()
-def question_router(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "content")
-    asked = nodes.where("node_type = 'message' and content like '%?%'").select("node_id", R.question_type(F.col("content")).alias("kind"))
-    return asked.select("node_id", "kind", R.strategy_of(F.col("kind"))["max_seeds"].alias("max_seeds"), R.strategy_of(F.col("kind"))["max_nodes"].alias("max_nodes"))
-
-
-@query()
-def question_parts(spark: SparkSession, sf: str) -> DataFrame:
-    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "content")
-    asked = nodes.where("node_type = 'message' and content like '%?%'")
-    return asked.select("node_id", F.posexplode(R.sub_queries(F.col("content"))).alias("part_no", "part"))
-
-
 SEEDS_SQL = f"""{NODES}, {DIRECTED}, {UNDIRECTED}, s0 AS (SELECT graph_id AS q, node_id, 1.0 / r AS score FROM (SELECT graph_id, node_id, row_number() OVER (PARTITION BY graph_id ORDER BY access_count DESC, node_id) AS r FROM n) WHERE r <= 5),
 ways AS (SELECT g, x, y, max(w) AS w FROM (SELECT graph_id AS g, from_node AS x, to_node AS y, weight AS w FROM d UNION ALL SELECT graph_id, to_node, from_node, weight * 0.5 FROM d UNION ALL SELECT graph_id, node_a, node_b, weight FROM u
   UNION ALL SELECT graph_id, node_b, node_a, weight FROM u) WHERE x IS NOT NULL AND w IS NOT NULL AND (g, y) IN (SELECT (graph_id, node_id) FROM n) GROUP BY 1, 2, 3)"""
