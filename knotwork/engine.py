@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ from knotwork.operators import reflect as S
 from knotwork.operators import render as N
 from knotwork.operators import reports as H
 from knotwork.operators import retrieve as R
+from knotwork.operators import runs as U
 from knotwork.session import materialise, ship
 from knotwork.sources import files as L
 
@@ -151,6 +153,23 @@ class Engine:
         nodes, edges = M.session_nodes(graph.nodes, self.as_of, model)
         return Graph(graph.nodes.unionByName(nodes.select(*graph.nodes.columns)), graph.directed.unionByName(edges, True), graph.undirected)
 
+    def evaluate(self, graph: Graph, items: DataFrame, path: str, model: Callable[[], M.TextModel] = M.FirstSentences, judge: Callable[[], M.TextModel] = M.FirstSentences) -> DataFrame:
+        """All results for items (question_id, question_type, question, answer): those under path, and those of the questions that have none yet, which are added there."""
+        todo = materialise(U.to_do(items, U.done_questions(self.spark, path)), "todo")
+        best = materialise(self.query(graph, todo, "question_id"), "best")
+        sizes = best.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+        answers = self.answer(graph, todo, model, "question_id").withColumnRenamed("answer", "predicted")
+        U.append_results(U.graded(todo, answers, sizes, U.type_distribution(best, graph.nodes, "question_id"), judge), path)
+        newest = U.done_questions(self.spark, path).groupBy("question_id").agg(F.max_by(F.struct("*"), F.when(F.col("error").isNull(), 1).otherwise(0)).alias("r"))
+        return newest.select("r.*")
+
+    def benchmark(self, graph: Graph, questions: DataFrame, key: str = "q", text: str = "question") -> DataFrame:
+        """(n_questions, mean_ms, mean_nodes, mean_tokens) of asking all questions at once."""
+        began = time.time()
+        best = materialise(self.query(graph, questions, key, text), "best")
+        texts = materialise(self.texts(graph, questions, key, text), "texts")
+        return U.cost_summary(texts, best.groupBy(key).agg(F.count(F.lit(1)).alias("n_nodes")), time.time() - began)
+
     def correct(self, graph: Graph, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """(changed nodes, added nodes, added edges) for change rows."""
         added = C.added_nodes(graph.nodes, changes)

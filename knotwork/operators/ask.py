@@ -50,7 +50,7 @@ def routed(questions: DataFrame, key: str, text: str, options: Asking) -> DataFr
     kind = R.question_type(F.col("asked"))
     if options.router:
         return asked.withColumn("kind", kind).withColumn("_s", R.strategy_of(F.col("kind"))).select(key, "asked", "kind", "_s.max_seeds", "_s.max_nodes", "_s.spread", "_s.summaries")
-    sums = kind == "multi-session"
+    sums = R.asks_for_sum(F.col("asked"))
     return asked.select(
         key, "asked", F.lit(None).cast("string").alias("kind"), F.when(sums, 40).otherwise(24).alias("max_seeds"), F.when(sums, 50).otherwise(options.traversal.nodes).alias("max_nodes"),
         F.lit(True).alias("spread"), F.lit(None).cast("boolean").alias("summaries"),

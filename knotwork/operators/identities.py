@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.functions.text import likely_person, one_spaced
+from knotwork.functions.text import domain, likely_person, one_spaced
 from knotwork.operators.graph import new_edge_id
 from knotwork.operators.spread import next_in_group
 
@@ -69,3 +69,21 @@ def user_preferences(nodes: DataFrame, top: int = 20) -> DataFrame:
     counts = said.groupBy("graph_id", "entity").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy("graph_id").orderBy(F.desc("n"), "entity")
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+
+
+def person_content(name: Column, role: Column, organisation: Column) -> Column:
+    """What a person's node says: the name, the role in brackets and the organisation, where they are known."""
+    return F.concat_ws(" ", name, F.concat(F.lit("("), role, F.lit(")")), F.concat(F.lit("at "), organisation))
+
+
+def person_nodes(known: DataFrame, roles: DataFrame) -> DataFrame:
+    """(graph_id, node_id, content, confidence): the node of every person, with the role that the texts give."""
+    both = known.join(roles, ["graph_id", "name"], "left")
+    return both.select("graph_id", F.col("person_id").alias("node_id"), person_content(F.col("name"), F.col("role"), F.lit(None).cast("string")).alias("content"), "confidence")
+
+
+def user_domains(nodes: DataFrame, top: int = 10) -> DataFrame:
+    """(graph_id, domain, n, place): the domains that the user's messages of a graph come from most."""
+    said = nodes.where(F.lower(F.col("metadata")["role"]) == "user").select("graph_id", domain(F.col("source.file")).alias("domain")).where("domain is not null")
+    order = Window.partitionBy("graph_id").orderBy(F.desc("n"), "domain")
+    return said.groupBy("graph_id", "domain").agg(F.count(F.lit(1)).alias("n")).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)

@@ -85,16 +85,50 @@ def topic_pages(page: DataFrame, nodes: DataFrame, relations: DataFrame, topic:
     return lines(rows, ["graph_id"])
 
 
-def audit_texts(health: DataFrame, entities: DataFrame, gaps: DataFrame, top: int = 30) -> DataFrame:
-    """(graph_id, text): what an audit finds, for every graph: health, the `top` entities and what is mentioned only once."""
+def audit_texts(health: DataFrame, entities: DataFrame, gaps: DataFrame, facts: DataFrame, contradictions: DataFrame, discoveries: DataFrame, nodes: DataFrame, top: int = 30) -> DataFrame:
+    """(graph_id, text): what an audit finds, for every graph: health, the `top` entities with three facts each, contradictions, ten discoveries, and what is mentioned only once.
+
+    facts (graph_id, name, fact_no, content, node_type) and the pairs
+    (graph_id, node_a, node_b) come from the reports; texts of pairs are cut to
+    200 and 100 characters.
+    """
     number = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    place = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
     about = F.concat(
         F.lit("# Audit of "), "graph_id", F.lit("\n\nNodes "), number("n_nodes"), F.lit(", edges "), (F.col("n_directed") + F.col("n_undirected")).cast("string"), F.lit(", orphans "), number("n_orphans"),
         F.lit(", weak "), number("n_weak"), F.lit(", expired "), number("n_expired"), F.lit(", enriched "), number("n_enriched"), F.lit(", mean confidence "), number("mean_confidence"),
     )
+    rows = part(health, ["graph_id"], 0, F.lit(""), about)
+
+    def titled(df: DataFrame, number: int, title: str, at: Column, line: Column) -> DataFrame:
+        heading = part(df.select("graph_id").distinct(), ["graph_id"], number, F.lit(""), F.lit(f"\n## {title}\n"))
+        return heading.unionByName(part(df, ["graph_id"], number, at, line))
+
     ranked = entities.withColumn("k", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("fact_count"), "name"))).where(F.col("k") <= top)
-    line = F.concat(F.lit("- "), "name", F.lit(": "), number("fact_count"), F.lit(" facts, "), number("n_sources"), F.lit(" sources, "), "confidence_trend")
-    rows = part(health, ["graph_id"], 0, F.lit(""), about).unionByName(part(ranked, ["graph_id"], 1, F.lpad(F.col("k").cast("string"), 9, "0"), line))
-    rows = rows.unionByName(part(ranked.select("graph_id").distinct(), ["graph_id"], 1, F.lit(""), F.lit("\n## Entities\n")))
-    rows = rows.unionByName(part(gaps.select("graph_id").distinct(), ["graph_id"], 2, F.lit(""), F.lit("\n## Mentioned once\n"))).unionByName(part(gaps, ["graph_id"], 2, "entity", F.concat(F.lit("- "), "entity")))
-    return lines(rows, ["graph_id"])
+    line = F.concat(F.lit("- "), "name", F.lit(": "), number("fact_count"), F.lit(" facts, "), number("n_sources"), F.lit(" sources, "), number("access_count"), F.lit(" accesses, "), "confidence_trend")
+    rows = rows.unionByName(titled(ranked, 1, "Entities", place("k"), line))
+    told = facts.where("fact_no <= 3").join(ranked.select("graph_id", "name", "k"), ["graph_id", "name"])
+    line = F.concat(F.lit("  - ["), F.coalesce("node_type", F.lit("fact")), F.lit("] "), F.left(F.coalesce("content", F.lit("")), F.lit(150)))
+    rows = rows.unionByName(part(told, ["graph_id"], 1, F.concat(place("k"), F.col("fact_no").cast("string")), line))
+    said = lambda c: nodes.select("graph_id", F.col("node_id").alias(f"node_{c}"), F.coalesce("content", F.lit("")).alias(f"text_{c}"), F.coalesce("source.file", F.lit("")).alias(f"file_{c}"))
+    both = lambda df: df.join(said("a"), ["graph_id", "node_a"]).join(said("b"), ["graph_id", "node_b"])
+    line = F.concat(F.lit("- A: "), F.left("text_a", F.lit(200)), F.lit("\n  B: "), F.left("text_b", F.lit(200)))
+    rows = rows.unionByName(titled(both(contradictions), 2, "Contradictions", F.concat_ws("|", "node_a", "node_b"), line))
+    best = discoveries.withColumn("k", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("surprise"), "node_a", "node_b"))).where("k <= 10")
+    line = F.concat(F.lit("- "), number("n_bridges"), F.lit(" bridges (surprise "), shown(F.col("surprise") * 100, 0), F.lit(" %)\n  - "), "file_a", F.lit(": "), F.left("text_a", F.lit(100)), F.lit("\n  - "), "file_b", F.lit(": "), F.left("text_b", F.lit(100)))
+    rows = rows.unionByName(titled(both(best), 3, "Discoveries", place("k"), line))
+    return lines(rows.unionByName(titled(gaps, 4, "Mentioned once", F.col("entity"), F.concat(F.lit("- "), "entity"))), ["graph_id"])
+
+
+def index_pages(nodes: DataFrame, top: int = 30, most: int = 40) -> DataFrame:
+    """(graph_id, text): an index of topics for every graph: the `top` names by mentions, then persons, `most` in all, with how many nodes name each."""
+    named = nodes.select("graph_id", F.explode(F.array_distinct("entities")).alias("topic")).groupBy("graph_id", "topic").agg(F.count(F.lit(1)).alias("n"))
+    ranked = named.withColumn("k", F.row_number().over(Window.partitionBy("graph_id").orderBy(F.desc("n"), "topic")))
+    first = ranked.where(F.col("k") <= top).select("graph_id", "topic", "n", F.lit(0).alias("of"))
+    persons = nodes.where("node_type = 'person' and content is not null").select("graph_id", F.col("content").alias("topic")).distinct().join(first.select("graph_id", "topic"), ["graph_id", "topic"], "left_anti")
+    persons = persons.join(named, ["graph_id", "topic"], "left").select("graph_id", "topic", F.coalesce("n", F.lit(0)).alias("n"), F.lit(1).alias("of"))
+    listed = first.unionByName(persons).withColumn("k", F.row_number().over(Window.partitionBy("graph_id").orderBy("of", F.desc("n"), "topic"))).where(F.col("k") <= most)
+    slug = F.regexp_replace(F.lower("topic"), "[^a-z0-9]+", "-")
+    head = listed.groupBy("graph_id").agg(F.concat(F.lit("# Topics of "), F.first("graph_id"), F.lit("\n\n## Pages ("), F.count(F.lit(1)).cast("string"), F.lit(")\n")).alias("head"))
+    line = F.concat(F.lit("- ["), "topic", F.lit("]("), slug, F.lit(".md), "), F.col("n").cast("string"), F.lit(" nodes"))
+    return lines(part(head, ["graph_id"], 0, F.lit(""), F.col("head")).unionByName(part(listed, ["graph_id"], 1, F.lpad(F.col("k").cast("string"), 9, "0"), line)), ["graph_id"])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knotwork.functions.text import EDGE, dense_cosine, six
-from knotwork.operators.spread import join_sliced
+from knotwork.operators.spread import crowded, join_apart
 from knotwork.session import materialise
 
 #: How many seeds and nodes each kind of question gets, and whether its seeds are spread over files and favour summaries. Fixed values.
@@ -39,6 +39,9 @@ CONCEPTS = [
     (r"(?:timeline|history|evolution|develop)", "history development timeline evolution"),
     (r"(?:invented|created|designed|built)", "invention creation design"),
 ]
+#: Cues of questions for sums and for tastes. Fixed values.
+SUMS = "(total|how many|how much|number of|count of|sum of|all of the|every time)"
+TASTES = "(favorite|favourite|prefer|preference|usually|typically|habit|routine|tend to|like to|love to|hate|enjoy|style|personal)"
 #: Words at which a question falls into clauses, and the forms of named things and quotes in it. Fixed values.
 JOINTS = r"(?:and|or|but|how|why|when|where|what|which|between|from|with)"
 PHRASE, QUOTE, ACRONYM = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)", "\"([^\"]+)\"|'([^']+)'", r"([A-Z]{2,}(?:\s+[A-Z]{2,})*)"
@@ -64,6 +67,16 @@ def question_type(question: Column) -> Column:
     return F.when(question.isNotNull(), kind.otherwise("single-session-user"))
 
 
+def asks_for_sum(question: Column) -> Column:
+    """Whether a question asks for a count or a sum."""
+    return question.rlike(f"(?i){EDGE}{SUMS}{EDGE}")
+
+
+def asks_for_taste(question: Column) -> Column:
+    """Whether a question asks for what somebody likes or usually does."""
+    return question.rlike(f"(?i){EDGE}{TASTES}{EDGE}")
+
+
 def strategy_of(kind: Column) -> Column:
     """(max_seeds, max_nodes, spread, summaries) for a kind of question."""
     parts = F.create_map(*[x for k, v in STRATEGIES.items() for x in (F.lit(k), F.struct(*[F.lit(y).alias(n) for y, n in zip(v, ("max_seeds", "max_nodes", "spread", "summaries"))]))])
@@ -183,8 +196,9 @@ def traverse(seeds: DataFrame, ways: DataFrame, key: str, options: Traversal = T
     node = ["graph_id", "node_id"]
     scores = materialise(seeds.groupBy(key, *node).agg(F.max("score").alias("score")), "seeds")
     frontier, ways = scores, materialise(ways, "ways")
+    hot = crowded(ways, node)
     for _ in range(options.hops):
-        step = join_sliced(frontier, ways, node).select(key, "graph_id", F.col("other").alias("node_id"), (F.col("score") * options.decay * F.col("weight")).alias("new"))
+        step = join_apart(frontier, ways, node, hot).select(key, "graph_id", F.col("other").alias("node_id"), (F.col("score") * options.decay * F.col("weight")).alias("new"))
         step = step.groupBy(key, *node).agg(F.max("new").alias("new"))
         both = materialise(scores.join(step, [key, *node], "full"), "hop")
         better = F.col("new") > F.coalesce("score", F.lit(0.0))

@@ -114,7 +114,11 @@ def met_in_blocks(df: DataFrame, keys: list[str], block: int = 500, n: str | Non
 
 def join_sliced(left: DataFrame, right: DataFrame, keys: list[str], slices: int = 64, floor: int = 50_000) -> DataFrame:
     """left joined to right on keys, with the rows of right's hot keys dealt to `slices` tasks and left's rows of these keys sent to all of them."""
-    hot = crowded(right, keys, floor)
+    return join_apart(left, right, keys, crowded(right, keys, floor), slices)
+
+
+def join_apart(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, slices: int = 64) -> DataFrame:
+    """join_sliced with the hot keys of right that crowded() found, for several joins to one table."""
     if hot is None:
         return left.join(right, keys)
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from knotwork.operators import ask as A
 from knotwork.operators import render as N
 from knotwork.operators import retrieve as R
+from knotwork.operators import runs as U
 from knotwork.plans.insight_queries import BOOST_SQL, SIX
 from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, directed, graph_nodes, query, undirected
 from knotwork.plans.text_queries import CONTENT, counts_sql
@@ -138,6 +139,17 @@ def query_subgraph_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("q", "n_nodes", F.coalesce("n_directed", F.lit(0)).alias("n_directed"), F.coalesce("n_undirected", F.lit(0)).alias("n_undirected"))
 
 
+@query(f"{QUERY_SQL} SELECT q, node_type, count(*) AS n FROM fin JOIN n USING (graph_id, node_id) GROUP BY 1, 2")
+def query_node_types(spark: SparkSession, sf: str) -> DataFrame:
+    return U.type_distribution(answers(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "node_type"), "q")
+
+
+@query(f"WITH {ASKED_SQL} SELECT key AS node_id, regexp_matches(question, '(?i)\\b{R.SUMS}\\b') AS asks_for_sum, regexp_matches(question, '(?i)\\b{R.TASTES}\\b') AS asks_for_taste FROM m")
+def question_intents(spark: SparkSession, sf: str) -> DataFrame:
+    asked = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "content").where("node_type = 'message' and content like '%?%'")
+    return asked.select("node_id", R.asks_for_sum(F.col("content")).alias("asks_for_sum"), R.asks_for_taste(F.col("content")).alias("asks_for_taste"))
+
+
 @query()
 def query_texts(spark: SparkSession, sf: str) -> DataFrame:
     best = materialise(answers(spark, sf), "answers")

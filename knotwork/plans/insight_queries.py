@@ -122,6 +122,14 @@ def user_preferences(spark: SparkSession, sf: str) -> DataFrame:
     return P.user_preferences(graph_nodes(spark, sf, "graph_id", "node_id", "metadata", "entities"))
 
 
+@query(
+    f"""WITH {NODES}, e AS (SELECT graph_id, split_part(source.file, ':', 1) AS domain FROM n WHERE lower(metadata['role']) = 'user' AND source.file IS NOT NULL)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n DESC, domain) AS place FROM (SELECT graph_id, domain, count(*) AS n FROM e GROUP BY 1, 2)) WHERE place <= 10"""
+)
+def user_domains(spark: SparkSession, sf: str) -> DataFrame:
+    return P.user_domains(graph_nodes(spark, sf, "graph_id", "node_id", "metadata", "source"))
+
+
 @query(f"WITH {MENTIONS_SQL} SELECT m.graph_id, node_id AS from_node, 'cites' AS edge_type, 0.6::DOUBLE AS weight, 'Mentions ' || name AS evidence FROM m JOIN p USING (graph_id, name)")
 def person_edges(spark: SparkSession, sf: str) -> DataFrame:
     found = P.mentions(graph_nodes(spark, sf, *MENTIONED))

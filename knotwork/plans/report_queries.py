@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import access as A
 from knotwork.operators import corrections as C
+from knotwork.operators import reflect as S
 from knotwork.operators import render as N
 from knotwork.operators import reports as H
 from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, SQL, directed, graph_nodes, query, undirected
@@ -86,7 +87,24 @@ def entity_facts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def audit_text(spark: SparkSession, sf: str) -> DataFrame:
-    return N.audit_texts(graph_health(spark, sf), entity_report(spark, sf), coverage_gaps(spark, sf))
+    nodes = graph_nodes(spark, sf, *REPORTED)
+    entities = materialise(H.entity_reports(nodes), "entities")
+    pairs = undirected(spark, sf, "graph_id", "node_a", "node_b")
+    return N.audit_texts(graph_health(spark, sf), entities, coverage_gaps(spark, sf), H.entity_facts(nodes, entities), S.contradictions(nodes), S.discoveries(nodes, pairs), nodes)
+
+
+INDEX_SQL = f"""{NODES}, k AS (SELECT graph_id, entity AS topic, count(*) AS n FROM (SELECT graph_id, unnest(list_distinct(entities)) AS entity FROM n) GROUP BY 1, 2),
+f AS (SELECT graph_id, topic, n, 0 AS o FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY n DESC, topic) AS r FROM k) WHERE r <= 30),
+ps AS (SELECT graph_id, topic, coalesce(n, 0) AS n, 1 AS o FROM (SELECT DISTINCT graph_id, content AS topic FROM n WHERE node_type = 'person' AND content IS NOT NULL) ANTI JOIN f USING (graph_id, topic) LEFT JOIN k USING (graph_id, topic)),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY o, n DESC, topic) AS r FROM (SELECT * FROM f UNION ALL SELECT * FROM ps)) WHERE r <= 40)"""
+
+
+@query(
+    f"""WITH {INDEX_SQL} SELECT graph_id, '# Topics of ' || graph_id || chr(10) || chr(10) || '## Pages (' || count(*) || ')' || chr(10) || chr(10) ||
+ string_agg('- [' || topic || '](' || regexp_replace(lower(topic), '[^a-z0-9]+', '-', 'g') || '.md), ' || n || ' nodes', chr(10) ORDER BY r) AS text FROM l GROUP BY 1"""
+)
+def topic_index(spark: SparkSession, sf: str) -> DataFrame:
+    return N.index_pages(graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "content", "entities"))
 
 
 PAGE_SQL = f"""{NODES}, {CONTENT}, g AS (SELECT graph_id, node_id, node_type, content, confidence, coalesce(len(list_filter(entities, lambda q: contains(lower(q), '{TOPIC.lower()}'))) > 0, false) AS named, coalesce(contains(lower(content), '{TOPIC.lower()}'), false) AS said, metadata['synthesis'] IS NOT NULL AS rich FROM t),
