@@ -36,7 +36,9 @@ class Codes:
         known = self.known
         if len(known) > 500_000:
             known.clear()
-        return np.array([known[w] if w in known else known.setdefault(w, xxh3_64_intdigest(w)) for w in said], dtype=np.uint64)
+        for w in {*said}.difference(known):
+            known[w] = xxh3_64_intdigest(w)
+        return np.fromiter(map(known.__getitem__, said), dtype=np.uint64, count=len(said))
 
     @staticmethod
     def blocks(code: np.ndarray) -> np.ndarray:
@@ -112,20 +114,22 @@ def gathered(rows: DataFrame, bits: int, usual: int) -> np.ndarray:
     return table
 
 
-def occurrences(code: np.ndarray, codes: Codes, shift: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(starts, codes) of the runs of a text that may be patterns: where the window stops and the run's own place is marked."""
+def occurrences(code: np.ndarray, ends: list[int], codes: Codes, shift: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, codes) of the runs that may be patterns, in texts that lie one after another and end at `ends`: where the window stops and the run's own place is marked."""
     width = codes.width
     if len(code) < width:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    steps = shift[codes.blocks(code) & np.uint64(len(shift) - 1)]
-    steps, at, n, stops = steps.tolist(), width - 2, len(steps), []
-    while at < n:
-        step = steps[at]
-        if step:
-            at += step
-        else:
-            stops.append(at)
-            at += 1
+    steps, stops, first = shift[codes.blocks(code) & np.uint64(len(shift) - 1)].tolist(), [], 0
+    for end in ends:
+        at, last = first + width - 2, end - 1
+        while at < last:
+            step = steps[at]
+            if step:
+                at += step
+            else:
+                stops.append(at)
+                at += 1
+        first = end
     starts = np.array(stops, dtype=np.int64) - (width - 2)
     run = codes.runs(code, starts)
     kept = marks[run & np.uint64(len(marks) - 1)] > 0
@@ -172,13 +176,15 @@ def leaked_items(
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codes, (shift, marks) = Codes(width), tables.value
         for batch in batches:
-            rows = []
-            for d, t in zip(batch["doc_id"], batch["text"]):
-                w = words(t)
-                starts, run = occurrences(codes.of(w), codes, shift, marks)
-                if len(starts):
-                    rows += {(d, r, " ".join(w[i : i + width])) for i, r in zip(starts.tolist(), run.view(np.int64).tolist())}
-            yield pd.DataFrame(rows, columns=["doc_id", "run", "said"])
+            for lo in range(0, len(batch), 500):
+                said, ends = [], []
+                for t in batch["text"].iloc[lo : lo + 500]:
+                    said += words(t)
+                    ends.append(len(said))
+                starts, run = occurrences(codes.of(said), ends, codes, shift, marks)
+                doc = batch["doc_id"].to_numpy()[lo + np.searchsorted(np.array(ends), starts, side="right")]
+                found = pd.DataFrame({"doc_id": doc, "run": run.view(np.int64), "said": pd.Series([" ".join(said[i : i + width]) for i in starts.tolist()], dtype=object)})
+                yield found.drop_duplicates()
 
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     held = materialise(slim.mapInPandas(work, f"doc_id {kind}, run long, said string"), "held")

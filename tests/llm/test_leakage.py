@@ -35,7 +35,10 @@ def test_no_occurrence_is_skipped():
         text = line(rng.randint(0, 40))
         codes = Codes(rng.randint(3, 6))
         w = words(text)
-        starts, _ = occurrences(codes.of(w), codes, *tables(codes, items, (2, 16)[n % 2]))
+        twice = [*w, *w]
+        starts, _ = occurrences(codes.of(twice), [len(w), len(w), 2 * len(w)], codes, *tables(codes, items, (2, 16)[n % 2]))
+        again, starts = {i - len(w) for i in starts.tolist() if i >= len(w)}, starts[starts < len(w)]
+        assert again == set(starts.tolist())
         runs = {tuple(v[i : i + codes.width]) for _, t in items for v in [words(t)] for i in range(len(v) - codes.width + 1)}
         want = {i for i in range(len(w) - codes.width + 1) if tuple(w[i : i + codes.width]) in runs}
         assert want <= set(starts.tolist()) and (n % 2 == 0 or want == set(starts.tolist()))
