@@ -219,14 +219,18 @@ def closure(edges: DataFrame, roots: DataFrame, cut_after: int = 16) -> DataFram
     """(graph_id, root, node_id): everything that a root reaches over directed edges, roots included; safe on cycles.
 
     The rounds end when nothing new is reached, however long the chains are;
-    every cut_after rounds the lineage is cut.
+    every cut_after rounds the lineage is cut, and after the first of these, on
+    long chains, a round follows eight edges.
     """
     hops = materialise(edges.select("graph_id", F.col("from_node").alias("node_id"), "to_node").where("node_id is not null and to_node is not null").distinct(), "hops")
     reached = materialise(roots.select("graph_id", F.col("node_id").alias("root"), "node_id").distinct(), "reached")
     frontier = reached
     for n in count(1):
-        step = frontier.join(hops, ["graph_id", "node_id"]).select("graph_id", "root", F.col("to_node").alias("node_id")).distinct()
-        frontier = materialise(step.join(reached, ["graph_id", "root", "node_id"], "left_anti"), "frontier")
+        step, steps = frontier, None
+        for _ in range(1 if n <= cut_after else 8):
+            step = step.join(hops, ["graph_id", "node_id"]).select("graph_id", "root", F.col("to_node").alias("node_id")).distinct()
+            steps = step if steps is None else steps.unionByName(step)
+        frontier = materialise(steps.distinct().join(reached, ["graph_id", "root", "node_id"], "left_anti"), "frontier")
         if frontier.isEmpty():
             return reached
         reached = reached.unionByName(frontier)
