@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,11 @@ def graph_stats(nodes: DataFrame, directed: DataFrame, undirected: DataFrame) ->
     return count(nodes, "node", "node_type").unionByName(count(directed, "directed", "edge_type")).unionByName(count(undirected, "undirected", "edge_type"))
 
 
+def even_mean(c: str) -> Column:
+    """The mean to six decimals, with halves up whatever the order in which the values were added."""
+    return F.floor(F.avg(c) * 1000000 + 0.500001) / 1000000
+
+
 def graph_health(nodes: DataFrame, directed: DataFrame, undirected: DataFrame, as_of: str) -> DataFrame:
     """One row for every graph: node and edge counts, orphans, weak, expired and enriched nodes, and means."""
     linked = linked_ids(directed, undirected).withColumn("linked", F.lit(True))
@@ -31,7 +36,7 @@ def graph_health(nodes: DataFrame, directed: DataFrame, undirected: DataFrame, a
         F.count(F.lit(1)).alias("n_nodes"), F.count_if(F.col("linked").isNull()).alias("n_orphans"), F.count_if(F.col("confidence") < 0.5).alias("n_weak"),
         F.count_if(F.col("valid_until") < stamped(as_of)).alias("n_expired"), F.count_if(enriched).alias("n_enriched"),
         F.count_if(~enriched & ~F.col("node_type").isin("document", "section")).alias("n_unenriched"),
-        F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.round(F.avg("access_count"), 6).alias("mean_accesses"),
+        even_mean("confidence").alias("mean_confidence"), even_mean("access_count").alias("mean_accesses"),
     )
     for name, edges in (("n_directed", directed), ("n_undirected", undirected)):
         health = health.join(edges.groupBy("graph_id").agg(F.count(F.lit(1)).alias(name)), "graph_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))

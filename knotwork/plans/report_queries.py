@@ -33,7 +33,7 @@ def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
     f"""WITH {NODES}, {DIRECTED}, {UNDIRECTED}, l AS (SELECT DISTINCT graph_id, node_id, true AS linked FROM ({ENDS_SQL}) WHERE node_id IS NOT NULL),
 h AS (SELECT graph_id, count(*) AS n_nodes, count(*) FILTER (linked IS NULL) AS n_orphans, count(*) FILTER (confidence < 0.5) AS n_weak, count(*) FILTER (valid_until < TIMESTAMP '{AS_OF}') AS n_expired,
  count(*) FILTER (metadata['synthesis'] IS NOT NULL) AS n_enriched, count(*) FILTER (metadata['synthesis'] IS NULL AND node_type NOT IN ('document', 'section')) AS n_unenriched,
- round(avg(confidence), 6) AS mean_confidence, round(avg(access_count), 6) AS mean_accesses FROM n LEFT JOIN l USING (graph_id, node_id) GROUP BY 1)
+ floor(avg(confidence) * 1000000 + 0.500001) / 1000000 AS mean_confidence, floor(avg(access_count) * 1000000 + 0.500001) / 1000000 AS mean_accesses FROM n LEFT JOIN l USING (graph_id, node_id) GROUP BY 1)
 SELECT h.*, coalesce(a.k, 0) AS n_directed, coalesce(b.k, 0) AS n_undirected FROM h LEFT JOIN (SELECT graph_id, count(*) AS k FROM d GROUP BY 1) a USING (graph_id) LEFT JOIN (SELECT graph_id, count(*) AS k FROM u GROUP BY 1) b USING (graph_id)"""
 )
 def graph_health(spark: SparkSession, sf: str) -> DataFrame:
