@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from knotwork.session import materialise
+
 
 def hot_keys(counts: DataFrame, total: int, share: int = 1000, floor: int = 50_000, n: str = "n") -> DataFrame:
     """The keys of a (key, n) table with more than 1/share of all rows and more than floor rows.
@@ -127,3 +129,16 @@ def join_apart(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFram
     x = left.join(hot, keys, "left").withColumn("_slice", F.explode(every)).drop("_hot")
     y = right.join(hot, keys, "left").withColumn("_slice", one).drop("_hot")
     return x.join(y, [*keys, "_slice"]).drop("_slice")
+
+
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """df with the place of every row in a total order, counted from 1, sorted in many tasks: a row's place in its sorted partition and the rows of the partitions before."""
+    placed = materialise(df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()), "sorted")
+    counts = sorted((r["p"], r["n"]) for r in placed.groupBy(F.shiftright("_id", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    offsets, before = [], 0
+    for p, n in counts:  # one row for each partition
+        offsets.append((p, before))
+        before += n
+    offsets = F.broadcast(df.sparkSession.createDataFrame(offsets, "_p long, _before long"))
+    at = F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1) + 1
+    return placed.withColumn("_p", F.shiftright("_id", 33)).join(offsets, "_p").withColumn(name, at).drop("_p", "_id", "_before")

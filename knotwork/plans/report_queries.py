@@ -10,6 +10,7 @@ from knotwork.operators import corrections as C
 from knotwork.operators import reflect as S
 from knotwork.operators import render as N
 from knotwork.operators import reports as H
+from knotwork.operators.spread import numbered
 from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, SQL, directed, graph_nodes, query, undirected
 from knotwork.plans.text_queries import CONTENT
 from knotwork.session import materialise, table
@@ -266,7 +267,5 @@ def access_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT graph_id, graph_name, updated_at, list_place FROM (SELECT graph_id, graph_name, updated_at, row_number() OVER (ORDER BY updated_at DESC NULLS LAST, graph_id) AS list_place FROM graphs)")
 def graph_list(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    graphs = table(spark, sf, "graphs")
-    return graphs.select("graph_id", "graph_name", "updated_at", F.row_number().over(Window.orderBy(F.desc_nulls_last("updated_at"), "graph_id")).alias("list_place"))
+    graphs = table(spark, sf, "graphs").select("graph_id", "graph_name", "updated_at")
+    return numbered(graphs, [F.desc_nulls_last("updated_at"), "graph_id"], "list_place")

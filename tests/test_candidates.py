@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from knotwork.operators import graph as G
 from knotwork.operators.reflect import contradictions, discoveries, inferred_edges, sharing_pairs
-from knotwork.operators.spread import join_sliced, met_in_blocks
+from knotwork.operators.spread import join_sliced, met_in_blocks, numbered
 
 NODE = "graph_id string, node_id string, node_type string, ord long, content string, entities array<string>"
 
@@ -83,3 +83,9 @@ def test_hot_middles_meet_in_slices(spark):
     assert inferred_edges(edges, most=2000).count() == 900
     left, right = edges.select("from_node", F.col("to_node").alias("k")), edges.select(F.col("from_node").alias("k"), "to_node")
     assert sorted(map(tuple, join_sliced(left, right, ["k"], 4, floor=10).collect())) == sorted(map(tuple, left.join(right, "k").collect()))
+
+
+def test_rows_are_numbered_over_all_partitions(spark):
+    df = spark.range(1000, numPartitions=7).select(((F.col("id") * 7919) % 1000).alias("k"))
+    assert [(r.k, r.n) for r in numbered(df, ["k"], "n").orderBy("k").collect()] == [(i, i + 1) for i in range(1000)]
+    assert numbered(df.limit(0), ["k"], "n").count() == 0
