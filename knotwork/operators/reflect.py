@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.functions.text import domain, edged, jaccard, six
+from knotwork.functions.text import domain, edged, jaccard, six, tokens
 from knotwork.operators.graph import content_only, needed_names
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
 from knotwork.operators.spread import join_sliced, met_in_blocks
@@ -70,10 +70,10 @@ def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.1
     if pairs.isEmpty():  # no term needs counting
         return pairs.toDF("graph_id", "node_a", "node_b", "n_shared")
     ends = pairs.select("graph_id", F.explode(F.array("a", "b")).alias("node_id")).distinct()
-    counts = materialise(term_counts(nodes.select("graph_id", "node_id", "content"), ["graph_id", "node_id"], "content"), "terms")
-    told = materialise(counts.join(ends, ["graph_id", "node_id"], "left_semi"), "told")
+    told = materialise(term_counts(nodes.join(ends, ["graph_id", "node_id"], "left_semi"), ["graph_id", "node_id"], "content"), "told")
     known = told.select("graph_id", "term").distinct()
-    idf = inverse_frequencies(counts.join(known, ["graph_id", "term"], "left_semi"), nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts")), ["graph_id"])
+    held = nodes.select("graph_id", F.explode(F.array_distinct(tokens(F.col("content")))).alias("term")).join(known, ["graph_id", "term"], "left_semi")
+    idf = inverse_frequencies(held, nodes.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts")), ["graph_id"])
     unit = unit_weights(told, idf, ["graph_id"], ["graph_id", "node_id"])
     x = pairs.join(unit.select("graph_id", F.col("node_id").alias("a"), "term", F.col("u").alias("ua")), ["graph_id", "a"])
     both = x.join(unit.select("graph_id", F.col("node_id").alias("b"), "term", F.col("u").alias("ub")), ["graph_id", "b", "term"])
