@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from knotwork.functions.text import domain, edged, jaccard, six, tokens
 from knotwork.operators.graph import content_only, needed_names
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
-from knotwork.operators.spread import join_sliced, met_in_blocks
+from knotwork.operators.spread import join_sliced, met_in_blocks, met_with_some
 from knotwork.session import materialise
 
 #: Names too general to compare claims by. Fixed values.
@@ -53,8 +53,9 @@ def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.1
     no number, not general) and two names of four letters or more, its names
     overlap by more than `overlap`, the cosine of its terms is below `likeness`,
     both texts have 80 characters, and one bears a sign of conflict. Pairs meet,
-    in blocks, over the rarest names that a node needs for that overlap, so that
-    no name is too frequent. Every pair comes once, the earlier node first. Null
+    in blocks, over the rarest names that a node needs for that overlap, those
+    with a sign of conflict with all others, so that no name is too frequent and
+    texts that agree do not meet. Every pair comes once, the earlier node first. Null
     contents and nodes without names give no pairs.
     """
     nodes = content_only(nodes).where((F.col("node_type") != "person") & (F.length("content") >= 50))
@@ -63,10 +64,12 @@ def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.1
     side = long.select("graph_id", "node_id", "ord", telling.alias("telling"), conflicting(F.col("content")).alias("odd"))
     item = needed_names(long, overlap - 1e-9).join(side, ["graph_id", "node_id", "ord"])
     item = item.select("graph_id", "name", "n", F.struct("ord", "node_id", "names", "telling", "odd").alias("item"))
-    met = met_in_blocks(item, ["graph_id", "name"], n="n").where((F.col("x.odd") | F.col("y.odd")) & F.arrays_overlap("x.telling", "y.telling"))
+    met = met_with_some(item.where("item.odd"), item, ["graph_id", "name"], n="n").where((F.col("x.node_id") != F.col("y.node_id")) & F.arrays_overlap("x.telling", "y.telling"))
     shared = F.size(F.filter(F.array_intersect("x.names", "y.names"), lambda e: F.length(e) >= 4))
     met = met.where((jaccard(F.col("x.names"), F.col("y.names")) > overlap) & (shared >= 2))
-    pairs = materialise(met.select("graph_id", F.col("x.node_id").alias("a"), F.col("y.node_id").alias("b"), shared.alias("n_shared")).distinct(), "pairs")
+    one, two = F.struct("x.ord", "x.node_id"), F.struct("y.ord", "y.node_id")
+    pairs = met.select("graph_id", F.least(one, two)["node_id"].alias("a"), F.greatest(one, two)["node_id"].alias("b"), shared.alias("n_shared"))
+    pairs = materialise(pairs.distinct(), "pairs")
     if pairs.isEmpty():  # no term needs counting
         return pairs.toDF("graph_id", "node_a", "node_b", "n_shared")
     ends = pairs.select("graph_id", F.explode(F.array("a", "b")).alias("node_id")).distinct()

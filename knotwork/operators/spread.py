@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -44,33 +44,32 @@ def join_checked(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFr
     return left.join(right, keys, how) if hot is None else join_spread(left, right, keys, hot, how)
 
 
-def slice_of(place: Column, low: Column, high: Column, n: Column, size: int) -> Column:
-    """Which of ceil(n / size) equal stretches of [low, high] a place lies in."""
-    pieces = F.ceil(n / F.lit(size))
-    width = (high - low + F.lit(1)).cast("double") / pieces
-    return F.coalesce(F.floor((place - low) / width), F.lit(0)).cast("long")
-
-
-def rank_in_slices(df: DataFrame, key: str, order: list, size: int = 50_000, total: int | None = None) -> DataFrame:
+def rank_in_slices(df: DataFrame, key: str, order: list, size: int = 50_000) -> DataFrame:
     """df with `local_no`, the row number within (key, slice), and `slice`.
 
-    The first column of order must be a long. A key of ordinary size is one
-    slice. A hot key is cut into stretches of its first order column, so that
-    no task gets the whole key; the number of a row in its key is local_no plus
-    the rows of the slices before, which the caller adds from the slice counts.
+    A key of ordinary size is one slice. The hot keys (see crowded) are cut into
+    ranges of about `size` rows by all columns of order, the bounds taken from
+    the rows themselves, so that neither bursts nor outlying places put a whole
+    key into one task; beyond 10,000 ranges the ranges grow. The number of a row
+    in its key is local_no plus the rows of the slices before, which the caller
+    adds from the slice counts.
     """
-    lead = order[0]
-    stats = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(lead).alias("low"), F.max(lead).alias("high"))
-    hot = hot_keys(stats, total if total is not None else df.count(), floor=size)
-    cut = slice_of(F.col(lead), F.col("low"), F.col("high"), F.col("n"), size)
-    sliced = df.join(F.broadcast(hot), key, "left").withColumn("slice", F.when(F.col("n").isNull(), F.lit(0)).otherwise(cut)).drop("n", "low", "high")
-    return sliced.withColumn("local_no", F.row_number().over(Window.partitionBy(key, "slice").orderBy(*order)))
+    within = F.row_number().over(Window.partitionBy(key, "slice").orderBy(*order))
+    hot = crowded(df, [key], size)
+    if hot is None:
+        return df.withColumn("slice", F.lit(0)).withColumn("local_no", within)
+    hot = F.broadcast(hot)
+    warm = df.join(hot, key, "left_semi")
+    ranges = min(10_000, -(-warm.count() // size) or 1)
+    warm = materialise(warm.repartitionByRange(ranges, key, *order).withColumn("slice", F.spark_partition_id()), "slices")
+    cold = df.join(hot, key, "left_anti").withColumn("slice", F.lit(0))
+    return cold.unionByName(warm).withColumn("local_no", within)
 
 
 def next_in_group(df: DataFrame, keys: list[str], order: list[str], item: str, ahead: int, floor: int = 50_000) -> DataFrame:
     """(keys, x, y, step): every item with the up to `ahead` items that follow it in its group.
 
-    order begins with a long column and ends in a unique one. Groups of ordinary
+    order ends in a unique column. Groups of ordinary
     size are read in one window; a group with more than floor rows and more than
     a thousandth of all is numbered in slices, and its items meet by number, so
     that no task reads it whole. Null keys form groups as other values do.
@@ -114,6 +113,17 @@ def met_in_blocks(df: DataFrame, keys: list[str], block: int = 500, n: str | Non
     return x.join(y, [*keys, "_lo", "_hi"]).where((F.col("x") < F.col("y")) & once).select(*keys, "x", "y")
 
 
+def met_with_some(some: DataFrame, df: DataFrame, keys: list[str], n: str, block: int = 500) -> DataFrame:
+    """(keys, x, y): every item x of some with every item y of df of its key, both tables (keys, item), met in the key's blocks of about `block` items of df.
+
+    n names a column of both with about the number of df's items of the key.
+    """
+    blocks = F.ceil(F.col(n) / block)
+    x = some.select(*keys, F.col("item").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("_b"))
+    y = df.select(*keys, F.col("item").alias("y"), F.pmod(F.xxhash64("item"), blocks).alias("_b"))
+    return x.join(y, [*keys, "_b"]).select(*keys, "x", "y")
+
+
 def join_sliced(left: DataFrame, right: DataFrame, keys: list[str], slices: int = 64, floor: int = 50_000) -> DataFrame:
     """left joined to right on keys, with the rows of right's hot keys dealt to `slices` tasks and left's rows of these keys sent to all of them."""
     return join_apart(left, right, keys, crowded(right, keys, floor), slices)

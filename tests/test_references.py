@@ -67,6 +67,16 @@ def test_hot_keys_join_and_ranks(spark):
     assert hot_rows.select("slice").distinct().count() > 5 and hot_rows.groupBy("slice").count().agg(F.max("count")).first()[0] <= 60
 
 
+def test_bursts_and_outlying_places_are_sliced_too(spark):
+    places = [0, 10**12] + [7_000_000] * 300 + list(range(7_000_001, 7_000_200))
+    rows = spark.createDataFrame([("hot", v, i) for i, v in enumerate(places)] + [("k", 1, 1), (None, None, 2)], "k string, v long, id long")
+    ranked = rank_in_slices(rows, "k", ["v", "id"], size=50).collect()
+    hot = sorted((r.slice, r.local_no, r.v, r.id) for r in ranked if r.k == "hot")
+    assert [r[2:] for r in hot] == sorted((v, i) for i, v in enumerate(places)) and len(ranked) == len(places) + 2
+    sizes = [sum(1 for r in hot if r[0] == s) for s in {r[0] for r in hot}]
+    assert len(sizes) > 5 and max(sizes) <= 100
+
+
 def test_next_in_hot_groups(spark):
     rows = spark.createDataFrame([("hot", None, i * 3, f"h{i:03}") for i in range(300)] + [(None, "s", 1, "a"), (None, "s", 2, "b"), ("k", None, 1, "c")], "k string, s string, ord long, id string")
     want = {(f"h{i:03}", f"h{i + j:03}", j) for i in range(300) for j in (1, 2) if i + j < 300} | {("a", "b", 1)}
