@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,13 +24,14 @@ CONFLICTS = [
     r"(?<![A-Za-z0-9_])not\s+(?:a|an|the)\s", edged("no longer"), edged(r"was\s+(?:not|never)"), edged(r"replaced\s+by"), edged(r"contrary\s+to"), edged(r"is\s+(?:incorrect|wrong|false|inaccurate)"),
     edged(r"was\s+(?:incorrect|wrong|false|inaccurate)"), edged("reclassified"), edged("disputed"), edged("disproven"),
 ]
+FIRST = "cdinrw"  # the letters with which the signs begin
 #: Edge types along which an inference may go. Fixed values.
 TRANSITIVE = ["causes", "depends-on", "supports"]
 
 
 def conflicting(text: Column) -> Column:
-    low = F.lower(text)
-    return reduce(lambda a, b: a | b, [low.rlike(p) for p in CONFLICTS])
+    """Whether a text bears a sign of conflict, by one scan for all signs; places where none begins are passed over by their first letter."""
+    return F.lower(text).rlike(rf"(?=[{FIRST}])(?:{'|'.join(CONFLICTS)})")
 
 
 def sharing_pairs(nodes: DataFrame, least: float) -> DataFrame:
@@ -63,7 +62,7 @@ def contradictions(nodes: DataFrame, overlap: float = 0.6, likeness: float = 0.1
     telling = F.filter(F.array_distinct("entities"), lambda e: (F.length(e) >= 4) & ~e.rlike("^[0-9]+$") & ~F.lower(e).isin(GENERIC))
     side = long.select("graph_id", "node_id", "ord", telling.alias("telling"), conflicting(F.col("content")).alias("odd"))
     item = needed_names(long, overlap - 1e-9).join(side, ["graph_id", "node_id", "ord"])
-    item = item.select("graph_id", "name", "n", F.struct("ord", "node_id", "names", "telling", "odd").alias("item"))
+    item = materialise(item.select("graph_id", "name", "n", F.struct("ord", "node_id", "names", "telling", "odd").alias("item")), "named")
     met = met_with_some(item.where("item.odd"), item, ["graph_id", "name"], n="n").where((F.col("x.node_id") != F.col("y.node_id")) & F.arrays_overlap("x.telling", "y.telling"))
     shared = F.size(F.filter(F.array_intersect("x.names", "y.names"), lambda e: F.length(e) >= 4))
     met = met.where((jaccard(F.col("x.names"), F.col("y.names")) > overlap) & (shared >= 2))
