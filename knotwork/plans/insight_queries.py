@@ -22,8 +22,8 @@ CONFLICT_SQL = """regexp_matches(lower({0}), '\\bnot\\s+(?:a|an|the)\\s|\\bno lo
 LOWER_SQL = "list_distinct(list_transform({0}, lambda q: lower(q)))"
 
 
-@query(
-    f"""WITH {NODES}, {CONTENT}, k AS (SELECT * FROM t WHERE node_type <> 'person' AND length(content) >= 50),
+def contradiction_sql(overlap: float, likeness: float) -> str:
+    return f"""WITH {NODES}, {CONTENT}, k AS (SELECT * FROM t WHERE node_type <> 'person' AND length(content) >= 50),
 e AS (SELECT DISTINCT graph_id, node_id, ord, unnest(entities) AS name FROM k),
 f AS (SELECT * FROM e WHERE length(name) >= 4 AND NOT regexp_full_match(name, '[0-9]+') AND lower(name) NOT IN ({', '.join(f"'{w}'" for w in S.GENERIC)})),
 l AS (SELECT DISTINCT graph_id, CASE WHEN (x.ord, x.node_id) < (y.ord, y.node_id) THEN x.node_id ELSE y.node_id END AS a, CASE WHEN (x.ord, x.node_id) < (y.ord, y.node_id) THEN y.node_id ELSE x.node_id END AS b FROM f x JOIN f y USING (graph_id, name) WHERE x.node_id < y.node_id),
@@ -35,12 +35,20 @@ c AS ({counts_sql('k', 'graph_id, node_id', 'content')}), z AS (SELECT graph_id,
 i AS (SELECT graph_id, term, ln((any_value(n_texts) + 1) / (count(*) + 1)) + 1 AS idf FROM c JOIN z USING (graph_id) GROUP BY 1, 2),
 v AS (SELECT graph_id, node_id, term, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY graph_id, node_id)) AS u FROM (SELECT *, freq / max(freq) OVER (PARTITION BY graph_id, node_id) AS tf FROM c) JOIN i USING (graph_id, term)),
 s AS (SELECT p.graph_id, a, b, round(sum(x.u * y.u), 6) AS cosine FROM p JOIN v x ON x.graph_id = p.graph_id AND x.node_id = a JOIN v y ON y.graph_id = p.graph_id AND y.node_id = b AND y.term = x.term GROUP BY 1, 2, 3)
-SELECT p.graph_id, p.a AS node_a, p.b AS node_b, n_shared FROM p LEFT JOIN s ON s.graph_id = p.graph_id AND s.a = p.a AND s.b = p.b WHERE n_shared >= 2 AND o > 0.6 AND coalesce(cosine, 0) < 0.15"""
-)
+SELECT p.graph_id, p.a AS node_a, p.b AS node_b, n_shared FROM p LEFT JOIN s ON s.graph_id = p.graph_id AND s.a = p.a AND s.b = p.b WHERE n_shared >= 2 AND o > {overlap} AND coalesce(cosine, 0) < {likeness}"""
+
+
+@query(contradiction_sql(0.6, 0.15))
 def contradiction_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return S.contradictions(graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "ord", "content", "entities"))
 
 
+@query(contradiction_sql(0.0, 2.0))
+def contradiction_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The same without bounds on overlap and likeness: all pairs with two names in common of which one disagrees, for a person to look at."""
+    return S.contradictions(graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "ord", "content", "entities"), 0.0, 2.0)
+
+
 @query(
     f"""WITH {NODES}, {CONTENT}, {UNDIRECTED}, r AS (SELECT graph_id, node_id, entities, split_part(source.file, ':', 1) AS dom FROM t),
 e AS (SELECT graph_id, node_id, dom, unnest({LOWER_SQL.format('entities')}) AS name FROM r),
