@@ -89,3 +89,23 @@ def test_rows_are_numbered_over_all_partitions(spark):
     df = spark.range(1000, numPartitions=7).select(((F.col("id") * 7919) % 1000).alias("k"))
     assert [(r.k, r.n) for r in numbered(df, ["k"], "n").orderBy("k").collect()] == [(i, i + 1) for i in range(1000)]
     assert numbered(df.limit(0), ["k"], "n").count() == 0
+
+
+def test_links_cite_titles_of_their_graph(spark):
+    rows = [
+        ("g", "d", "document", 1, "Deep_sea Rovers"), ("g", "d2", "section", 2, "deep_sea rovers"), ("h", "e", "document", 1, "Other"), ("g", "s", "section", 3, "Tide table"),
+        ("g", "a", "fact", 4, "see [[tide_TABLE]] and [[Tide table]]"), ("g", "b", "fact", 5, "a [map](tide_table) of [[Other]]"), ("g", "c", None, 6, None), ("g", "f", "fact", 7, ""),
+    ]
+    nodes = spark.createDataFrame(rows, "graph_id string, node_id string, node_type string, ord long, content string")
+    assert {tuple(r) for r in G.cites_edges(nodes).collect()} == {("g", "a", "s", "cites", 0.7), ("g", "b", "s", "cites", 0.7)}
+    assert G.cites_edges(nodes.limit(0)).count() == 0
+
+
+def test_definitions_lead_to_texts_that_use_the_term(spark):
+    rows = [
+        ("g", "x", "definition", "Tide gauge is defined as a tool"), ("g", "a", "fact", "The TIDE GAUGE broke"), ("g", "b", "fact", "tide and gauge apart"), ("g", "c", "fact", "tide gauges"),
+        ("h", "d", "fact", "a tide gauge elsewhere"), ("g", "e", "fact", None), ("g", "y", "definition", None), ("g", "z", "definition", "no sign of a term"),
+    ]
+    nodes = spark.createDataFrame(rows, "graph_id string, node_id string, node_type string, content string")
+    assert {tuple(r) for r in G.defines_edges(nodes).collect()} == {("g", "x", "a", "defines", 0.6)}
+    assert G.defines_edges(nodes.limit(0)).count() == 0
