@@ -50,6 +50,8 @@ COMPANY = {
 #: Titles before a name, and words between the parts of a name. Fixed values.
 TITLES = {"mr", "ms", "mrs", "miss", "dr", "prof", "professor", "sir"}
 FILLERS = {"the", "of", "for", "and", "&"}
+#: Of the hashes of words without a letter. Fixed values.
+PRIME, BASE = (1 << 61) - 1, 1_000_003
 
 SHORT: dict[str, list[str]] = {}
 for full, shorts in GIVEN.items():
@@ -60,9 +62,38 @@ LEGAL_OF = {word: full for full, shorts in LEGAL.items() for word in [full, *sho
 COMPANY_OF = {word: full for full, shorts in COMPANY.items() for word in [full, *shorts.split()]}
 
 
+def spoken(word: str) -> bool:
+    """Whether a word may hold a slip: it has five letters or more, and no digit or back quote."""
+    return len(word) >= 5 and not re.search(r"\d|`", word)
+
+
 def deletions(word: str) -> set[str]:
-    """The word, and if it has five letters or more, also without any one of them."""
-    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if len(word) >= 5 else set())
+    """The word, and if it may hold a slip, also without any one of its letters."""
+    return {word} | ({word[:i] + word[i + 1 :] for i in range(len(word))} if spoken(word) else set())
+
+
+def deletion_codes(word: str) -> list[int]:
+    """deletions() as hashes, in time in proportion to the length of the word."""
+    at = [0]
+    for c in word:
+        at.append((at[-1] * BASE + ord(c)) % PRIME)
+    if not spoken(word):
+        return at[-1:]
+    codes, power = at[-1:], 1
+    for i in range(len(word) - 1, -1, -1):
+        # the letters before i move up by one place
+        codes.append((at[-1] - at[i + 1] * power + at[i] * power) % PRIME)
+        power = power * BASE % PRIME
+    return codes
+
+
+def slip_codes(kind: str, words: list[str], ordered: bool = False) -> list[int]:
+    """Hashes of the words, and of them with one letter of one of them left out, in time in proportion to their length; equal for any order of the words unless ordered."""
+    from xxhash import xxh3_64_intdigest
+
+    each = [[xxh3_64_intdigest(f"{i if ordered else ''} {c}") for c in deletion_codes(w)] for i, w in enumerate(words)]
+    whole = sum(codes[0] for codes in each)
+    return [xxh3_64_intdigest(f"{kind} {(whole - codes[0] + c) % (1 << 64)}") for codes in each for c in codes]
 
 
 NEAR_GIVEN: dict[str, set[str]] = {}
@@ -107,7 +138,8 @@ def organisation(text: str) -> dict | None:
         return None
     form = LEGAL_OF.get(legal.rstrip(".")) or meant(legal, LEGAL, NEAR_LEGAL)[0]
     if len(rest) == 1:
-        return {"key": f"o {rest[0]} {form}", "exact": [f"s {rest[0]} {form}"], "near": [f"s {d} {form}" for d in deletions(rest[0])], "full": False}
+        kind = "w" if form in COMPANY and legal is parts[-1] else "o"  # as company() has it
+        return {"key": f"{kind} {rest[0]} {form}", "exact": [f"s {rest[0]} {form}"], "near": [f"s {d} {form}" for d in deletions(rest[0])], "full": False}
     cut = [w for w in rest if w.endswith(".") and len(w) >= 4]
     if len(cut) == 1 and len(rest) == 2:
         other = next(w for w in rest if w is not cut[0])
@@ -133,29 +165,24 @@ def company(text: str) -> dict | None:
     if form is None:
         return None
     rest = [w.rstrip(".") for w in words[:-1]]
-    slips = [" ".join(["b", *rest[:i], d, *rest[i + 1 :], form]) for i in range(len(rest)) for d in deletions(rest[i])]
-    return {"key": " ".join(["w", *rest, form]), "exact": [], "near": [], "full": True, "slips": slips, "open": True}
+    return {"key": " ".join(["w", *rest, form]), "exact": [], "near": [], "full": True, "slips": slip_codes(f"b {form}", rest, ordered=True), "open": True}
 
 
-def anyone(text: str) -> dict | None:
-    """Reads any other name of two to six words, of which nothing is known: as organisation().
+def anyone(text: str) -> dict:
+    """Reads any other name, of which nothing is known: as organisation().
 
     Its key is its words in alphabetical order, without titles, fillers and
     initials in the middle; others may write the first word of two as an initial.
     """
     head, comma, tail = text.partition(",")
     words = [w for w in re.split(r"[\s,]+", f"{tail} {head}" if comma else text) if w and w.rstrip(".") not in TITLES | FILLERS]
-    words = [w for i, w in enumerate(words) if not (0 < i < len(words) - 1 and len(w.rstrip(".")) == 1)]
-    words = [w.rstrip(".") if len(w) > 3 else w for w in words]
-    if not 2 <= len(words) <= 6 or min(map(len, words)) < 2:
-        return None
+    words = [w for i, w in enumerate(words) if not (0 < i < len(words) - 1 and len(w.rstrip(".")) == 1 and w[0].isalpha())]
+    words = [w.rstrip(".") if len(w) > 3 else w for w in words] or text.split()
     exact, near = [], []
-    if len(words) == 2:
+    if len(words) == 2 and min(map(len, words)) >= 2 and not re.search(r"\d|`", text):
         exact = [f"i {words[0][0]} {words[1]}"]
         near = [f"i {words[0][0]} {d}" for d in deletions(words[1])]
-    key = sorted(words)
-    slips = [" ".join(["v", *sorted([*key[:i], d, *key[i + 1 :]])]) for i in range(len(key)) for d in deletions(key[i])]
-    return {"key": " ".join(["w", *key]), "exact": exact, "near": near, "full": True, "slips": slips, "open": True}
+    return {"key": " ".join(["w", *sorted(words)]), "exact": exact, "near": near, "full": True, "slips": slip_codes("v", words), "open": True}
 
 
 def acronym(text: str) -> dict | None:
@@ -201,22 +228,26 @@ def person(text: str) -> dict | None:
 
 
 def readings(names: DataFrame) -> DataFrame:
-    """(name, key, full, open, exact, near, slips) of every name of two words and more; open are those of which no given name or form of organisation is known."""
+    """(name, key, full, open, exact, near, slips) of every name that is not blank; open are those of which no given name or form of organisation is known.
+
+    Names with digits or back quotes are never a person's.
+    """
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_64_intdigest
 
-        def code(forms: list[str]) -> list[int]:
-            return [xxh3_64_intdigest(f) - (1 << 63) for f in dict.fromkeys(forms)]
+        def code(forms: list[str | int]) -> list[int]:
+            return [(f if isinstance(f, int) else xxh3_64_intdigest(f)) - (1 << 63) for f in dict.fromkeys(forms)]
 
         for batch in batches:
             rows = []
             for name in batch["name"]:
                 text = plain(name)
-                if re.search(r"\d|`", text):
+                if not text:
                     continue
-                if r := organisation(text) or person(text) or acronym(text) or company(text) or anyone(text):
-                    rows.append((name, r["key"], r["full"], r.get("open", False), code(r["exact"]), code(r["near"]), code(r.get("slips", []))))
+                marked = re.search(r"\d|`", text)
+                r = organisation(text) or (not marked and (person(text) or acronym(text))) or company(text) or anyone(text)
+                rows.append((name, r["key"], r["full"], r.get("open", False), code(r["exact"]), code(r["near"]), code(r.get("slips", []))))
             yield pd.DataFrame(rows, columns=["name", "key", "full", "open", "exact", "near", "slips"])
 
     ship(names.sparkSession)
@@ -291,7 +322,7 @@ def true_words(held: DataFrame) -> DataFrame:
 
 
 def link_names(names: DataFrame, name: str = "name", least_score: float = 0.5) -> DataFrame:
-    """(name, entity, score): every spelling of a name of two words and more with the entity that it names.
+    """(name, entity, score): every spelling of a name with the entity that it names.
 
     names holds one row per occurrence. Each distinct spelling is rewritten by
     rules for case, accents, titles, middle initials, token order, fillers and
@@ -299,9 +330,10 @@ def link_names(names: DataFrame, name: str = "name", least_score: float = 0.5) -
     given name shortened or as an initial, field left out, cut or drawn into
     an acronym, and all of these with one letter missing. Forms are exploded and
     equi-joined. Known given names and forms of organisations add rewritings;
-    names without them are open: they meet by case, accents, order, titles and
-    middle initials, by an initial if no known name has it, and by one slip if
-    the other key has two spellings and more of them.
+    names without them, of any number of words, are open: they meet by case,
+    accents, order, titles and middle initials, by an initial if no known name
+    has it, and by one slip if the other key has two spellings and more of them.
+    A word with a digit or a back quote has no slips.
 
     score says how surely the spelling names the entity: 1 for a key of its own;
     for a slip the share of spellings that the better supported key has; for a
@@ -311,8 +343,8 @@ def link_names(names: DataFrame, name: str = "name", least_score: float = 0.5) -
     their equals.
 
     Only distinct spellings are joined, so frequent names cost no more than
-    rare ones, and forms meet grouped entities instead of each other. Names of
-    one word, with digits or back quotes, nulls and empty strings give no rows.
+    rare ones, and forms meet grouped entities instead of each other. Nulls and
+    blank strings give no rows.
     """
     counts = names.select(F.col(name).alias("name")).where(F.col("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
     counts = materialise(counts, "spellings")

@@ -60,6 +60,26 @@ def test_names_outside_the_tables(spark):
     assert score["Giulia Rossi"] == 1.0 and 0.5 < score["Giulia Rosssi"] < 1.0
 
 
+def test_names_of_one_word_many_words_and_with_digits(spark):
+    long = "Vereinigte Nordische Handels und Schifffahrts Compagnie von Valimurix Sued"
+    groups = [
+        ["Vorkowest", "VORKOWEST", "Vórkowest", "Vorkwoest"], ["Vorkovest"], [long, long.upper(), long.replace("Nordische", "Nordishce")], ["Studio 54", "STUDIO 54"], ["Studio 55"], ["Model 12345 Works", "MODEL 12345 WORKS"], ["Model 12346 Works"],
+        ["Area 51 Museum", "Museum of Area 51", "AREA 51 MUSEUM"], ["Area 52 Museum"], ["3M Company", "3M Co"], ["`Sort_Tower`", "`sort_tower`"], ["1959"], ["1960"], ["X Y", "x y"], ["The", "THE"], ["Boeing 7 Series"], ["Boeing 8 Series"],
+    ]
+    groups[0] += groups.pop(1)  # one slip from a name with three spellings
+    df = spark.createDataFrame([(x,) for g in groups for x in g] + [(" ",), (None,)], "name string")
+    linked = N.link_names(df)
+    assert linked.count() == sum(map(len, groups))
+    assert {tuple(r) for r in N.spelling_pairs(linked).collect()} == {tuple(sorted(p)) for g in groups for p in combinations(g, 2)}
+
+
+def test_slip_codes_of_long_words_are_those_of_their_deletions():
+    for word in ("vardrethal", "abc", "room5", "aabbccdd"):
+        assert set(N.deletion_codes(word)) == {N.deletion_codes(d)[0] for d in N.deletions(word)}
+    assert set(N.slip_codes("v", ["vardrethal", "ken"])) == set(N.slip_codes("v", ["ken", "vardrethal"])) != set(N.slip_codes("v", ["ken", "vardrethal"], ordered=True))
+    assert len(N.slip_codes("v", ["".join(chr(97 + i * i % 23) for i in range(100_000))])) == 100_001
+
+
 def test_scores_of_short_forms(spark):
     df = spark.createDataFrame([("Kenneth Vardrethal",), ("Katherine Vardrethal",), ("Karl Vardrethal",), ("K. Vardrethal",), ("Kath. Vardrethal",)], "name string")
     got = {r.name: (r.entity, r.score) for r in N.link_names(df).collect()}
