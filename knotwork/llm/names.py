@@ -228,7 +228,7 @@ def person(text: str) -> dict | None:
 
 
 def readings(names: DataFrame) -> DataFrame:
-    """(name, key, full, open, exact, near, slips) of every name that is not blank; open are those of which no given name or form of organisation is known.
+    """(name, rows, key, full, open, exact, near, slips) of every name (name, rows) that is not blank; open are those of which no given name or form of organisation is known.
 
     Names with digits or back quotes are never a person's.
     """
@@ -240,18 +240,24 @@ def readings(names: DataFrame) -> DataFrame:
             return [(f if isinstance(f, int) else xxh3_64_intdigest(f)) - (1 << 63) for f in dict.fromkeys(forms)]
 
         for batch in batches:
-            rows = []
-            for name in batch["name"]:
-                text = plain(name)
-                if not text:
-                    continue
-                marked = re.search(r"\d|`", text)
-                r = organisation(text) or (not marked and (person(text) or acronym(text))) or company(text) or anyone(text)
-                rows.append((name, r["key"], r["full"], r.get("open", False), code(r["exact"]), code(r["near"]), code(r.get("slips", []))))
-            yield pd.DataFrame(rows, columns=["name", "key", "full", "open", "exact", "near", "slips"])
+            for start in range(0, len(batch), 1000):  # a name has some hundred forms
+                part, rows = batch.iloc[start : start + 1000], []
+                for name, n in zip(part["name"], part["rows"]):
+                    text = plain(name)
+                    if not text:
+                        continue
+                    marked = re.search(r"\d|`", text)
+                    r = organisation(text) or (not marked and (person(text) or acronym(text))) or company(text) or anyone(text)
+                    rows.append((name, n, r["key"], r["full"], r.get("open", False), code(r["exact"]), code(r["near"]), code(r.get("slips", []))))
+                yield pd.DataFrame(rows, columns=["name", "rows", "key", "full", "open", "exact", "near", "slips"])
 
     ship(names.sparkSession)
-    return names.select("name").mapInPandas(work, "name string, key string, full boolean, open boolean, exact array<long>, near array<long>, slips array<long>")
+    return names.select("name", "rows").mapInPandas(work, "name string, rows long, key string, full boolean, open boolean, exact array<long>, near array<long>, slips array<long>")
+
+
+def meet(left: DataFrame, right: DataFrame, on: str | list[str] | Column, how: str = "inner") -> DataFrame:
+    """left joined to right by sorting both: Spark takes an exploded array for one value, and would broadcast tables many times as large as it believes."""
+    return left.join(right.hint("merge"), on, how)
 
 
 def one_slip(a: Column, b: Column) -> Column:
@@ -264,7 +270,7 @@ def one_slip(a: Column, b: Column) -> Column:
 def better_keys(forms: DataFrame, allowed: Column) -> DataFrame:
     """(key, rank, best): for keys (key, rank, form) every better ranked key (rank holds its key) that shares a form and is one slip away."""
     better = forms.select("form", F.col("rank").alias("best"))
-    return forms.join(better, "form").where((F.col("best") > F.col("rank")) & allowed & one_slip(F.col("key"), F.col("best.key"))).select("key", "rank", "best").distinct()
+    return meet(forms, better, "form").where((F.col("best") > F.col("rank")) & allowed & one_slip(F.col("key"), F.col("best.key"))).select("key", "rank", "best").distinct()
 
 
 def open_keys(keys: DataFrame) -> DataFrame:
@@ -273,8 +279,8 @@ def open_keys(keys: DataFrame) -> DataFrame:
     found = better_keys(forms, (F.col("best.support") >= 2) & (F.col("best.support") > F.col("rank.support")))
     up = materialise(found.groupBy("key").agg(F.max("best").alias("best"), F.max("rank.support").alias("support")), "open-slips")
     score = (F.col("best.support") + 1) / (F.col("best.support") + F.col("support") + 1)
-    up = up.join(up.select(F.col("key").alias("mid")), F.col("best.key") == F.col("mid"), "left_anti").select("key", F.col("best.key").alias("entity"), score.alias("score"))
-    return keys.select("key").join(up, "key", "left").select("key", F.coalesce("entity", "key").alias("entity"), F.coalesce("score", F.lit(1.0)).alias("score"))
+    up = meet(up, up.select(F.col("key").alias("mid")), F.col("best.key") == F.col("mid"), "left_anti").select("key", F.col("best.key").alias("entity"), score.alias("score"))
+    return meet(keys.select("key"), up, "key", "left").select("key", F.coalesce("entity", "key").alias("entity"), F.coalesce("score", F.lit(1.0)).alias("score"))
 
 
 def true_keys(keys: DataFrame) -> DataFrame:
@@ -287,8 +293,8 @@ def true_keys(keys: DataFrame) -> DataFrame:
     parts = lambda c: F.split(c, " ")
     each = keys.select("key", F.explode(F.array_distinct(parts("key"))).alias("word")).where(~F.col("word").isin(*GIVEN, *LEGAL, "o", "p"))
     held = materialise(each.groupBy("word").agg(F.count(F.lit(1)).alias("n")), "words")
-    shared = each.join(held, "word").groupBy("key").agg(F.min("n").alias("shared"))
-    keys = materialise(keys.join(shared, "key", "left"), "ranked")
+    shared = meet(each, held, "word").groupBy("key").agg(F.min("n").alias("shared"))
+    keys = materialise(meet(keys, shared, "key", "left"), "ranked")
     rank = F.struct(F.coalesce("shared", F.lit(0)).alias("shared"), "support", "rows", "key")
     forms = keys.select("key", rank.alias("rank"), F.explode("slips").alias("form"))
     found = better_keys(forms, (F.col("rank.support") <= 2) | (3 * F.col("rank.support") <= F.col("best.support")))
@@ -296,16 +302,16 @@ def true_keys(keys: DataFrame) -> DataFrame:
     score = (F.col("best.support") + 1) / (F.col("best.support") + F.col("rank.support") + 1)
     found = materialise(found.select("key", "best", score.alias("score"), differs("key", "best.key").alias("word"), differs("best.key", "key").alias("meant")), "found")
     slipped = found.groupBy("word", "meant").agg(F.count_distinct("key").alias("n"))
-    rare = slipped.join(held, ["word", "n"]).select("word", "meant")
-    up = found.join(rare, ["word", "meant"]).groupBy("key").agg(F.max(F.struct("best", "score")).alias("b")).select("key", F.col("b.best.key").alias("up"), "b.score")
+    rare = meet(slipped, held, ["word", "n"]).select("word", "meant")
+    up = meet(found, rare, ["word", "meant"]).groupBy("key").agg(F.max(F.struct("best", "score")).alias("b")).select("key", F.col("b.best.key").alias("up"), "b.score")
     up = materialise(up, "slips")
     further = up.select(F.col("key").alias("up"), F.col("up").alias("up2"))
-    up = up.join(further, "up", "left").select("key", F.coalesce("up2", "up").alias("up"), "score")
-    spelt = keys.select("key").join(up, "key", "left_anti").join(each, "key").join(true_words(held), "word")
+    up = meet(up, further, "up", "left").select("key", F.coalesce("up2", "up").alias("up"), "score")
+    spelt = meet(meet(meet(keys.select("key"), up, "key", "left_anti"), each, "key"), true_words(held), "word")
     spelt = spelt.groupBy("key").agg(F.max(F.struct("word", "meant")).alias("w")).select("key", F.replace("key", "w.word", "w.meant").alias("spelt"))
-    spelt = spelt.join(keys.select(F.col("key").alias("spelt")), "spelt", "left_anti")
-    roots = keys.join(up, "key", "left").select("key", F.coalesce("up", "key").alias("root"), F.coalesce("score", F.lit(1.0)).alias("score"))
-    return roots.join(spelt.withColumnRenamed("key", "root"), "root", "left").select("key", F.coalesce("spelt", "root").alias("entity"), "score")
+    spelt = meet(spelt, keys.select(F.col("key").alias("spelt")), "spelt", "left_anti")
+    roots = meet(keys, up, "key", "left").select("key", F.coalesce("up", "key").alias("root"), F.coalesce("score", F.lit(1.0)).alias("score"))
+    return meet(roots, spelt.withColumnRenamed("key", "root"), "root", "left").select("key", F.coalesce("spelt", "root").alias("entity"), "score")
 
 
 def true_words(held: DataFrame) -> DataFrame:
@@ -317,7 +323,7 @@ def true_words(held: DataFrame) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(1), F.length("word")), lambda i: F.concat(F.substring(F.col("word"), F.lit(1), i - 1), F.substring(F.col("word"), i + 1, F.length("word"))))
     forms = held.where(F.length("word") >= 5).select("word", "n", F.explode(F.array_distinct(F.concat(F.array("word"), cut))).alias("form"))
     best = forms.groupBy("form").agg(F.max(F.struct("n", "word")).alias("best")).where("best.n > 1")
-    found = forms.where("n = 1").join(best, "form").where(one_slip(F.col("word"), F.col("best.word")))
+    found = meet(forms.where("n = 1"), best, "form").where(one_slip(F.col("word"), F.col("best.word")))
     return found.groupBy("word").agg(F.max("best").alias("best")).select("word", F.col("best.word").alias("meant"))
 
 
@@ -348,19 +354,19 @@ def link_names(names: DataFrame, name: str = "name", least_score: float = 0.5) -
     """
     counts = names.select(F.col(name).alias("name")).where(F.col("name") != "").groupBy("name").agg(F.count(F.lit(1)).alias("rows"))
     counts = materialise(counts, "spellings")
-    read = materialise(readings(counts).join(counts, "name"), "readings")
+    read = materialise(readings(counts), "readings")
     by_key = read.where("full").groupBy("key", "open").agg(F.count(F.lit(1)).alias("support"), F.sum("rows").alias("rows"), *[F.first(c).alias(c) for c in ("exact", "near", "slips")])
     by_key = materialise(by_key, "keys")
     entity = materialise(true_keys(by_key.where("not open")).unionByName(open_keys(by_key.where("open"))), "entities")
 
-    owners = materialise(by_key.join(entity, "key").select("open", "entity", "exact", "near"), "owners")
+    owners = materialise(meet(by_key, entity, "key").select("open", "entity", "exact", "near"), "owners")
     shorts = materialise(read.where("not full").groupBy("key").agg(*[F.first(c).alias(c) for c in ("exact", "near")]), "shorts")
 
     def reached(forms: str, open_names: bool) -> DataFrame:
         """(key, n, entity): how many entities a short key's forms lead to at least, and which one if there is only one."""
         owned = owners.where(F.col("open") == open_names).select("entity", F.explode(forms).alias("form"))
         owned = owned.groupBy("form").agg(F.min("entity").alias("low"), F.max("entity").alias("high"), F.count_distinct("entity").alias("n"))
-        met = shorts.select("key", F.explode(forms).alias("form")).join(owned, "form").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("n"))
+        met = meet(shorts.select("key", F.explode(forms).alias("form")), owned, "form").groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("n").alias("n"))
         several = F.greatest(F.col("n"), F.lit(2))
         return met.select("key", F.when(F.col("low") == F.col("high"), F.lit(1)).otherwise(several).alias("n"), F.col("low").alias("entity"))
 
@@ -371,13 +377,13 @@ def link_names(names: DataFrame, name: str = "name", least_score: float = 0.5) -
     chosen = met.groupBy("key").agg(F.min_by(F.struct("n", "entity"), "place").alias("c")).select("key", F.col("c.entity").alias("meant"), (1 / F.col("c.n")).alias("rarity"))
     own = entity.select("key", F.col("entity").alias("own"))
     linked = F.col("rarity") > least_score
-    full = read.where("full").select("name", "key").join(entity, "key").select("name", "entity", "score")
-    short = read.where("not full").select("name", "key").join(chosen, "key", "left").join(own, "key", "left")
+    full = meet(read.where("full").select("name", "key"), entity, "key").select("name", "entity", "score")
+    short = meet(meet(read.where("not full").select("name", "key"), chosen, "key", "left"), own, "key", "left")
     short = short.select("name", F.when(linked, F.col("meant")).otherwise(F.coalesce("own", "key")).alias("entity"), F.coalesce("rarity", F.lit(1.0)).alias("score"))
     return full.unionByName(short)
 
 
 def spelling_pairs(linked: DataFrame) -> DataFrame:
     """(name_a, name_b) of every two different spellings of one entity, in code-point order."""
-    met = met_in_blocks(materialise(linked.select("entity", F.col("name").alias("item")).distinct(), "linked"), ["entity"])
+    met = met_in_blocks(materialise(linked.select("entity", F.col("name").alias("item")).distinct(), "linked"), ["entity"], hint="merge")
     return met.select(F.col("x").alias("name_a"), F.col("y").alias("name_b"))

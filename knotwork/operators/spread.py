@@ -98,19 +98,20 @@ def next_in_group(df: DataFrame, keys: list[str], order: list[str], item: str, a
     return cold.unionByName(numbered.select("_key", *keys, F.col(item).alias("x"), "_no").join(y, ["_key", "_no"]).select(*keys, "x", "y", "step"))
 
 
-def met_in_blocks(df: DataFrame, keys: list[str], block: int = 500, n: str | None = None) -> DataFrame:
+def met_in_blocks(df: DataFrame, keys: list[str], block: int = 500, n: str | None = None, hint: str | None = None) -> DataFrame:
     """(keys, x, y): every two items x < y of a key in a table (keys, item), met in one of the key's pairs of blocks of about `block` items.
 
-    n names a column with about the number of items of the key; without it they are counted.
+    n names a column with about the number of items of the key; without it they are counted. hint is how Spark is to join, as in DataFrame.hint.
     """
+    hinted = lambda right: right.hint(hint) if hint else right
     if n is None:
-        df = df.join(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), keys)
+        df = df.join(hinted(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))), keys)
     placed = df.withColumn("_blocks", F.ceil(F.col(n or "_n") / block)).withColumn("_i", F.pmod(F.xxhash64("item"), "_blocks"))
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
     met = placed.withColumn("_j", others).select(*keys, F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", "item")
     x, y = met.select(*keys, "_lo", "_hi", "_i", F.col("item").alias("x")), met.select(*keys, "_lo", "_hi", F.col("_i").alias("_k"), F.col("item").alias("y"))
     once = (F.col("_i") != F.col("_k")) | (F.col("_lo") == F.col("_hi"))
-    return x.join(y, [*keys, "_lo", "_hi"]).where((F.col("x") < F.col("y")) & once).select(*keys, "x", "y")
+    return x.join(hinted(y), [*keys, "_lo", "_hi"]).where((F.col("x") < F.col("y")) & once).select(*keys, "x", "y")
 
 
 def met_with_some(some: DataFrame, df: DataFrame, keys: list[str], n: str, block: int = 500) -> DataFrame:

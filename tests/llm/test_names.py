@@ -100,3 +100,17 @@ def test_held_out_names_in_plain_measure(spark):
     got = {tuple(r) for r in N.spelling_pairs(N.link_names(spark.createDataFrame([(n,) for n in owner], "name string"))).collect()}
     want = {tuple(sorted(c)) for names in spelt.values() for c in combinations(names, 2)}
     assert len(got & want) >= 0.95 * len(want) and len(got & want) >= 0.95 * len(got)
+
+
+def test_nothing_is_broadcast_for_its_believed_size(spark, monkeypatch):
+    plans, write = [], N.materialise
+    monkeypatch.setattr(N, "materialise", lambda df, what: plans.append(df) or write(df, what))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100m")
+    try:
+        df = spark.createDataFrame([(x,) for group in SAME for x in group], "name string")
+        plans.append(N.spelling_pairs(N.link_names(df)))
+        said = "".join(p._jdf.queryExecution().executedPlan().toString() for p in plans)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in said and "Broadcast" not in said
