@@ -94,18 +94,36 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
     """(graph_id, from_node, to_node, edge_type, weight): definitions to the other nodes that use the defined term.
 
     A node uses a term if its content holds the term's text, in any case, and
-    all words of the term as words. Candidates meet by the word of the term that
-    is rarest in the graph, not pair by pair.
+    all words of the term as words. Each term of a graph is looked for once, in
+    the nodes that hold its rarest word; only the words that a term may need
+    leave the scan, told by a bitmap of fixed size that lets some more through.
     """
-    nodes = nodes.select("graph_id", "node_id", "node_type", F.lower("content").alias("text"), "content", plain_words(F.col("content")).alias("words"))
-    said = nodes.select("graph_id", "node_id", "text", "words", F.explode("words").alias("word"))
-    df = said.groupBy("graph_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    nodes = materialise(nodes.select("graph_id", "node_id", "node_type", "content"), "texts")
     defined = nodes.where(F.col("node_type") == "definition").select("graph_id", F.col("node_id").alias("from_node"), F.lower(defined_term(F.col("content"))).alias("defined"))
-    defined = defined.where("defined is not null").withColumn("parts", plain_words(F.col("defined")))
-    rarest = defined.select("graph_id", "from_node", F.explode("parts").alias("word")).join(df, ["graph_id", "word"]).groupBy("graph_id", "from_node").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    met = defined.join(rarest, ["graph_id", "from_node"]).join(said, ["graph_id", "word"])
-    uses = F.contains("text", "defined") & (F.size(F.array_except("parts", "words")) == 0) & (F.col("from_node") != F.col("node_id"))
-    return met.where(uses).select("graph_id", "from_node", F.col("node_id").alias("to_node"), F.lit("defines").alias("edge_type"), F.lit(0.6).alias("weight"))
+    defined = materialise(defined.where("defined is not null"), "defined")
+    terms = defined.select("graph_id", "defined").distinct().withColumn("parts", plain_words(F.col("defined")))
+    parts = terms.select("graph_id", "defined", F.explode("parts").alias("word"))
+    said = nodes.select("graph_id", F.explode(plain_words(F.col("content"))).alias("word"))
+    df = among(said, parts).groupBy("graph_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    rarest = parts.join(df, ["graph_id", "word"]).groupBy("graph_id", "defined").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
+    rarest = materialise(rarest, "rarest")
+    held = among(nodes.select("graph_id", "node_id", F.lower("content").alias("text"), F.explode(plain_words(F.col("content"))).alias("word")), rarest)
+    uses = F.contains("text", "defined") & (F.size(F.array_except(plain_words(F.col("defined")), plain_words(F.col("text")))) == 0)
+    met = held.join(rarest, ["graph_id", "word"]).where(uses).select("graph_id", "defined", "node_id")
+    met = met.join(defined, ["graph_id", "defined"]).where("from_node <> node_id")
+    return met.select("graph_id", "from_node", F.col("node_id").alias("to_node"), F.lit("defines").alias("edge_type"), F.lit(0.6).alias("weight"))
+
+
+def among(rows: DataFrame, wanted: DataFrame, bits: int = 20) -> DataFrame:
+    """The rows whose (graph_id, word) wanted holds, and some more: those whose hash falls on the same one of 2^bits bits."""
+    bit = F.pmod(F.xxhash64("graph_id", "word"), F.lit(1 << bits)).cast("int")
+    place, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))
+    words = wanted.groupBy(place.alias("place")).agg(F.bit_or(mask).alias("mask")).collect()  # 2^(bits - 6) rows at most
+    bitmap = [0] * (1 << (bits - 6))
+    for r in words:
+        bitmap[r["place"]] = r["mask"]
+    bitmap = F.broadcast(rows.sparkSession.createDataFrame([(bitmap,)], "_bits array<long>"))
+    return rows.join(bitmap, F.get("_bits", place).bitwiseAND(mask) != 0).select(*rows.columns)
 
 
 def similarity_edges(nodes: DataFrame, per_node: int = 10, similar: float = 0.3, shared: float = 0.2, early: float = 0.15) -> DataFrame:

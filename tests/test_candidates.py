@@ -109,3 +109,15 @@ def test_definitions_lead_to_texts_that_use_the_term(spark):
     nodes = spark.createDataFrame(rows, "graph_id string, node_id string, node_type string, content string")
     assert {tuple(r) for r in G.defines_edges(nodes).collect()} == {("g", "x", "a", "defines", 0.6)}
     assert G.defines_edges(nodes.limit(0)).count() == 0
+
+
+def test_only_words_that_a_term_needs_leave_the_scan_with_their_text(spark):
+    rows = [("g", f"n{i}", "fact", f"word{i} tide gauge{i % 7} level{i % 5}") for i in range(2000)] + [("g", f"d{i}", "definition", f"Tide gauge{i} is defined as a tool") for i in range(7)]
+    nodes = spark.createDataFrame(rows, "graph_id string, node_id string, node_type string, content string")
+    got = {(r.from_node, r.to_node) for r in G.defines_edges(nodes).collect()}
+    assert got == {(f"d{i % 7}", f"n{i}") for i in range(2000) if f"tide gauge{i % 7}" in rows[i][3]}
+    words = nodes.select("graph_id", "node_id", F.explode(G.plain_words(F.col("content"))).alias("word"))
+    wanted = spark.createDataFrame([("g", f"gauge{i}") for i in range(7)], "graph_id string, word string")
+    kept = G.among(words, wanted)
+    assert kept.join(wanted, ["graph_id", "word"]).count() == words.join(wanted, ["graph_id", "word"]).count() == 2007 <= kept.count() <= 2007 + 100
+    assert G.among(words, wanted.limit(0)).count() == 0
