@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from knotwork.functions.text import six
 from knotwork.operators import retrieve as R
 from knotwork.operators.graph import content_only
-from knotwork.operators.index import inverse_frequencies, search, term_counts
+from knotwork.operators.index import inverse_frequencies, search, search_best, term_counts
 from knotwork.session import materialise
 
 NODE = ["graph_id", "node_id"]
@@ -72,13 +72,17 @@ def question_seeds(
     flagged = lambda pool: R.summary_policy(pool.join(content.select(*NODE, "node_type"), NODE).join(strategy.select(key, "summaries"), key), prefer="summaries")
     pools = []
     if options.mode != "vectors":
-        counts, idf = index or term_index(nodes)
         parts = asked.select(key, F.posexplode(R.sub_queries(F.col("asked"))).alias("part", "asked"))
         parts = materialise(parts.select(key, F.concat_ws("|", F.col(key).cast("string"), F.col("part").cast("string")).alias("part"), "asked"), "parts")
         variants = parts.select("part", F.col("asked").alias("variant")) if synonyms is None else R.expanded(parts.select("part", "asked"), synonyms, "part", "asked")
         variants = variants.join(parts.select("part", key), "part").select(key, "variant").distinct()
         variants = materialise(variants.withColumn("v", F.concat_ws("|", F.col(key).cast("string"), F.sha2("variant", 256))), "variants")
-        found = search(counts, variants, idf, "v", "variant", NODE, None)
+        if index is None:
+            texts = content_only(nodes).select(*NODE, "content", F.coalesce(F.col("node_type") == "session-summary", F.lit(False)).alias("summary"))
+            raised = variants.join(strategy.select(key, F.col("summaries").alias("raised")), key)
+            found = materialise(search_best(texts, raised, "v", "variant", NODE, options.per_variant), "found")
+        else:
+            found = search(index[0], variants, index[1], "v", "variant", NODE, None)
         found = flagged(found.join(variants.select("v", key), "v"))
         best = Window.partitionBy("v").orderBy(F.desc("score"), "node_id", "graph_id")
         pools.append(found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= options.per_variant))
@@ -108,18 +112,7 @@ def ask(
     asked = materialise(routed(questions, key, text, options), "asked")
     seeds = materialise(question_seeds(asked, nodes, key, options, index, synonyms, likeness), "seeds")
     kinds = asked.select(key, F.coalesce("kind", F.lit("")).alias("kind"), "max_nodes")
-    scores = None
-    for blocked in sorted({(), *BLOCKED.values()}):
-        ours = [k for k, b in BLOCKED.items() if b == blocked]
-        chosen = F.col("kind").isin(ours) if blocked else ~F.col("kind").isin(list(BLOCKED))
-        ours_too = kinds.where(chosen).select(key)
-        if scores is not None and ours_too.isEmpty():
-            continue
-        part = seeds.join(ours_too, key, "left_semi")
-        spread = options.traversal
-        ways = R.neighbours(directed, undirected, nodes.select(*NODE), spread.backward, (*spread.blocked, *blocked))
-        got = R.traverse(part, ways, key, spread)
-        scores = got if scores is None else scores.unionByName(got)
+    scores = R.traverse_edges(seeds, directed, undirected, nodes, kinds.select(key, "kind"), key, options.traversal, BLOCKED)
     best = materialise(R.top_nodes(scores.join(kinds.select(key, "max_nodes"), key), nodes, key, as_of, "max_nodes"), "best")
     weak = R.weakened_by_summary(best, nodes, directed, key).withColumn("score", six(F.col("score")))
     found = R.sibling_turns(weak, nodes, key)

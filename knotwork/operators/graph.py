@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from knotwork.functions.text import STRUCTURAL, content_hash, defined_term, jaccard, links, same_case
 from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
-from knotwork.operators.spread import crowded, join_checked, met_in_blocks, next_in_group
+from knotwork.operators.spread import among, crowded, join_checked, met_in_blocks, next_in_group
 from knotwork.session import materialise
 
 
@@ -104,28 +104,16 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
     terms = defined.select("graph_id", "defined").distinct().withColumn("parts", plain_words(F.col("defined")))
     parts = terms.select("graph_id", "defined", F.explode("parts").alias("word"))
     said = nodes.select("graph_id", F.explode(plain_words(F.col("content"))).alias("word"))
-    df = among(said, parts).groupBy("graph_id", "word").agg(F.count(F.lit(1)).alias("df"))
+    df = among(said, parts, ["graph_id", "word"]).groupBy("graph_id", "word").agg(F.count(F.lit(1)).alias("df"))
     rarest = parts.join(df, ["graph_id", "word"]).groupBy("graph_id", "defined").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
     rarest = materialise(rarest, "rarest")
-    held = among(nodes.select("graph_id", "node_id", F.lower("content").alias("text"), F.explode(plain_words(F.col("content"))).alias("word")), rarest)
+    held = among(nodes.select("graph_id", "node_id", F.lower("content").alias("text"), F.explode(plain_words(F.col("content"))).alias("word")), rarest, ["graph_id", "word"])
     uses = F.contains("text", "defined") & (F.size(F.array_except(plain_words(F.col("defined")), plain_words(F.col("text")))) == 0)
     met = held.join(rarest, ["graph_id", "word"]).where(uses).select("graph_id", "defined", "node_id")
     met = met.join(defined, ["graph_id", "defined"]).where("from_node <> node_id")
     return met.select("graph_id", "from_node", F.col("node_id").alias("to_node"), F.lit("defines").alias("edge_type"), F.lit(0.6).alias("weight"))
 
 
-def among(rows: DataFrame, wanted: DataFrame, bits: int = 20) -> DataFrame:
-    """The rows whose (graph_id, word) wanted holds, and some more: those whose hash falls on the same one of 2^bits bits."""
-    bit = F.pmod(F.xxhash64("graph_id", "word"), F.lit(1 << bits)).cast("int")
-    place, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))
-    words = wanted.groupBy(place.alias("place")).agg(F.bit_or(mask).alias("mask")).collect()  # 2^(bits - 6) rows at most
-    bitmap = [0] * (1 << (bits - 6))
-    for r in words:
-        bitmap[r["place"]] = r["mask"]
-    bitmap = F.broadcast(rows.sparkSession.createDataFrame([(bitmap,)], "_bits array<long>"))
-    return rows.join(bitmap, F.get("_bits", place).bitwiseAND(mask) != 0).select(*rows.columns)
-
-
 def similarity_edges(nodes: DataFrame, per_node: int = 10, similar: float = 0.3, shared: float = 0.2, early: float = 0.15) -> DataFrame:
     """(graph_id, node_a, node_b, edge_type, weight): content nodes of a graph that are alike.
 

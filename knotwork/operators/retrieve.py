@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from knotwork.functions.text import EDGE, dense_cosine, six
-from knotwork.operators.spread import crowded, join_apart
+from knotwork.operators.spread import among, crowded, join_apart
 from knotwork.session import materialise
 
 #: How many seeds and nodes each kind of question gets, and whether its seeds are spread over files and favour summaries. Fixed values.
@@ -207,6 +207,38 @@ def traverse(seeds: DataFrame, ways: DataFrame, key: str, options: Traversal = T
     return scores.where("score is not null")
 
 
+def traverse_edges(seeds: DataFrame, directed: DataFrame, undirected: DataFrame, nodes: DataFrame, kinds: DataFrame, key: str, options: Traversal, blocked: dict[str, tuple[str, ...]]) -> DataFrame:
+    """traverse() over the edges themselves: (key, graph_id, node_id, score), where a key's kind (key, kind) does not follow the edge types that blocked has for it.
+
+    Every hop reads the edges again and takes only those that may start at a
+    node of its frontier, so that the ways of nodes that no seed reaches are
+    never shuffled. Of several ways between two nodes the best one counts.
+    """
+    node = ["graph_id", "node_id"]
+    way = lambda x, y, w: F.struct(F.col(x).alias("node_id"), F.col(y).alias("other"), w.alias("weight"))
+    one = directed.select("graph_id", "edge_type", F.explode(F.array(way("from_node", "to_node", F.col("weight")), way("to_node", "from_node", F.col("weight") * options.backward))).alias("w"))
+    two = undirected.select("graph_id", "edge_type", F.explode(F.array(way("node_a", "node_b", F.col("weight")), way("node_b", "node_a", F.col("weight")))).alias("w"))
+    ways = one.unionAll(two).select("graph_id", "edge_type", "w.*").where("node_id is not null and other is not null and weight is not null")
+    ways = ways.where(~F.col("edge_type").isin(*options.blocked)) if options.blocked else ways
+    stops = F.lit(False)
+    for kind, types in blocked.items():
+        stops = stops | ((F.col("kind") == kind) & F.col("edge_type").isin(*types))
+    scores = materialise(seeds.groupBy(key, *node).agg(F.max("score").alias("score")), "seeds")
+    frontier = scores
+    for _ in range(options.hops):
+        found = materialise(among(ways, frontier, node, 22), "ways")
+        ends = found.select("graph_id", F.col("other").alias("node_id"))
+        known = among(nodes.select(*node), ends, node, 22).select("graph_id", F.col("node_id").alias("other"))
+        held = found.join(known, ["graph_id", "other"], "left_semi")
+        step = join_apart(frontier.join(kinds, key), held, node, crowded(found, node)).where(~stops)
+        step = step.select(key, "graph_id", F.col("other").alias("node_id"), (F.col("score") * options.decay * F.col("weight")).alias("new")).groupBy(key, *node).agg(F.max("new").alias("new"))
+        both = materialise(scores.join(step, [key, *node], "full"), "hop")
+        better = F.col("new") > F.coalesce("score", F.lit(0.0))
+        frontier = both.where(better).select(key, *node, F.col("new").alias("score"))
+        scores = both.select(key, *node, F.when(better, F.col("new")).otherwise(F.col("score")).alias("score"))
+    return scores.where("score is not null")
+
+
 def temporal_factor(last_access: Column, accesses: Column, confidence: Column, valid_until: Column, as_of: Column) -> Column:
     """What recent and frequent use, confidence and expiry make of a score."""
     days = (F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(last_access.cast("timestamp"))) / 86_400_000_000

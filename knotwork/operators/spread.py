@@ -125,6 +125,18 @@ def met_with_some(some: DataFrame, df: DataFrame, keys: list[str], n: str, block
     return x.join(y, [*keys, "_b"]).select(*keys, "x", "y")
 
 
+def among(rows: DataFrame, wanted: DataFrame, keys: list[str], bits: int = 20) -> DataFrame:
+    """The rows whose keys wanted holds, and some more: those whose hash falls on the same one of 2^bits bits. What is broadcast are these bits."""
+    bit = F.pmod(F.xxhash64(*keys), F.lit(1 << bits)).cast("int")
+    place, mask = F.shiftright(bit, 6), F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63))
+    words = wanted.groupBy(place.alias("place")).agg(F.bit_or(mask).alias("mask")).collect()  # 2^(bits - 6) rows at most
+    bitmap = [0] * (1 << (bits - 6))
+    for r in words:
+        bitmap[r["place"]] = r["mask"]
+    bitmap = F.broadcast(rows.sparkSession.createDataFrame([(bitmap,)], "_bits array<long>"))
+    return rows.join(bitmap, F.get("_bits", place).bitwiseAND(mask) != 0).select(*rows.columns)
+
+
 def join_sliced(left: DataFrame, right: DataFrame, keys: list[str], slices: int = 64, floor: int = 50_000) -> DataFrame:
     """left joined to right on keys, with the rows of right's hot keys dealt to `slices` tasks and left's rows of these keys sent to all of them."""
     return join_apart(left, right, keys, crowded(right, keys, floor), slices)

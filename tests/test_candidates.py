@@ -118,6 +118,6 @@ def test_only_words_that_a_term_needs_leave_the_scan_with_their_text(spark):
     assert got == {(f"d{i % 7}", f"n{i}") for i in range(2000) if f"tide gauge{i % 7}" in rows[i][3]}
     words = nodes.select("graph_id", "node_id", F.explode(G.plain_words(F.col("content"))).alias("word"))
     wanted = spark.createDataFrame([("g", f"gauge{i}") for i in range(7)], "graph_id string, word string")
-    kept = G.among(words, wanted)
+    kept = G.among(words, wanted, ["graph_id", "word"])
     assert kept.join(wanted, ["graph_id", "word"]).count() == words.join(wanted, ["graph_id", "word"]).count() == 2007 <= kept.count() <= 2007 + 100
-    assert G.among(words, wanted.limit(0)).count() == 0
+    assert G.among(words, wanted.limit(0), ["graph_id", "word"]).count() == 0
