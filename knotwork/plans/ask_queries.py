@@ -11,6 +11,7 @@ from knotwork.operators import ask as A
 from knotwork.operators import render as N
 from knotwork.operators import retrieve as R
 from knotwork.operators import runs as U
+from knotwork.operators.spread import among
 from knotwork.plans.insight_queries import BOOST_SQL, SIX
 from knotwork.plans.registry import AS_OF, DIRECTED, NODES, UNDIRECTED, directed, graph_nodes, query, undirected
 from knotwork.plans.text_queries import CONTENT, counts_sql
@@ -114,17 +115,22 @@ USED = "graph_id", "node_id", "node_type", "content", "source", "last_accessed_a
 ENDS = {"one": ("graph_id", "from_node", "to_node", "edge_type", "weight"), "two": ("graph_id", "node_a", "node_b", "edge_type", "weight")}
 
 
-def answers(spark: SparkSession, sf: str) -> DataFrame:
-    """The nodes that answer the evaluation questions, over all graphs."""
-    nodes = materialise(graph_nodes(spark, sf, *USED), "nodes")
+def answers(spark: SparkSession, sf: str, *more: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The nodes that answer the evaluation questions, over all graphs; and the nodes, with more columns, and edges that were read for it."""
+    nodes = materialise(graph_nodes(spark, sf, *USED, *more), "nodes")
     one, two = materialise(directed(spark, sf, *ENDS["one"]), "one"), materialise(undirected(spark, sf, *ENDS["two"]), "two")
     asked = table(spark, sf, "eval_items").select(F.col("item_id").alias("q"), "question")
-    return A.ask(nodes, one, two, asked, AS_OF)
+    return A.ask(nodes, one, two, asked, AS_OF), nodes, one, two
+
+
+def chosen_edges(best: DataFrame, edges: DataFrame, ends: tuple[str, str]) -> DataFrame:
+    """The edges of which both ends answer a question, of which only those that start at an answer leave the scan."""
+    return R.edges_between(best, among(edges, best.select("graph_id", F.col("node_id").alias(ends[0])), ["graph_id", ends[0]]), "q", ends)
 
 
 @query(f"{QUERY_SQL} SELECT q, graph_id, node_id, score, place FROM fin")
 def query_graph(spark: SparkSession, sf: str) -> DataFrame:
-    return answers(spark, sf)
+    return answers(spark, sf)[0]
 
 
 @query(
@@ -132,16 +138,18 @@ def query_graph(spark: SparkSession, sf: str) -> DataFrame:
  (SELECT count(*) FROM u JOIN fin x ON x.graph_id = u.graph_id AND x.node_id = node_a JOIN fin y ON y.graph_id = u.graph_id AND y.node_id = node_b AND y.q = x.q WHERE x.q = fin.q) AS n_undirected FROM fin GROUP BY q"""
 )
 def query_subgraph_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    best = materialise(answers(spark, sf), "answers")
-    one = R.edges_between(best, directed(spark, sf, *ENDS["one"]), "q", ("from_node", "to_node")).groupBy("q").agg(F.count(F.lit(1)).alias("n_directed"))
-    two = R.edges_between(best, undirected(spark, sf, *ENDS["two"]), "q", ("node_a", "node_b")).groupBy("q").agg(F.count(F.lit(1)).alias("n_undirected"))
+    best, _, one, two = answers(spark, sf)
+    best = materialise(best, "answers")
+    one = chosen_edges(best, one, ("from_node", "to_node")).groupBy("q").agg(F.count(F.lit(1)).alias("n_directed"))
+    two = chosen_edges(best, two, ("node_a", "node_b")).groupBy("q").agg(F.count(F.lit(1)).alias("n_undirected"))
     out = best.groupBy("q").agg(F.count(F.lit(1)).alias("n_nodes")).join(one, "q", "left").join(two, "q", "left")
     return out.select("q", "n_nodes", F.coalesce("n_directed", F.lit(0)).alias("n_directed"), F.coalesce("n_undirected", F.lit(0)).alias("n_undirected"))
 
 
 @query(f"{QUERY_SQL} SELECT q, node_type, count(*) AS n FROM fin JOIN n USING (graph_id, node_id) GROUP BY 1, 2")
 def query_node_types(spark: SparkSession, sf: str) -> DataFrame:
-    return U.type_distribution(answers(spark, sf), graph_nodes(spark, sf, "graph_id", "node_id", "node_type"), "q")
+    best, nodes, _, _ = answers(spark, sf)
+    return U.type_distribution(best, nodes.select("graph_id", "node_id", "node_type"), "q")
 
 
 @query(f"WITH {ASKED_SQL} SELECT key AS node_id, regexp_matches(question, '(?i)\\b{R.SUMS}\\b') AS asks_for_sum, regexp_matches(question, '(?i)\\b{R.TASTES}\\b') AS asks_for_taste FROM m")
@@ -152,8 +160,9 @@ def question_intents(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def query_texts(spark: SparkSession, sf: str) -> DataFrame:
-    best = materialise(answers(spark, sf), "answers")
-    nodes = graph_nodes(spark, sf, "graph_id", "node_id", "node_type", "content", "source", "metadata")
-    one = materialise(R.edges_between(best, directed(spark, sf, *ENDS["one"]), "q", ("from_node", "to_node")), "one")
-    two = materialise(R.edges_between(best, undirected(spark, sf, *ENDS["two"]), "q", ("node_a", "node_b")), "two")
+    best, nodes, one, two = answers(spark, sf, "metadata")
+    best = materialise(best, "answers")
+    nodes = among(nodes.select("graph_id", "node_id", "node_type", "content", "source", "metadata"), best, ["graph_id", "node_id"])
+    one = materialise(chosen_edges(best, one, ("from_node", "to_node")), "one")
+    two = materialise(chosen_edges(best, two, ("node_a", "node_b")), "two")
     return N.subgraph_texts(best, nodes, one, two, "q")
