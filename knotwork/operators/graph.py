@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from knotwork.functions.text import STRUCTURAL, content_hash, defined_term, jaccard, links, same_case
-from knotwork.operators.index import inverse_frequencies, term_counts, unit_weights
-from knotwork.operators.spread import among, crowded, join_checked, met_in_blocks, next_in_group
-from knotwork.session import materialise
+from knotwork.functions.text import STRUCTURAL, content_hash, defined_term, links, same_case, tokens
+from knotwork.operators.alike import ENDS, OTHER, OWN, VOCABULARY, best_alike
+from knotwork.operators.index import inverse_frequencies
+from knotwork.operators.spread import among, crowded, join_checked, next_in_group
+from knotwork.session import materialise, ship
 
 
 def current_nodes(nodes: DataFrame, *columns: str) -> DataFrame:
@@ -114,7 +115,7 @@ def defines_edges(nodes: DataFrame) -> DataFrame:
     return met.select("graph_id", "from_node", F.col("node_id").alias("to_node"), F.lit("defines").alias("edge_type"), F.lit(0.6).alias("weight"))
 
 
-def similarity_edges(nodes: DataFrame, per_node: int = 10, similar: float = 0.3, shared: float = 0.2, early: float = 0.15) -> DataFrame:
+def similarity_edges(nodes: DataFrame, per_node: int = 10, similar: float = 0.3, shared: float = 0.2, early: float = 0.15, most_texts: int = 150_000) -> DataFrame:
     """(graph_id, node_a, node_b, edge_type, weight): content nodes of a graph that are alike.
 
     A pair is similar-to if the cosine of its term weights reaches `similar`,
@@ -122,34 +123,40 @@ def similarity_edges(nodes: DataFrame, per_node: int = 10, similar: float = 0.3,
     has a term in common. A pair stays if it is among the per_node best of both
     its ends, by weight, then ord; weights are rounded to 6 digits first.
 
-    Terms stand from the rarest to the most common of their graph. What a text
-    weighs from a term on bounds all that the term and those after it can add,
-    so that texts meet only over terms where the product of these bounds reaches
-    `early`; pairs whose sum over them is below similar - early cannot reach
-    `similar`, the others are computed in full. Names meet in the same way (see
-    needed_names). Groups of many texts meet in blocks; nothing is capped.
+    Every text meets every other of its graph, in tiles of a task, so that no
+    pair is shuffled but those among the best of an end (see alike). A graph of
+    more than most_texts texts, or with much of the work, is cut into an odd
+    number of slices; a task has the texts of one slice and is passed those of
+    the next half of the others. early has no say any more: nothing is left out
+    beforehand.
     """
-    texts = content_only(nodes).select("graph_id", "node_id", "ord", "content", "entities")
-    counts = materialise(term_counts(texts, ["graph_id", "node_id", "ord"], "content"), "terms")
-    idf = materialise(inverse_frequencies(counts, texts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts")), ["graph_id"]), "idf")
-    half = unit_weights(counts, idf, ["graph_id"], ["graph_id", "node_id", "ord"]).join(idf.select("graph_id", "term", "df"), ["graph_id", "term"])
-    onward = Window.partitionBy("graph_id", "node_id", "ord").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    half = materialise(half.withColumn("r", F.sqrt(F.sum(F.col("u") * F.col("u")).over(onward))), "weights")
-    lead = half.where(F.col("r") >= early - 1e-9).select("graph_id", "term", "df", F.struct("ord", "node_id", "u", "r").alias("item"))
-    met = met_in_blocks(lead, ["graph_id", "term"], n="df").where(F.col("x.r") * F.col("y.r") >= early - 1e-9)
-    side = lambda c: F.struct(F.col(f"{c}.ord").alias("ord"), F.col(f"{c}.node_id").alias("node_id")).alias(c)
-    near = met.groupBy("graph_id", side("x"), side("y")).agg(F.sum(F.col("x.u") * F.col("y.u")).alias("part")).where(F.col("part") >= similar - early - 2e-6)
-    end = lambda c: half.select("graph_id", F.struct("ord", "node_id").alias(c), "term", F.col("u").alias(f"u{c}"))
-    full = near.drop("part").join(end("x"), ["graph_id", "x"]).join(end("y"), ["graph_id", "y", "term"])
-    full = full.groupBy("graph_id", "x", "y").agg(F.round(F.sum(F.col("ux") * F.col("uy")), 6).alias("weight"))
-    alike = materialise(full.where(F.col("weight") >= similar).select("graph_id", "x", "y", F.lit("similar-to").alias("edge_type"), "weight"), "alike")
-    over_names = needed_names(texts, shared - 1e-6).select("graph_id", "name", "n", F.struct("ord", "node_id", "names").alias("item"))
-    share = met_in_blocks(over_names, ["graph_id", "name"], n="n").select("graph_id", side("x"), side("y"), F.round(jaccard(F.col("x.names"), F.col("y.names")), 6).alias("weight"))
-    share = share.where(F.col("weight") >= shared).distinct().join(alike.select("graph_id", "x", "y"), ["graph_id", "x", "y"], "left_anti")
-    said = counts.groupBy("graph_id", F.struct("ord", "node_id").alias("k")).agg(F.collect_list("term").alias("terms"))
-    share = share.join(said.select("graph_id", F.col("k").alias("x"), F.col("terms").alias("tx")), ["graph_id", "x"]).join(said.select("graph_id", F.col("k").alias("y"), F.col("terms").alias("ty")), ["graph_id", "y"])
-    share = share.where(F.arrays_overlap("tx", "ty")).select("graph_id", "x", "y", F.lit("shares-entity").alias("edge_type"), "weight")
-    return mutual_best(alike.unionByName(share), per_node)
+    hashed = lambda words: F.coalesce(F.transform(words, lambda w: F.xxhash64(w)), F.array().cast("array<bigint>"))
+    names = F.filter(same_case(F.col("entities")), lambda e: e.isNotNull())
+    texts = content_only(nodes).where("graph_id is not null").select("graph_id", "node_id", "ord", hashed(tokens(F.col("content"))).alias("terms"), hashed(names).alias("names"))
+    texts = materialise(texts, "texts")
+    sizes = materialise(texts.groupBy("graph_id").agg(F.count(F.lit(1)).alias("n_texts")), "sizes")
+    counts = texts.select("graph_id", F.explode(F.array_distinct("terms")).alias("term"))
+    idf = materialise(inverse_frequencies(counts, sizes, ["graph_id"]), "idf")
+    work = sizes.agg(F.sum(F.col("n_texts") * F.col("n_texts"))).first()[0] or 1
+    needed = F.greatest(F.ceil(F.col("n_texts") / most_texts), F.ceil(F.col("n_texts") * F.col("n_texts") * 6 / work))
+    slices = sizes.select("graph_id", (needed + (needed + 1) % 2).cast("int").alias("slices"))
+    parts = slices.agg(F.sum("slices")).first()[0] or 1
+    several = F.broadcast(slices.where("slices > 1"))  # 6, and one for each most_texts texts, at most
+    dealt = lambda df: df.join(several, "graph_id", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    known = dealt(idf).select("graph_id", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(VOCABULARY).alias("kind"), "slices", F.lit(None).cast("long").alias("ord"), F.lit(None).cast("string").alias("node_id"), F.array("term").alias("terms"), F.lit(None).cast("array<bigint>").alias("names"), "idf")
+    steps = dealt(texts.where("node_id is not null")).withColumn("step", F.explode(F.sequence(F.lit(0), F.expr("slices div 2").cast("int"))))
+    slice_of = F.pmod(F.pmod(F.xxhash64("node_id", "ord"), "slices") - F.col("step"), "slices").cast("int")
+    rows = steps.select("graph_id", slice_of.alias("slice"), F.when(F.col("step") == 0, OWN).otherwise(OTHER).alias("kind"), "slices", "ord", "node_id", "terms", "names", F.lit(None).cast("double").alias("idf"))
+    read = known.unionByName(rows).repartition(min(2 * parts, 10_000), "graph_id", "slice").sortWithinPartitions("graph_id", "slice", "kind", "ord", "node_id")
+    ship(nodes.sparkSession)
+    ends = materialise(read.mapInArrow(best_alike(per_node, similar, shared), ENDS), "ends")
+    one, other = F.struct("ord", "node_id"), F.struct(F.col("other_ord").alias("ord"), F.col("other_id").alias("node_id"))
+    best = Window.partitionBy("graph_id", "one").orderBy(F.desc("weight"), "other")
+    open_ends = ends.where("not settled").select("graph_id", one.alias("one"), other.alias("other"), "edge_type", "weight")
+    open_ends = open_ends.withColumn("n", F.row_number().over(best)).where(F.col("n") <= per_node)
+    pairs = open_ends.groupBy("graph_id", F.least("one", "other").alias("x"), F.greatest("one", "other").alias("y"), "edge_type", "weight").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2")
+    pairs = ends.where("settled").select("graph_id", one.alias("x"), other.alias("y"), "edge_type", "weight").unionByName(pairs.drop("ends"))
+    return pairs.select("graph_id", F.col("x.node_id").alias("node_a"), F.col("y.node_id").alias("node_b"), "edge_type", "weight")
 
 
 def needed_names(nodes: DataFrame, least: float, at_least: int = 1) -> DataFrame:
@@ -165,16 +172,6 @@ def needed_names(nodes: DataFrame, least: float, at_least: int = 1) -> DataFrame
     return each.withColumn("_k", F.row_number().over(rarest)).where(F.col("_k") <= F.size("names") - enough + 1).drop("_k")
 
 
-def mutual_best(pairs: DataFrame, per_node: int) -> DataFrame:
-    """The pairs (graph_id, x, y, edge_type, weight) that are among the best of both ends."""
-    pairs = materialise(pairs, "pairs")
-    ends = pairs.select("graph_id", "x", "y", "weight", F.explode(F.array("x", "y")).alias("end"))
-    other = F.when(F.col("end") == F.col("x"), F.col("y")).otherwise(F.col("x"))
-    best = ends.withColumn("n", F.row_number().over(Window.partitionBy("graph_id", "end").orderBy(F.desc("weight"), other))).where(F.col("n") <= per_node)
-    both = best.groupBy("graph_id", "x", "y").agg(F.count(F.lit(1)).alias("ends")).where("ends = 2").select("graph_id", "x", "y")
-    return pairs.join(both, ["graph_id", "x", "y"]).select("graph_id", F.col("x.node_id").alias("node_a"), F.col("y.node_id").alias("node_b"), "edge_type", "weight")
-
-
 def duplicates(nodes: DataFrame) -> DataFrame:
     """(graph_id, node_id, canonical_id): content nodes whose exact content an earlier node of the graph has."""
     texts = content_only(nodes).where("content is not null").select("graph_id", "node_id", "ord", content_hash(F.col("content")).alias("hash"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from knotwork.operators import graph as G
 from knotwork.operators.reflect import contradictions, discoveries, inferred_edges, sharing_pairs
 from knotwork.operators.spread import join_sliced, met_in_blocks, numbered
+from knotwork.session import materialise
 
 NODE = "graph_id string, node_id string, node_type string, ord long, content string, entities array<string>"
 
@@ -44,6 +45,24 @@ def test_common_terms_lose_no_pair(spark):
         assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
 
 
+def test_pairs_that_are_not_among_the_best_stay_in_their_task(spark, monkeypatch):
+    n, written = 400, []
+    nodes = spark.createDataFrame([("g", f"n{i:03}", "fact", i, "alpha bravo cedar", ["Ada"]) for i in range(n)], NODE)
+    monkeypatch.setattr(G, "materialise", lambda df, what="step": (made := materialise(df, what), written.append(made.count()))[0])
+    got = {(r.node_a, r.node_b, r.edge_type, r.weight) for r in G.similarity_edges(nodes).collect()}
+    assert got == {(f"n{i:03}", f"n{j:03}", "similar-to", 1.0) for j in range(11) for i in range(j)}
+    assert max(written) <= 10 * n * 6  # of 79,800 pairs
+
+
+def test_slices_of_a_graph_give_the_same_pairs(spark):
+    few = nodes_of(spark, 90).drop("graph_id").crossJoin(spark.createDataFrame([(f"g{i}",) for i in range(8)], "graph_id string")).select("graph_id", "node_id", "node_type", "ord", "content", "entities")
+    none = spark.createDataFrame([("g1", "z1", "fact", 900, "alpha zebra", ["Ada", None]), ("g1", "z2", "fact", 901, None, ["ADA"]), ("h", "z3", "fact", 1, "", None), (None, "z4", "fact", 1, "alpha", ["Ada"])], NODE)
+    nodes = few.unionByName(none).repartition(3)
+    one, many = (sorted(map(tuple, G.similarity_edges(nodes, per_node=4, similar=0.6, most_texts=m).collect())) for m in (1000, 20))
+    assert one == many and {r[3] for r in one} == {"similar-to", "shares-entity"} and not {"z2", "z3", "z4"} & {v for r in one for v in r[1:3]}
+    assert G.similarity_edges(nodes.limit(0)).count() == 0
+
+
 def test_common_names_lose_no_pair(spark):
     nodes = nodes_of(spark, 30)
     crowd = nodes.unionByName(spark.createDataFrame([("h", f"m{i:03}", "fact", i, "x", ["Same"]) for i in range(510)], NODE))
