@@ -12,6 +12,8 @@ import pyarrow.compute as pc
 VOCABULARY, OWN, OTHER = range(3)
 ENDS = "graph_id string, settled boolean, ord long, node_id string, other_ord long, other_id string, edge_type string, weight double"
 TYPES = pa.array(["similar-to", "shares-entity"])
+#: By how much a rough product may be off; what is nearer to a bound is computed exactly.
+NEAR = 5e-5
 
 
 class Block:
@@ -46,7 +48,7 @@ def every(x: Block, ix: np.ndarray, y: Block, iy: np.ndarray) -> tuple[np.ndarra
 
 
 def dots(x: Block, y: Block, room: np.ndarray, dense: float = 0.004, few: int = 1000, chunk: int = 200_000) -> np.ndarray:
-    """The products of all texts of x and y to about six digits, by place i * y.m + j, in room: very common keys by one matrix product, common ones key by key, the others posting by posting."""
+    """The products of all texts of x and y within NEAR, by place i * y.m + j, in room: very common keys by one matrix product, common ones key by key, the others posting by posting."""
     _, ix, iy = np.intersect1d(x.keys, y.keys, assume_unique=True, return_indices=True)
     n = x.n[ix] * y.n[iy]
     common, each = n > dense * x.m * y.m, n >= few
@@ -83,35 +85,45 @@ def exact(x: Block, i: np.ndarray, y: Block, j: np.ndarray, chunk: int = 50_000)
     return np.floor(out * 1e6 + 0.5) / 1e6
 
 
-def alike_in(x: Block, y: Block, x_names: Block, y_names: Block, x_sizes: np.ndarray, y_sizes: np.ndarray, room: np.ndarray, similar: float, shared: float, same: bool) -> tuple[np.ndarray, ...]:
-    """(i, j, weight, kind) of the pairs of two blocks that are similar-to (0) or else shares-entity (1). same: of one list of texts, of which a pair's first comes first."""
+def alike_in(x: Block, y: Block, x_names: Block, y_names: Block, x_sizes: np.ndarray, y_sizes: np.ndarray, room: np.ndarray, similar: float, shared: float, x_least: np.ndarray, y_least: np.ndarray, same: bool) -> tuple[np.ndarray, ...]:
+    """(i, j, weight, kind) of the pairs of two blocks that are similar-to (0) or else shares-entity (1), but those that weigh less than the least that each end still needs.
+
+    same: of one list of texts, of which a pair's first comes first.
+    """
     rough = dots(x, y, room)
     _, ix, iy = np.intersect1d(x_names.keys, y_names.keys, assume_unique=True, return_indices=True)
     p, q = every(x_names, ix, y_names, iy)
     met, both = np.unique(x_names.rows[p] * y.m + y_names.rows[q], return_counts=True)
     all_names = x_sizes[x.first + met // y.m] + y_sizes[y.first + met % y.m] - both
     share = (both * 2_000_000 + all_names) // (2 * all_names) / 1e6
-    at = np.flatnonzero(rough >= similar - 1e-5)
-    keep = (share >= shared) & (rough[met] > 0) & (rough[met] < similar + 1e-5)
+    at = np.flatnonzero(rough >= similar - NEAR)
+    keep = (share >= shared) & (rough[met] > 0) & (rough[met] < similar + NEAR)
     met, share = met[keep], share[keep]
     if same and x.first + x.m > y.first:
         first = lambda a: a // y.m + x.first < a % y.m + y.first
         at, met, share = at[first(at)], met[first(met)], share[first(met)]
+    least = lambda a: np.minimum(x_least[x.first + a // y.m], y_least[y.first + a % y.m])
+    at = at[(rough[at] < similar + NEAR) | (rough[at] >= least(at) - NEAR)]
+    keep = share >= least(met)
+    met, share = met[keep], share[keep]
     weight = exact(x, at // y.m, y, at % y.m)
     low = at[weight < similar]
-    keep = (rough[met] < similar - 1e-5) | np.isin(met, low)
+    keep = (rough[met] < similar - NEAR) | np.isin(met, low)
     at, weight = np.concatenate([at[weight >= similar], met[keep]]), np.concatenate([weight[weight >= similar], share[keep]])
     kind = np.repeat([0, 1], [len(at) - keep.sum(), keep.sum()])
     return at // y.m + x.first, at % y.m + y.first, weight, kind
 
 
-def among_best(end: np.ndarray, other: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
-    """Which rows are among the `most` best of their end, by weight, then by the other end."""
+def among_best(end: np.ndarray, other: np.ndarray, weight: np.ndarray, most: int, least: np.ndarray | None = None) -> np.ndarray:
+    """Which rows are among the `most` best of their end, by weight, then by the other end. least, by end, is raised to the weight of the last of `most`."""
     order = np.lexsort((other, -weight, end))
     sorted_end = end[order]
     place = np.arange(len(order)) - np.searchsorted(sorted_end, sorted_end)
     keep = np.zeros(len(end), dtype=bool)
     keep[order[place < most]] = True
+    if least is not None:
+        last = order[place == most - 1]
+        least[end[last]] = np.maximum(least[end[last]], weight[last])
     return keep
 
 
@@ -150,25 +162,26 @@ class Task:
         m = texts.num_rows
         self.own, self.named = cut(*terms, m, self.high), cut(*names, m, self.high)
         found: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        size, base, self.least = 0, 0, np.zeros(m)
 
         def best() -> tuple[np.ndarray, ...]:
             i, j, w, kind = (np.concatenate(c) for c in zip(*found))
-            up, down = among_best(i, j, w, self.most), among_best(j, i, w, self.most)
-            return tuple(c[up | down] for c in (i, j, w, kind))
+            keep = among_best(np.concatenate([i, j]), np.concatenate([j, i]), np.tile(w, 2), self.most, self.least)
+            keep = keep[: len(i)] | keep[len(i) :]
+            return tuple(c[keep] for c in (i, j, w, kind))
 
         for y, y_names in zip(cut(*terms, m, self.wide), cut(*names, m, self.wide)):
             for x, x_names in zip(self.own, self.named):
                 if x.first < y.first + y.m:
-                    found.append(alike_in(x, y, x_names, y_names, self.sizes, self.sizes, self.room, *self.bounds, True))
+                    found.append(alike_in(x, y, x_names, y_names, self.sizes, self.sizes, self.room, *self.bounds, self.least, self.least, True))
                     size += len(found[-1][0])
-                    if size > 4_000_000:
+                    if size > 2 * base + 200_000:
                         found[:] = [best()]
-                        size = min(len(found[0][0]), 3_000_000)
+                        size = base = len(found[0][0])
         if found:
             i, j, w, kind = (np.concatenate(c) for c in zip(*found))
             end, other, pair = np.concatenate([i, j]), np.concatenate([j, i]), np.tile(np.arange(len(i)), 2)
-            keep = among_best(end, other, np.tile(w, 2), self.most)
+            keep = among_best(end, other, np.tile(w, 2), self.most, self.least)
             if self.slices == 1:  # no other slice has better ones
                 pair = np.flatnonzero(np.bincount(pair[keep], minlength=len(i)) == 2)
                 yield self.ends(self.keys.take(i[pair]), self.keys.take(j[pair]), w[pair], kind[pair])
@@ -178,17 +191,19 @@ class Task:
     def meet(self, texts: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Gives the best of the slice's own texts for each of these, which are of another slice; keeps the best of these for each of its own."""
         terms, names, sizes = self.postings(texts)
-        keys = pa.Table.from_batches([texts.select(["ord", "node_id"])])
+        keys, least = pa.Table.from_batches([texts.select(["ord", "node_id"])]), np.zeros(texts.num_rows)
         for y, y_names in zip(cut(*terms, texts.num_rows, self.wide), cut(*names, texts.num_rows, self.wide)):
             found: list[tuple[np.ndarray, ...]] = []
+            size, base = 0, 0
             for x, x_names in zip(self.own, self.named):
-                i, j, w, kind = alike_in(x, y, x_names, y_names, self.sizes, sizes, self.room, *self.bounds, False)
-                up = among_best(i, j, w, self.most)
-                found.append((i, j, w, kind, up))
-                if sum(len(f[0]) for f in found) > 4_000_000:
+                i, j, w, kind = alike_in(x, y, x_names, y_names, self.sizes, sizes, self.room, *self.bounds, self.least, least, False)
+                found.append((i, j, w, kind, among_best(i, j, w, self.most, self.least)))
+                size += len(i)
+                if size > 2 * base + 50_000:
                     i, j, w, kind, up = (np.concatenate(c) for c in zip(*found))
-                    keep = up | among_best(j, i, w, self.most)
+                    keep = up | among_best(j, i, w, self.most, least)
                     found[:] = [tuple(c[keep] for c in (i, j, w, kind, up))]
+                    size = base = int(keep.sum())
             if not found:
                 continue
             i, j, w, kind, up = (np.concatenate(c) for c in zip(*found))
@@ -203,7 +218,7 @@ class Task:
 
     def best_kept(self) -> tuple:
         i, j, w, kind = (np.concatenate(c) for c in list(zip(*self.kept))[:4])
-        at = np.flatnonzero(among_best(i, j, w, self.most))
+        at = np.flatnonzero(among_best(i, j, w, self.most, self.least))
         return i[at], j[at], w[at], kind[at], pa.concat_tables([k[4] for k in self.kept]).take(at).combine_chunks()
 
     def end(self) -> Iterator[pa.RecordBatch]:
